@@ -27,13 +27,18 @@ from pyspark.sql import functions as F
 from .common import SLICE_ROWS
 
 #: Distinct words whose ids a worker remembers before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+#: New words that are encoded in one call.
+JOINED_WORDS = 500
 
 
 class WordTokenizer:
     """Token ids of whole texts through a cache of space-separated words.
 
-    The tokenizer's pieces never cross white space, so encoding each distinct word once is exact.
+    The tokenizer's pieces never cross white space, nor the border of a letter and a comma or stop before a space, so
+    encoding each distinct word once is exact. New words of letters only are encoded many at a time and parted at the
+    ids that end a word. Texts in which case, composition or special tokens could reach further (any mark or "<|") are
+    encoded whole.
     """
 
     def __init__(self, path: str):
@@ -41,6 +46,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self._reset()
 
     def _reset(self) -> None:
@@ -49,12 +57,11 @@ class WordTokenizer:
         self.used = 0
         self.starts = np.zeros(1 << 12, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        if not words:
-            return
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        flat = np.fromiter((i for e in encoded for i in e), np.uint32)
-        ends = self.used + np.cumsum([len(e) for e in encoded])
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, words: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        ends = self.used + np.cumsum(lengths)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         n = len(self.known)
@@ -65,19 +72,44 @@ class WordTokenizer:
         self.used += len(flat)
         self.known.update(zip(words, range(n, n + len(words)), strict=True))
 
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if w.isalpha()]
+        other = [w for w in words if not w.isalpha()]
+        parts = [plain[i : i + JOINED_WORDS] for i in range(0, len(plain), JOINED_WORDS)]
+        for part, ids in zip(parts, self._ids([" ".join(p) for p in parts]), strict=True):
+            flat = np.array(ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[flat]) + 1
+            if len(ends) == len(part):
+                self._add(part, flat, np.diff(ends, prepend=0))
+            else:  # a letter whose lower case is more than letters
+                other += part
+        if other:
+            found = self._ids(other)
+            self._add(other, np.fromiter((i for e in found for i in e), np.uint32), np.array([len(e) for e in found]))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's ids begin (one more entry than texts)."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        if isinstance(words, pa.ChunkedArray):
-            words = words.combine_chunks()
+        whole = np.flatnonzero(pc.match_substring_regex(texts, r"\p{M}|<\|").to_numpy(zero_copy_only=False))
+        if not len(whole):
+            return self._encode(texts)
+        flat, bounds = self._encode(pc.if_else(pc.is_in(pa.array(np.arange(len(texts))), pa.array(whole)), "", texts))
+        parts = np.split(flat, bounds[1:-1])
+        for k, ids in zip(whole, self._ids([texts[int(k)].as_py() for k in whole]), strict=True):
+            parts[k] = np.array(ids, np.uint32)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        # in this order: lower-casing a slice of an array would go wrong
+        lower = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
+        words = pc.split_pattern(pc.replace_substring_regex(lower, r"([a-z])([.,])( |$)", r"\1 \2\3"), " ")
         bounds = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.known) + len(distinct) > CACHE_WORDS:
             self._reset()
         self._learn([w for w in distinct if w not in self.known])
-        at = np.fromiter((self.known[w] for w in distinct), np.int64, len(distinct))
+        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
         words_at = at[coded.indices.to_numpy(zero_copy_only=False)] if len(distinct) else np.empty(0, np.int64)
         first, length = self.starts[words_at], self.starts[words_at + 1] - self.starts[words_at]
         ends = np.concatenate([[0], np.cumsum(length)])

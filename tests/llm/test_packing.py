@@ -4,9 +4,10 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from isoweave.llm.packing import VectorPacker, pack_documents, pack_examples
+from isoweave.llm.packing import VectorPacker, WordTokenizer, pack_documents, pack_examples
 from isoweave.llm.queries import tokenizer_path
 
 TEXTS = [
@@ -17,6 +18,8 @@ TEXTS = [
     (4, "word " * 9000, 1),
     (4, "word " * 9000, 1),
     (None, "no id", 1),
+    (7, "J\u030c A\u030a <|ENDOFTEXT|> x", 1),
+    (8, "Wort, Wort. WORT.. wort.\nDon't. \u0130stanbul \u0130 x.y, ... é. ﬁn Ⅷ x² 中文 中文。", 1),
     (6, "a\x0bb\x1cc  d   \n\n e f", 1),
 ]
 
@@ -49,6 +52,15 @@ def test_pieces_are_exact(spark):
         assert at == 4096 or at & (at - 1) == 0
 
 
+def test_slices_are_encoded_alike():
+    texts = [t or "" for _, t, _ in TEXTS] * 3
+    tok = WordTokenizer(tokenizer_path())
+    for at in (0, 5, 11):
+        flat, bounds = tok.encode(pa.array(texts).slice(at, 9))
+        for k, t in enumerate(texts[at : at + 9]):
+            assert flat[bounds[k] : bounds[k + 1]].tolist() == ids_of(t)[:-1]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pack_documents(docs, tokenizer_path()).count() == 0
