@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -50,10 +50,72 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of every document."""
+    from .host_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in every document."""
+    from .decontamination import find_contained
+
+    return find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP7_SQL = r"""
+WITH w AS (
+  SELECT 0 AS kind, doc_id AS id, text FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT 1, item_id, text FROM benchmark WHERE text IS NOT NULL),
+l AS (SELECT kind, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM w),
+s AS (SELECT DISTINCT kind, id, unnest(list_transform(range(greatest(1, len(w) - 4)), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS g FROM l WHERE len(w) > 0),
+n AS (SELECT id AS item_id, count(*) AS n_item FROM s WHERE kind = 1 GROUP BY 1),
+c AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM s d JOIN s i ON d.g = i.g AND d.kind = 0 AND i.kind = 1 GROUP BY 1, 2)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / CAST(n_item AS DOUBLE) AS containment
+FROM c JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_item
+""".replace("\\\\", "\\")
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; the models are trained on generated keys and the words of good documents."""
+    from .secret_scan import ordinary_samples, random_samples, scan_secrets, train_markov
+
+    docs = table(spark, sf_dir, "documents")
+    samples = random_samples(spark).unionByName(ordinary_samples(docs, table(spark, sf_dir, "labels")))
+    return scan_secrets(docs, train_markov(samples))
+
+
+def held_out(key: str = "doc_id") -> Column:
+    """The rows whose labels are not learned from: crc32 of the id as text, mod 5, is 0."""
+    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5)) == 0
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by a field that is trained on labels outside the held-out fold."""
+    from .crf import score_toxicity, train_on
+
+    docs = table(spark, sf_dir, "documents")
+    out = score_toxicity(docs, train_on(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_toxic")
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document."""
+    from .license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
+    "op6_host_rules": op6_host_rules,
+    "op7_decontamination": op7_decontamination,
+    "op8_secrets": op8_secrets,
+    "op9_toxicity": op9_toxicity,
+    "op10_licenses": op10_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op7_decontamination": OP7_SQL}
