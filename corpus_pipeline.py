@@ -1,3 +1,50 @@
-ORACLE_SQL=None
-STAGES=[]
-def run(spark, sf_dir): raise NotImplementedError
+"""The corpus pipeline: toxicity, near-duplicates, benchmark decontamination, secrets, packing."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from isoweave.llm import crf, decontamination, packing, secret_scan, simhash
+from isoweave.llm.common import materialize, table
+from isoweave.llm.queries import tokenizer_path
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose toxicity score is below a half."""
+    return crf.drop_toxic(docs, crf.train_on(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest doc_id of each component, and one of rows that repeat it."""
+    return simhash.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that hold no benchmark item."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep all documents, with their secrets masked."""
+    samples = secret_scan.random_samples(spark).unionByName(secret_scan.ordinary_samples(docs, table(spark, sf_dir, "labels")))
+    return secret_scan.redact_secrets(docs, secret_scan.train_markov(samples))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack all documents into sequences."""
+    return packing.pack_documents(docs, tokenizer_path())
+
+
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("secrets", secrets), ("pack", pack)]
+
+#: Model training and fingerprints can't be written in SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; what each returns is written to the shared folder and read again for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,9 +7,10 @@ clean documents. The field is then fitted to the tagged sequences by gradient as
 gradients from forward-backward.
 
 Sequences are lines, cut at sentence ends, and after ``MAX_TOKENS`` tokens where there is none; forward-backward runs over all
-sequences of a slice of rows at once. A document's score is the chance that at least one of its tokens is toxic, one minus
-the product of the clean marginals, mapped by a logistic curve that is fitted to documents the field has not seen. Offending offsets are
-runs of tokens whose toxic marginal is a half or more.
+sequences of a slice of rows at once. A document's evidence is the chance that at least one of its suspect tokens is
+toxic, from the product of their clean marginals, and its largest marginal; a logistic curve that is fitted to
+documents the field has not seen makes it a score. Offending offsets are runs of tokens whose toxic marginal is a half
+or more.
 
 Scoring is one pass without a shuffle. The model is of a fixed size whatever the corpus, so it is broadcast. Training
 reads at most ``max_docs`` labelled documents, half of them toxic where there are enough, least hash first.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import SLICE_ROWS
 
-TABLE_BITS, MAX_TOKENS = 18, 128
+TABLE_BITS, MAX_TOKENS, LEAST_MARGINAL = 18, 128, 0.25
 #: A word with what surrounds it up to the next one; a sentence ends at a stop or a line break.
 TOKEN = re.compile(r"\w+")
 STOP = re.compile(r"[.!?\n]")
@@ -133,7 +134,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] * evidence + self.curve[1], -30, 30)))
 
     def tag(self, texts: list[str | None], threshold: float = 0.5) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
-        """Evidence (minus the log of the chance that nothing is toxic) and offending spans of each text."""
+        """Evidence and offending spans of each text.
+
+        Evidence is minus the log of the chance that none of the suspect tokens is toxic, plus the largest marginal; the
+        many tokens below ``LEAST_MARGINAL`` would else add up in a long text.
+        """
         toks = [tokenize(t) for t in texts]
         counts = [len(t[0]) for t in toks]
         if not sum(counts):
@@ -142,7 +147,9 @@ class Model:
         seqs = np.concatenate([np.array(t[3], np.int64) + b for t, b in zip(toks, base, strict=False)])
         p, _, _ = marginals(self.emission([w for t in toks for w in t[0]]), seqs, self.transition, self.start)
         bounds = np.cumsum([0, *counts])
-        logs = np.concatenate([[0], np.cumsum(-np.log1p(-np.minimum(p, 1 - 1e-9)))])
+        most = np.maximum.reduceat(np.append(p, 0.0), np.minimum(bounds[:-1], len(p)))
+        most[np.array(counts) == 0] = 0
+        logs = np.concatenate([[0], np.cumsum(np.where(p >= LEAST_MARGINAL, -np.log1p(-np.minimum(p, 1 - 1e-9)), 0))])
         spans = [[] for _ in texts]
         for k in np.flatnonzero(p >= threshold):
             d = int(np.searchsorted(bounds, k, "right")) - 1
@@ -152,7 +159,7 @@ class Model:
                 spans[d][-1] = (spans[d][-1][0], ends[i])
             else:
                 spans[d].append((starts[i], ends[i]))
-        return logs[bounds[1:]] - logs[bounds[:-1]], spans
+        return logs[bounds[1:]] - logs[bounds[:-1]] + most, spans
 
 
 def without_near_copies(texts: list[str | None], sketch: int = 8, shared: int = 2) -> list[int]:
@@ -260,7 +267,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str, *, max_docs:
     share = {x: min(few.get(x, 0), max(half, max_docs - few.get(1 - x, 0))) for x in (0, 1)}
     picked = [own.where(F.col("label") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for x, n in share.items()]
     sample = picked[0].unionByName(picked[1])
-    one = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    one = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "label")
 
 

@@ -50,6 +50,22 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, by dictionaries that are trained on labels outside the held-out fold."""
+    from .compress_quality import score_quality, train_on
+
+    docs = table(spark, sf_dir, "documents")
+    out = score_quality(docs, train_on(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from .html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdicts of every document."""
     from .host_rules import judge
@@ -111,6 +127,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
+    "op4_quality": op4_quality,
+    "op5_html": op5_html,
     "op6_host_rules": op6_host_rules,
     "op7_decontamination": op7_decontamination,
     "op8_secrets": op8_secrets,

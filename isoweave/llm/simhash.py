@@ -170,3 +170,26 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, seed: int = 42, distance
     parts = connected_components(fingerprint_links(classes, distance=distance, groups=groups))
     roots = classes.join(parts, classes.rep == parts.vertex, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(roots, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, **options: int) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose doc_id is their component's smallest.
+
+    Rows with the same doc_id are one document, of which the row with the least hash stays.
+    Rows without a doc_id have no place in the order: of those with one fingerprint and no doc_id beside them, one text
+    is kept.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), **options)
+    keys = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    named = docs.join(keys, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
+    if not docs.schema["doc_id"].nullable:
+        return named
+    lone = found.where("doc_id IS NULL AND component_id IS NULL")
+    if lone.isEmpty():
+        return named
+    nameless = docs.where("doc_id IS NULL")
+    order = fingerprints(nameless.select(F.xxhash64("text").alias("doc_id"), "text")).withColumn("fingerprint", F.lpad(F.lower(F.hex("fp")), 16, "0"))
+    order = order.join(lone.select("fingerprint").distinct(), "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min("doc_id").alias("key"))
+    rest = nameless.withColumn("__key", F.xxhash64("text")).join(order.select(F.col("key").alias("__key")), "__key", "left_semi").select(*docs.columns).dropDuplicates(["text"])
+    return named.unionByName(rest)
