@@ -1,0 +1 @@
+"""Streaming of the transcript analytics library."""
