@@ -83,8 +83,7 @@ def marginals(emission: np.ndarray, seqs: np.ndarray, transition: np.ndarray, st
     live = np.searchsorted(-length, -np.arange(1, steps + 1), "right")  # sequences that have a token at each step
     e = np.exp(np.clip(emission, -30, 30))
     t = np.exp(transition)
-    fwd = np.zeros((steps, m, 2))
-    scale = np.ones((steps, m))
+    fwd, scale = [], []  # of the sequences that go on at each step
     a = np.empty((m, 2))
     for k in range(steps):
         c = live[k]
@@ -93,19 +92,20 @@ def marginals(emission: np.ndarray, seqs: np.ndarray, transition: np.ndarray, st
         a = np.stack([p[:, 0], p[:, 1] * x], axis=1)
         s = a.sum(axis=1)
         a /= s[:, None]
-        fwd[k, :c], scale[k, :c] = a, s
+        fwd.append(a)
+        scale.append(s)
     out = np.empty(n)
     pairs = np.zeros((2, 2))
     b = np.ones((m, 2))
     for k in range(steps - 1, -1, -1):
         c = live[k]
-        joint = fwd[k, :c] * b[:c]
+        joint = fwd[k] * b[:c]
         out[first[:c] + k] = joint[:, 1] / joint.sum(axis=1)
         if k:
-            own = np.stack([b[:c, 0], b[:c, 1] * e[first[:c] + k]], axis=1) / scale[k, :c, None]
-            pairs += t * (fwd[k - 1, :c].T @ own)
+            own = np.stack([b[:c, 0], b[:c, 1] * e[first[:c] + k]], axis=1) / scale[k][:, None]
+            pairs += t * (fwd[k - 1][:c].T @ own)
             b[:c] = own @ t.T
-    return out, pairs, float(np.log(scale).sum())
+    return out, pairs, float(sum(np.log(s).sum() for s in scale))
 
 
 @dataclass
@@ -204,38 +204,46 @@ def train(texts: list[str | None], toxic: list[bool], *, rounds: int = 60, penal
     lone = set(without_near_copies(texts))
     fit = [k for k in range(len(texts)) if k % 4 and k in lone]
     marks = weak_tags([texts[k] for k in fit], [toxic[k] for k in fit])
-    slots, seqs, tags, base = [], [], [], 0
+    # tokens are numbers of distinct words, whose features are listed once
+    vocab: dict[str, int] = {}
+    parts, seq_parts, tag_parts, base = [], [], [], 0
     for k in fit:
         words, _, _, own = tokenize(texts[k])
         if not words:
             continue
-        slots += [features(w) for w in words]
-        seqs += [x + base for x in own]
+        parts.append(np.array([vocab.setdefault(w, len(vocab)) for w in words], np.int32))
+        seq_parts.append(np.array(own, np.int32) + base)
         base += own[-1] + 1
-        tags += [toxic[k] and (w in marks or any(f"p{w[:n]}" in marks for n in (4, 5, 6))) for w in words]
-    size = np.array([len(s) for s in slots])
-    flat, token = np.array([x for s in slots for x in s]), np.repeat(np.arange(len(slots)), size)
-    tag, seq = np.array(tags, float), np.array(seqs)
+        tag_parts.append(np.array([toxic[k] and (w in marks or any(f"p{w[:n]}" in marks for n in (4, 5, 6))) for w in words]))
+    if not parts:
+        return model
+    tokens, seq, tag = np.concatenate(parts), np.concatenate(seq_parts), np.concatenate(tag_parts).astype(float)
+    listed = [np.array(features(w), np.int32) for w in vocab]
+    flat, word = np.concatenate(listed), np.repeat(np.arange(len(listed), dtype=np.int32), [len(x) for x in listed])
+    del listed, parts, seq_parts, tag_parts
+
+    def by_slot(of_token: np.ndarray) -> np.ndarray:
+        return np.bincount(flat, weights=np.bincount(tokens, weights=of_token, minlength=len(vocab))[word], minlength=1 << TABLE_BITS)
+
     first = np.concatenate([[True], seq[1:] != seq[:-1]])
     pair = 2 * tag[:-1][~first[1:]].astype(int) + tag[1:][~first[1:]].astype(int)
     seen_pairs = np.bincount(pair, minlength=4).reshape(2, 2).astype(float)
     seen_start = np.array([(tag[first] == 0).sum(), (tag[first] == 1).sum()], float)
-    want = np.bincount(flat, weights=tag[token], minlength=1 << TABLE_BITS)
+    want = by_slot(tag)
     moments = [np.zeros((2, *x.shape)) for x in (model.weights, model.transition, model.start)]
     n = max(1.0, tag.sum())
     for r in range(1, rounds + 1):
-        emission = np.bincount(token, weights=model.weights[flat], minlength=len(slots))
+        emission = np.bincount(word, weights=model.weights[flat], minlength=len(vocab))[tokens]
         p, pairs, _ = marginals(emission, seq, model.transition, model.start)
-        got = np.bincount(flat, weights=p[token], minlength=1 << TABLE_BITS)
         p_first = np.array([(1 - p[first]).sum(), p[first].sum()])
-        grads = [(want - got) / n - penalty * model.weights, (seen_pairs - pairs) / n - penalty * model.transition, (seen_start - p_first) / n - penalty * model.start]
+        grads = [(want - by_slot(p)) / n - penalty * model.weights, (seen_pairs - pairs) / n - penalty * model.transition, (seen_start - p_first) / n - penalty * model.start]
         for x, g, (m, v) in zip((model.weights, model.transition, model.start), grads, moments, strict=True):
             m[:] = 0.9 * m + 0.1 * g
             v[:] = 0.99 * v + 0.01 * g * g
             x += rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-6)
     model.cache.clear()
     held = [k for k in range(len(texts)) if not k % 4]
-    evidence, _ = model.tag([texts[k] for k in held])
+    evidence = np.concatenate([model.tag([texts[k] for k in held[i : i + 100]])[0] for i in range(0, len(held), 100)])
     model.curve = fit_curve(evidence, np.array([toxic[k] for k in held], float))
     model.cache.clear()
     return model
@@ -271,7 +279,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str, *, max_docs:
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "label")
 
 
-def train_on(docs: DataFrame, labels: DataFrame, *, max_docs: int = 4000, max_chars: int = 20_000_000) -> Model:
+def train_on(docs: DataFrame, labels: DataFrame, *, max_docs: int = 4000, max_chars: int = 10_000_000) -> Model:
     """Train on a bounded sample of the labelled documents (``max_docs``, of which ``max_chars`` characters are read)."""
     texts, toxic, size = [], [], 0
     for r in training_rows(docs, labels, "toxic", max_docs=max_docs).toLocalIterator():
