@@ -73,6 +73,32 @@ def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+_RULES = ("base", "symbols", "lines", "letters")
+OP6_SQL = r"""
+WITH t AS (SELECT doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, host, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS g FROM i),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+c AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, i + k AS p FROM r CROSS JOIN range(8) AS o(k)) GROUP BY 1),
+m AS (SELECT doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
+        CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN c USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base, 10 * n_symbols > n_words AS symbols,
+        10 * n_dup_lines > 3 * n_lines AS lines, word_chars < 2 * n_words OR word_chars > 20 * n_words AS letters FROM m),
+h AS (SELECT host, count(*)::DOUBLE AS n, {sums} FROM f WHERE host IS NOT NULL GROUP BY 1),
+p AS (SELECT {moments} FROM h),
+v AS (SELECT host, greatest({rates}) > 0.5 AS host_failed FROM h CROSS JOIN p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base AS base_failed,
+  NOT base AND NOT coalesce(host_failed, false) AS kept FROM f LEFT JOIN v USING (host)
+""".replace("\\\\", "\\").format(
+    sums=", ".join(f"sum(CAST({r} AS INT)) AS {r}" for r in _RULES),
+    moments=", ".join(f"avg({r} / n) AS m_{r}, CASE WHEN var_pop({r} / n) > 0 THEN least(1000, greatest(1, avg({r} / n) * (1 - avg({r} / n)) / var_pop({r} / n) - 1)) ELSE 1000 END AS w_{r}" for r in _RULES),
+    rates=", ".join(f"({r} + m_{r} * w_{r}) / (n + w_{r})" for r in _RULES),
+)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item found in every document."""
     from .decontamination import find_contained
@@ -136,4 +162,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op7_decontamination": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op6_host_rules": OP6_SQL, "op7_decontamination": OP7_SQL}
