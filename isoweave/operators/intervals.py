@@ -70,13 +70,12 @@ def mean_coverage(spans: DataFrame, runs: DataFrame, keys: Sequence[str] = SPOT,
 
 
 def segment(df: DataFrame, cuts: DataFrame, keys: Sequence[str] = SPOT) -> DataFrame:
-    """Covered stretches cut at every bound; ``cuts`` has positions that begin a new segment."""
-    runs = coverage_runs(df, keys)
-    at = runs.select(*keys, F.col("lend").alias("pos")).unionByName(runs.select(*keys, (F.col("rend") + 1).alias("pos"))).unionByName(cuts.select(*keys, "pos")).distinct()
+    """H3: covered stretches, from one zero to the next, cut at the positions of ``cuts``, which begin a new segment."""
+    merged = merge_intervals(df, keys)
+    at = merged.select(*keys, F.col("lend").alias("pos")).unionByName(merged.select(*keys, (F.col("rend") + 1).alias("pos"))).unionByName(cuts.select(*keys, "pos")).distinct()
     w = Window.partitionBy(*keys).orderBy("pos")
     pieces = at.select(*keys, F.col("pos").alias("lend"), (F.lead("pos").over(w) - 1).alias("rend")).where("rend >= lend")
-    merged = merge_intervals(df, keys).select(*keys, F.col("lend").alias("lend2"), F.col("rend").alias("rend2"))
-    return interval_join(pieces, merged, keys, how="left_semi")
+    return interval_join(pieces, merged.select(*keys, F.col("lend").alias("lend2"), F.col("rend").alias("rend2")), keys, how="left_semi")
 
 
 def exon_segments(exons: DataFrame, keys: Sequence[str] = SPOT) -> DataFrame:

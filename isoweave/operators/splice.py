@@ -18,7 +18,7 @@ def has_flag(bit: int) -> Column:
     return F.col("flag").bitwiseAND(bit) != 0
 
 
-def discard_reason(*, min_mapq: int = 1, min_identity: float = 80.0, secondary: bool = False) -> Column:
+def discard_reason(*, min_mapq: int = 0, min_identity: float = 80.0, secondary: bool = True) -> Column:
     """Why an alignment (flag, mapq, cigar, nm) is dropped, null if it stays; the first reason counts."""
     identity = percent_identity(F.col("cigar"), F.col("nm"))
     return (

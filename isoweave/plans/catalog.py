@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions import scalar
-from ..operators import classify, graph, intervals, paths, quantify, splice, statistics
+from ..operators import assembly, classify, graph, intervals, paths, quantify, splice, statistics
 from .views import duck, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -374,7 +375,7 @@ def shared_boundary_prune(a: DataFrame) -> DataFrame:
 )
 def discard_reasons(a: DataFrame) -> DataFrame:
     """C1, C2."""
-    return a.select("read_id", splice.discard_reason().alias("reason"))
+    return a.select("read_id", splice.discard_reason(min_mapq=1, secondary=False).alias("reason"))
 
 
 @query(
@@ -687,3 +688,44 @@ def splice_hashes(a: DataFrame) -> DataFrame:
     d = splice.pretty_alignments(a).where(F.size("introns") > 0)
     chains = d.select(scalar.intron_string(F.col("contig"), F.col("strand"), F.col("introns")).alias("chain")).groupBy("chain").agg(F.count(F.lit(1)).alias("n"))
     return chains.select("chain", "n", scalar.splice_hash("chain").alias("splice_hash"))
+
+
+@query(None, "alignments")
+def discover_isoforms(a: DataFrame) -> DataFrame:
+    """Graph, paths, selection and transcripts; greedy, so without SQL."""
+    d = splice.pretty_alignments(a).select("read_id", "contig", "strand", "segments", "introns")
+    return assembly.discover(d, Config(min_transcript_length=30))
+
+
+@query(
+    f"WITH {BLOCKS}, {INTRONS}, c AS (SELECT contig, strand, lend, rend, read_id, right(read_id, 1) AS s FROM introns WHERE rend IS NOT NULL) SELECT contig, strand, lend, rend, count(*) FILTER (s < '4') AS a, count(*) FILTER (s >= '4') AS b FROM c GROUP BY 1, 2, 3, 4",
+    "alignments",
+)
+def intron_matrix(a: DataFrame) -> DataFrame:
+    """A21, E16."""
+    x = splice.pretty_alignments(a).select("contig", "strand", F.when(F.col("read_id").substr(-1, 1) < "4", "a").otherwise("b").alias("sample"), F.explode("introns").alias("i"))
+    n = x.groupBy("contig", "strand", F.col("i.lend").cast("long").alias("lend"), F.col("i.rend").cast("long").alias("rend"), "sample").agg(F.count(F.lit(1)).alias("support"))
+    return assembly.intron_matrix(n, ["a", "b"])
+
+
+@query(f"WITH {BLOCKS}, {INTRONS}, i AS (SELECT read_id, contig, strand, string_agg(lend || '-' || rend, ',' ORDER BY lend) AS chain FROM introns WHERE rend IS NOT NULL GROUP BY 1, 2, 3), s AS (SELECT read_id, min(lend) AS l, max(rend) AS r FROM segs GROUP BY 1) SELECT contig, strand, min(l) AS lend, max(r) AS rend, count(*) AS n_sources, chain FROM i JOIN s USING (read_id) GROUP BY contig, strand, chain", "alignments")
+def merge_catalogs(a: DataFrame) -> DataFrame:
+    """I15, B14, B17."""
+    t = splice.pretty_alignments(a).select(F.lit("x").alias("source"), F.col("read_id").alias("tx_id"), "contig", "strand", F.col("segments").alias("exons"))
+    m = assembly.splice_patterns(assembly.merge_catalogs(t))
+    chain = F.array_join(F.transform("introns", lambda i: F.concat_ws("-", i["lend"], i["rend"])), ",")
+    return m.select("contig", "strand", F.element_at("exons", 1)["lend"].cast("long").alias("lend"), F.element_at("exons", -1)["rend"].cast("long").alias("rend"), F.col("n_sources").cast("long").alias("n_sources"), chain.alias("chain"))
+
+
+@query("WITH g AS (SELECT DISTINCT l_orderkey AS read_id, l_partkey AS node FROM lineitem), n AS (SELECT node, count(*) AS n FROM g GROUP BY 1) SELECT read_id, CAST(sum(n) AS BIGINT) AS weight, count(*) AS n_nodes FROM g JOIN n USING (node) GROUP BY 1", "lineitem")
+def node_support(d: DataFrame) -> DataFrame:
+    """Reads behind each path's nodes."""
+    g = d.select(F.col("l_orderkey").alias("read_id"), F.col("l_partkey").alias("node")).distinct()
+    n = g.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    return g.join(n, "node").groupBy("read_id").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("n_nodes"))
+
+
+@query("SELECT p_partkey, reverse(translate(upper(p_name), 'ACGT', 'TGCA')) AS rc, (length(p_name) >= 7 AND length(regexp_replace(upper(p_name), '[^A]', '', 'g')) >= 0.2 * length(p_name)) AS poly, sha256(p_name) AS digest FROM part", "part")
+def sequence_functions(p: DataFrame) -> DataFrame:
+    """C6, K8, N12."""
+    return p.select("p_partkey", scalar.reverse_complement(F.upper("p_name")).alias("rc"), scalar.is_poly(F.col("p_name"), share=0.2).alias("poly"), F.sha2("p_name", 256).alias("digest"))
