@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows handled at a time inside an Arrow function, so that one slice stays small.
-SLICE_ROWS = 1000
+SLICE_ROWS = 250
 
 
 def shared_dir(spark: SparkSession) -> str:
