@@ -86,8 +86,8 @@ def grid_masks(groups: int, distance: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
-def cell_forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index, root index) of every fingerprint that is linked to another one of the cell.
+def cell_forest(fps: np.ndarray, distance: int, parents: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(index, root index) of every fingerprint that is linked to another one of the cell; or the one that reached it.
 
     A search from each unreached fingerprint; what is reached leaves the array, so a dense cell costs little more than
     one pass for each of its members over what is left.
@@ -109,7 +109,7 @@ def cell_forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]
                 hit = left[at[ok]]
                 if len(hit):
                     found.append(hit)
-                    roots.append(np.full(len(hit), root))
+                    roots.append(np.full(len(hit), k if parents else root))
                     todo.extend(hit.tolist())
                     near[at[~ok]] = False
                     left = left[~near]
@@ -117,10 +117,11 @@ def cell_forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(found), np.concatenate(roots)) if found else (none, none)
 
 
-def fingerprint_links(classes: DataFrame, *, distance: int = 3, groups: int = 6) -> DataFrame:
+def fingerprint_links(classes: DataFrame, *, distance: int = 3, groups: int = 6, parents: bool = False) -> DataFrame:
     """Links (u, v) between the ``rep`` of distinct fingerprints (fp, rep) within ``distance`` bits.
 
-    The links connect exactly what is linked; they are not all linked pairs.
+    The links connect exactly what is linked; they are not all linked pairs. With ``parents`` each link is itself within
+    the distance; else it goes to the first fingerprint of its tree, which takes fewer rounds to join up.
     """
     masks = grid_masks(groups, distance)
     cells = classes.where("rep IS NOT NULL").withColumn("code", embedding(F.col("fp"))).select(
@@ -136,7 +137,7 @@ def fingerprint_links(classes: DataFrame, *, distance: int = 3, groups: int = 6)
             us, vs = [], []
             for k in np.flatnonzero(size > 1):
                 a, b = bounds[k], bounds[k + 1]
-                i, root = cell_forest(fp[a:b].view(np.uint64), distance)
+                i, root = cell_forest(fp[a:b].view(np.uint64), distance, parents)
                 us.append(rep[a:b][i])
                 vs.append(rep[a:b][root])
             if not us:
@@ -160,22 +161,85 @@ def fingerprint_links(classes: DataFrame, *, distance: int = 3, groups: int = 6)
             yield out
 
     dealt = cells.select("choice", "cell", "fp", "rep").repartition("choice", "cell").sortWithinPartitions("choice", "cell", "fp")
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 3, seed: int = 42, distance: int = 3, groups: int = 6) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``; component_id is the smallest doc_id reachable."""
     prints = materialize(fingerprints(docs, width=width, seed=seed), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    parts = connected_components(fingerprint_links(classes, distance=distance, groups=groups))
+    # a count from the files' footers; distinct links stay far below one for each document and choice of groups
+    parts = connected_components(fingerprint_links(classes, distance=distance, groups=groups), most_edges=prints.count())
     roots = classes.join(parts, classes.rep == parts.vertex, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(roots, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options: int) -> DataFrame:
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, grams): the distinct hashed shingles of each row, sorted."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                sets = [np.unique(shingle_hashes((t.as_py() or b"").lower(), width, 42)).view(np.int64) for t in part.column(1).cast(pa.binary())]
+                grams = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), np.concatenate([*sets, np.empty(0, np.int64)]))
+                yield pa.RecordBatch.from_arrays([part.column(0), grams], names=["doc_id", "grams"])
+
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, grams array<long>")
+
+
+def word_fingerprints(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, fps): ``n`` fingerprints of single words, each from the words' hashes mixed anew."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                fps = []
+                for t in part.column(1).cast(pa.binary()):
+                    h = shingle_hashes((t.as_py() or b"").lower(), 1, 42)
+                    for _ in range(n):
+                        fps.append(majority_bits(h))
+                        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+                flat = pa.array(np.array(fps, np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(np.arange(0, len(fps) + 1, n, dtype=np.int32), flat)], names=["doc_id", "fps"])
+
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, fps array<long>")
+
+
+def similar_links(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, distance: int = 3, groups: int = 6, tables: int = 3) -> DataFrame:
+    """Links (u, v) of rows whose sets of ``width``-word shingles have at least this Jaccard similarity.
+
+    Candidates are links of fingerprints of single words, which a few changed words move little, in ``tables``
+    independent tables; each candidate is verified exactly by its shingles. Candidates are the trees of all cells and a
+    star for each fingerprint that several texts share, so their number follows the number of rows and never that of the
+    pairs in a group.
+    """
+    prints = materialize(word_fingerprints(docs.where("doc_id IS NOT NULL"), tables), "words")
+    found = None
+    for k in range(tables):
+        own = prints.select("doc_id", F.get("fps", F.lit(k)).alias("fp"))
+        classes = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+        stars = own.join(classes, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+        more = fingerprint_links(classes, distance=distance, groups=groups, parents=True).unionByName(stars)
+        found = more if found is None else found.unionByName(more)
+    links = materialize(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().coalesce(max(1, -(-prints.count() // 200_000))), "candidates")
+    ends = materialize(links.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "ends")
+    sets = materialize(shingle_sets(docs.join(ends, "doc_id", "left_semi"), width), "sets")
+    both = links.join(sets.select(F.col("doc_id").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("grams").alias("b")), "v")
+    shared, total = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
+    return both.where((shared > 0) & (shared >= similarity * (total - shared))).select("u", "v")
+
+
+def keep_one(docs: DataFrame, *, similarity: float = 0.8, **options: int) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose doc_id is their component's smallest.
 
-    Rows with the same doc_id are one document, of which the row with the least hash stays.
+    First come the components of fingerprints, then, among what stays, those of texts whose five-word shingles are
+    similar by 0.8 or more (``similar_links``). Rows with the same doc_id are one document, of which the row with the
+    least hash stays.
     Rows without a doc_id have no place in the order: of those with one fingerprint and no doc_id beside them, one text
     is kept.
     """
@@ -183,6 +247,10 @@ def keep_one(docs: DataFrame, **options: int) -> DataFrame:
     keys = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     row = F.struct(*[F.col(c) for c in docs.columns])
     named = docs.join(keys, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
+    named = materialize(named, "kept")
+    parts = connected_components(similar_links(named.select("doc_id", "text"), similarity=similarity))
+    gone = materialize(parts.where("vertex <> component").select(F.col("vertex").alias("doc_id")).coalesce(1), "gone")
+    named = named.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if not docs.schema["doc_id"].nullable:
         return named
     lone = found.where("doc_id IS NULL AND component_id IS NULL")

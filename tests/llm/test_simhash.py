@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 
 from isoweave.llm.components import connected_components
-from isoweave.llm.simhash import cell_forest, fingerprints, near_duplicates
+from isoweave.llm.simhash import cell_forest, fingerprints, keep_one, near_duplicates, similar_links
 
 
 def plain_fingerprint(text):
@@ -80,3 +80,36 @@ def test_fingerprint_of_hot_words(spark):
     text = "same same same " * 1000
     row = fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert row.fp & (2**64 - 1) == plain_fingerprint(text)
+
+
+def grams5(t):
+    w = (t or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_similar_links_and_keep_one(spark):
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(2000)]
+    base = [[rng.choice(vocab) for _ in range(200)] for _ in range(50)]
+    texts = [" ".join(w) for w in base]
+    for w in base[:30]:
+        for changes in (1, 2, 3, 12):
+            v = list(w)
+            for _ in range(changes):
+                v[rng.randrange(len(v))] = rng.choice(vocab)
+            texts.append(" ".join(v))
+    shuffled = list(base[40])
+    rng.shuffle(shuffled)
+    texts.append(" ".join(shuffled))  # the same words in another order are no copy
+    texts += ["", None]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, grams string")
+    sets = [grams5(t) for t in texts]
+    true = {(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    got = {(r.u, r.v) for r in similar_links(docs).collect()}
+    assert got <= true
+    kept = {r.doc_id for r in keep_one(docs).collect()}
+    assert set(range(50)) <= kept and len(texts) - 3 in kept
+    copies = [i for i in range(50, 170) if any((i, j) in true for j in range(i))]
+    assert len(copies) >= 85 and sum(i not in kept for i in copies) >= 0.9 * len(copies)
+    assert all(i in kept for i in range(50, 170) if i not in copies)
+    assert keep_one(docs).columns == docs.columns and keep_one(docs.limit(0)).count() == 0
