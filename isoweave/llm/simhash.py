@@ -189,36 +189,53 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, grams array<long>")
 
 
-def word_fingerprints(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, fps): ``n`` fingerprints of single words, each from the words' hashes mixed anew."""
+SKETCH = 32
+
+
+def set_sketch(grams: np.ndarray) -> np.ndarray:
+    """One-permutation MinHash of sorted distinct hashes: the least of each of 32 bins, -1 for an empty one."""
+    out = np.full(SKETCH, -1, np.int32)
+    bins = (grams >> np.uint64(59)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    out[bins[first]] = ((grams[first] >> np.uint64(28)) & np.uint64(0x7FFFFFFF)).astype(np.int32)
+    return out
+
+
+def document_prints(docs: DataFrame, *, width: int, seed: int, tables: int, gram_width: int) -> DataFrame:
+    """(doc_id, fp, fps, sketch) in one pass: the fingerprint, ``tables`` fingerprints of single words, each from the
+    words' hashes mixed anew, and a sketch of the ``gram_width``-word shingles."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
-                fps = []
+                fp, fps, sketches = [], [], []
                 for t in part.column(1).cast(pa.binary()):
-                    h = shingle_hashes((t.as_py() or b"").lower(), 1, 42)
-                    for _ in range(n):
+                    text = (t.as_py() or b"").lower()
+                    fp.append(majority_bits(shingle_hashes(text, width, seed)))
+                    h = shingle_hashes(text, 1, seed)
+                    for _ in range(tables):
                         fps.append(majority_bits(h))
                         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
                         h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-                flat = pa.array(np.array(fps, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(np.arange(0, len(fps) + 1, n, dtype=np.int32), flat)], names=["doc_id", "fps"])
+                    sketches.append(set_sketch(np.unique(shingle_hashes(text, gram_width, seed))))
+                n = len(fp)
+                lists = pa.ListArray.from_arrays(np.arange(0, n * tables + 1, tables, dtype=np.int32), pa.array(np.array(fps, np.uint64).view(np.int64)))
+                sketch = pa.ListArray.from_arrays(np.arange(0, n * SKETCH + 1, SKETCH, dtype=np.int32), pa.array(np.concatenate(sketches) if n else np.empty(0, np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), lists, sketch], names=["doc_id", "fp", "fps", "sketch"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, fps array<long>")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, fp long, fps array<long>, sketch array<int>")
 
 
-def similar_links(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, distance: int = 3, groups: int = 6, tables: int = 3) -> DataFrame:
+def similar_links(docs: DataFrame, prints: DataFrame, *, width: int = 5, similarity: float = 0.8, distance: int = 3, groups: int = 6, tables: int = 3, least_estimate: float = 0.5) -> DataFrame:
     """Links (u, v) of rows whose sets of ``width``-word shingles have at least this Jaccard similarity.
 
-    Candidates are links of fingerprints of single words, which a few changed words move little, in ``tables``
-    independent tables; each candidate is verified exactly by its shingles. Candidates are the trees of all cells and a
-    star for each fingerprint that several texts share, so their number follows the number of rows and never that of the
-    pairs in a group.
+    Candidates are links of fingerprints of single words, which a few changed words move little, in independent tables
+    (``prints``), whose sketches agree in ``least_estimate`` of the bins; each is verified exactly by its shingles.
+    Candidates are the trees of all cells and a star for each fingerprint that several texts share, so their number
+    follows the number of rows and never that of the pairs in a group. Texts are only moved for rows with a candidate.
     """
-    prints = materialize(word_fingerprints(docs.where("doc_id IS NOT NULL"), tables), "words")
     found = None
     for k in range(tables):
         own = prints.select("doc_id", F.get("fps", F.lit(k)).alias("fp"))
@@ -226,38 +243,43 @@ def similar_links(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, d
         stars = own.join(classes, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
         more = fingerprint_links(classes, distance=distance, groups=groups, parents=True).unionByName(stars)
         found = more if found is None else found.unionByName(more)
-    links = materialize(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().coalesce(max(1, -(-prints.count() // 200_000))), "candidates")
-    ends = materialize(links.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "ends")
-    sets = materialize(shingle_sets(docs.join(ends, "doc_id", "left_semi"), width), "sets")
+    links = found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    sketched = links.join(prints.select(F.col("doc_id").alias("u"), F.col("sketch").alias("a")), "u").join(prints.select(F.col("doc_id").alias("v"), F.col("sketch").alias("b")), "v")
+    bins = F.zip_with("a", "b", lambda x, y: F.when((x < 0) & (y < 0), 0).when(x == y, 101).otherwise(1))  # 100 for an equal bin, 1 for a used one
+    total = F.aggregate(bins, F.lit(0), lambda acc, x: acc + x)
+    close = F.floor(total / 100) >= least_estimate * (total % 100)
+    files = max(1, -(-prints.count() // 200_000))
+    links = materialize(sketched.where(close).select("u", "v").coalesce(files), "candidates")
+    ends = materialize(links.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct().coalesce(files), "ends")
+    sets = materialize(shingle_sets(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width), "sets")
     both = links.join(sets.select(F.col("doc_id").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("grams").alias("b")), "v")
-    shared, total = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
-    return both.where((shared > 0) & (shared >= similarity * (total - shared))).select("u", "v")
+    shared, size = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
+    return both.where((shared > 0) & (shared >= similarity * (size - shared))).select("u", "v")
 
 
-def keep_one(docs: DataFrame, *, similarity: float = 0.8, **options: int) -> DataFrame:
+def keep_one(docs: DataFrame, *, width: int = 3, seed: int = 42, distance: int = 3, groups: int = 6, similarity: float = 0.8, gram_width: int = 5, tables: int = 3) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose doc_id is their component's smallest.
 
     First come the components of fingerprints, then, among what stays, those of texts whose five-word shingles are
     similar by 0.8 or more (``similar_links``). Rows with the same doc_id are one document, of which the row with the
-    least hash stays.
-    Rows without a doc_id have no place in the order: of those with one fingerprint and no doc_id beside them, one text
-    is kept.
+    least hash stays. Rows without a doc_id have no place in the order: of those with one fingerprint and no doc_id
+    beside them, one text is kept.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), **options)
-    keys = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    prints = materialize(document_prints(docs, width=width, seed=seed, tables=tables, gram_width=gram_width), "prints")
+    n = prints.count()
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    parts = connected_components(fingerprint_links(classes, distance=distance, groups=groups), most_edges=n)
+    roots = classes.join(parts, classes.rep == parts.vertex, "left").where("rep IS NOT NULL AND (component IS NULL OR component = rep)").select(F.col("rep").alias("doc_id"))
+    first = materialize(prints.join(roots, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "first")
+    alike = connected_components(similar_links(docs, first, width=gram_width, similarity=similarity, distance=distance, groups=groups, tables=tables), most_edges=n)
+    keys = first.select("doc_id").join(alike.where("vertex <> component").select(F.col("vertex").alias("doc_id")), "doc_id", "left_anti")
     row = F.struct(*[F.col(c) for c in docs.columns])
     named = docs.join(keys, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
-    named = materialize(named, "kept")
-    parts = connected_components(similar_links(named.select("doc_id", "text"), similarity=similarity))
-    gone = materialize(parts.where("vertex <> component").select(F.col("vertex").alias("doc_id")).coalesce(1), "gone")
-    named = named.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if not docs.schema["doc_id"].nullable:
-        return named
-    lone = found.where("doc_id IS NULL AND component_id IS NULL")
+    lone = classes.where("rep IS NULL")
     if lone.isEmpty():
         return named
     nameless = docs.where("doc_id IS NULL")
-    order = fingerprints(nameless.select(F.xxhash64("text").alias("doc_id"), "text")).withColumn("fingerprint", F.lpad(F.lower(F.hex("fp")), 16, "0"))
-    order = order.join(lone.select("fingerprint").distinct(), "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min("doc_id").alias("key"))
-    rest = nameless.withColumn("__key", F.xxhash64("text")).join(order.select(F.col("key").alias("__key")), "__key", "left_semi").select(*docs.columns).dropDuplicates(["text"])
+    order = fingerprints(nameless.select(F.xxhash64("text").alias("doc_id"), "text"), width=width, seed=seed)
+    order = order.join(lone.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("__key")).select("__key")
+    rest = nameless.withColumn("__key", F.xxhash64("text")).join(order, "__key", "left_semi").select(*docs.columns).dropDuplicates(["text"])
     return named.unionByName(rest)
