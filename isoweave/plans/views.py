@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: name -> SQL over tables and earlier views.
 VIEWS: dict[str, str] = {
     "tracking": "SELECT DISTINCT l_suppkey % 10 AS gene_id, l_suppkey AS tx_id, l_orderkey AS read_id, l_orderkey % 50 AS cell FROM lineitem",
-    "pieces": "SELECT l_returnflag AS contig, l_linestatus AS strand, l_partkey * 10 + l_linenumber AS lend, l_partkey * 10 + l_linenumber + CAST(floor(l_quantity) AS BIGINT) AS rend, l_orderkey AS read_id, l_suppkey AS tx_id, concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS piece_id FROM lineitem",
-    "exons": "SELECT DISTINCT contig, strand, lend, rend FROM pieces WHERE (rend - lend) % 7 = 0",
+    "pieces": "SELECT l_returnflag AS contig, l_linestatus AS strand, l_partkey * 10 + l_linenumber AS lend, l_partkey * 10 + l_linenumber + CAST(floor(l_quantity) AS BIGINT) AS rend, l_orderkey AS read_id, l_suppkey AS tx_id, concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS piece_id, l_tax AS tax FROM lineitem",
+    # the annotated exons are what a high tax marks
+    "exons": "SELECT DISTINCT contig, strand, lend, rend FROM pieces WHERE tax > 0.065",
     "cells": "SELECT DISTINCT l_orderkey % 50 AS cell, CASE WHEN l_orderkey % 50 < 20 THEN 'c0' WHEN l_orderkey % 50 < 35 THEN 'c1' ELSE 'c2' END AS cluster FROM lineitem",
     "usage": "SELECT l_suppkey % 10 AS gene_id, l_suppkey AS tx_id, CAST(sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END) AS DOUBLE) AS count_a, CAST(sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) AS DOUBLE) AS count_b FROM lineitem GROUP BY l_suppkey",
     "clustered": "SELECT l_suppkey % 10 AS gene_id, l_suppkey AS tx_id, l_linestatus || l_returnflag AS cluster, CAST(sum(l_quantity) AS DOUBLE) AS n FROM lineitem GROUP BY l_suppkey, l_linestatus, l_returnflag",
