@@ -60,8 +60,13 @@ def cigar_segments(cigar: Column, pos: Column, gap: int = 10) -> Column:
 
 def introns_of(segments: Column) -> Column:
     """A4: gaps between consecutive segments."""
-    n = F.size(segments)
-    return F.when(n > 1, F.zip_with(F.slice(segments, 1, F.greatest(n - 1, F.lit(0))), F.slice(segments, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.struct((a["rend"] + 1).alias("lend"), (b["lend"] - 1).alias("rend")))).otherwise(F.expr(f"CAST(array() AS array<{SEGMENT}>)"))
+
+    def gaps(x: Column) -> Column:
+        n = F.size(x)
+        rest = F.greatest(n - 1, F.lit(0))
+        return F.zip_with(F.slice(x, F.lit(1), rest), F.slice(x, F.lit(2), rest), lambda a, b: F.struct((a["rend"] + 1).alias("lend"), (b["lend"] - 1).alias("rend")))
+
+    return bind(segments, gaps)
 
 
 def total_length(segments: Column) -> Column:
