@@ -113,3 +113,15 @@ def test_similar_links_and_keep_one(spark):
     assert len(copies) >= 85 and sum(i not in kept for i in copies) >= 0.9 * len(copies)
     assert all(i in kept for i in range(50, 170) if i not in copies)
     assert keep_one(docs).columns == docs.columns and keep_one(docs.limit(0)).count() == 0
+
+
+def test_copies_with_added_text(spark):
+    rng = random.Random(4)
+    vocab = [f"u{i}" for i in range(20000)]
+    rows = []
+    for k in range(120):
+        words = [rng.choice(vocab) for _ in range((100, 300, 800)[k % 3])]
+        more = [rng.choice(vocab) for _ in range(len(words) // (5, 10)[k % 2])]
+        rows += [(k, " ".join(words)), (1000 + k, " ".join([*words, *more] if k % 4 < 2 else [*more, *words]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in keep_one(docs).collect()} == set(range(120))
