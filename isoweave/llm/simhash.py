@@ -242,31 +242,96 @@ def verified(docs: DataFrame, links: DataFrame, sketches: DataFrame, files: int,
     return both.where((shared > 0) & (shared >= similarity * (size - shared))).select("u", "v")
 
 
-def similar_links(docs: DataFrame, prints: DataFrame, *, width: int = 5, similarity: float = 0.8, least_estimate: float = 0.5) -> DataFrame:
-    """Links (u, v) of rows whose sets of ``width``-word shingles have at least this Jaccard similarity.
+#: Rows of one block of a group; each two blocks are compared in one task.
+BLOCK_ROWS = 2000
+
+
+def group_links(roots: np.ndarray, band: int, sketches: np.ndarray, grams: list[np.ndarray], similarity: float, least_estimate: float) -> list[tuple[int, int]]:
+    """Verified links that connect all that is similar in a group, beyond what equal ``roots`` connect already.
+
+    Every two members are compared unless they are connected by then. A pair is left to the first band that it shares.
+    """
+    label = np.unique(roots, return_inverse=True)[1]
+    out = []
+    for i in range(len(label) - 1):
+        j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        if not len(j):
+            continue
+        equal = sketches[j] == sketches[i]
+        first = equal.reshape(len(j), -1, ROWS).all(axis=2).argmax(axis=1) == band
+        for k in j[first & (equal.sum(axis=1) >= least_estimate * sketches.shape[1])].tolist():
+            if label[k] == label[i]:
+                continue
+            shared = len(np.intersect1d(grams[i], grams[k], assume_unique=True))
+            if shared >= similarity * (len(grams[i]) + len(grams[k]) - shared):
+                out.append((i, k))
+                label[label == label[k]] = label[i]
+    return out
+
+
+def rest_links(docs: DataFrame, rest: DataFrame, sketches: DataFrame, width: int, similarity: float, least_estimate: float) -> DataFrame:
+    """Links (u, v) within each cell of ``rest`` (cell, band, doc_id, root), by ``group_links``.
+
+    Rows of a large cell are dealt to blocks of about ``BLOCK_ROWS``, and each two blocks are one group, so that a cell
+    with many texts is spread over tasks.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    ids = rest.select("doc_id").distinct()
+    sets = materialize(shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width), "sets")
+    blocks = rest.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    dealt = rest.join(blocks, "cell").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    wide = dealt.join(sketches, "doc_id").join(sets, "doc_id").select("cell", "band", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "doc_id", "root", "sketch", "grams")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by("doc_id")
+        roots = group.column("root").to_numpy()
+        sketch = np.stack(group.column("sketch").to_numpy())
+        grams = group.column("grams").to_numpy()
+        found = group_links(roots, group.column("band")[0].as_py(), sketch, list(grams), similarity, least_estimate)
+        u, v = [k for _, k in found], [i for i, _ in found]
+        return pa.table({"u": group.column("doc_id").take(pa.array(u, pa.int64())), "v": group.column("doc_id").take(pa.array(v, pa.int64()))})
+
+    return wide.groupBy("cell", "band", "a", "b").applyInArrow(run, f"u {kind}, v {kind}")
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, *, width: int = 5, similarity: float = 0.8, least_estimate: float = 0.5, placed: DataFrame | None = None) -> DataFrame:
+    """Links (u, v) that connect all rows whose sets of ``width``-word shingles have at least this Jaccard similarity.
 
     Candidates are texts with an equal band of ``ROWS`` MinHashes (``prints``), whose sketches agree in
     ``least_estimate``; each is verified exactly by its shingles. A pair of similarity s shares none of t bands with a
-    chance of (1 - s ** 4) ** t: 2.7e-5 for 0.8 and 20 bands, 8e-10 for 0.9, whatever the edit and the length. Texts with equal
-    sets are linked to the least of them. In each band, texts are verified against the least of those that share it.
+    chance of (1 - s ** 4) ** t: 2.7e-5 for 0.8 and 20 bands, 8e-10 for 0.9, whatever the edit and the length.
+
+    Texts with equal sets are linked to the least of them, which alone goes on. In each band, those that share it are
+    verified against the least one, and then what is not connected yet against each other (``rest_links``), so every
+    candidate pair is verified or connected by others. ``placed`` (doc_id, root) names what is connected before.
     """
     known = prints.where("doc_id IS NOT NULL AND sketch IS NOT NULL")
     reps = known.groupBy("same").agg(F.min("doc_id").alias("rep"))
     equal = known.join(reps, "same").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     own = materialize(known.join(reps.select("same", F.col("rep").alias("doc_id")), ["same", "doc_id"], "left_semi").select("doc_id", "sketch").dropDuplicates(["doc_id"]), "sketches")
+    rooted = own.withColumn("root", F.col("doc_id")) if placed is None else own.join(placed, "doc_id")
     files = max(1, -(-prints.count() // 200_000))
     bands = F.transform(F.sequence(F.lit(0), (F.size("sketch") / ROWS).cast("int") - 1), lambda k: F.xxhash64(k, F.slice("sketch", k * ROWS + 1, F.lit(ROWS))))
-    cells = own.select("doc_id", F.explode(bands).alias("cell"))
-    shared = cells.groupBy("cell").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot <> last").select("cell", "pivot")
-    stars = cells.join(shared, "cell").where("doc_id <> pivot").select(F.col("doc_id").alias("u"), F.col("pivot").alias("v")).distinct()
-    return verified(docs, stars, own, files, width, similarity, least_estimate).unionByName(equal)
+    cells = rooted.select("doc_id", "root", F.posexplode(bands).alias("band", "cell"))
+    mixed = cells.groupBy("cell").agg(F.min("doc_id").alias("pivot"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell", "pivot")
+    members = materialize(cells.join(mixed, "cell").where("doc_id <> pivot"), "members")
+    stars = members.select(F.col("doc_id").alias("u"), F.col("pivot").alias("v")).distinct()
+    first = materialize(verified(docs, stars, own, files, width, similarity, least_estimate).coalesce(files), "links")
+    # what the first links connect, by roots
+    root = rooted.select("doc_id", "root")
+    ends = first.join(root.select(F.col("doc_id").alias("u"), F.col("root").alias("r")), "u").join(root.select(F.col("doc_id").alias("v"), F.col("root").alias("s")), "v").select(F.col("r").alias("u"), F.col("s").alias("v"))
+    parts = connected_components(ends, most_edges=200_000 * files)
+    left = members.join(parts.withColumnRenamed("vertex", "root"), "root", "left").select("cell", "band", "doc_id", F.coalesce("component", "root").alias("root"))
+    open_cells = left.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
+    rest = materialize(left.join(open_cells, "cell", "left_semi"), "rest")
+    return rest_links(docs, rest, own, width, similarity, least_estimate).unionByName(first).unionByName(equal)
 
 
 def keep_one(docs: DataFrame, *, width: int = 3, seed: int = 42, distance: int = 3, groups: int = 6, similarity: float = 0.8, gram_width: int = 5, tables: int = 20) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose doc_id is their component's smallest.
 
-    First come the components of fingerprints, then, among what stays, those of texts whose five-word shingles are
-    similar by 0.8 or more (``similar_links``). Rows with the same doc_id are one document, of which the row with the
+    Components are those of fingerprints, joined where two texts' five-word shingles are similar by 0.8 or more
+    (``similar_links``); all texts are searched. Rows with the same doc_id are one document, of which the row with the
     least hash stays. Rows without a doc_id have no place in the order: of those with one fingerprint and no doc_id
     beside them, one text is kept.
     """
@@ -274,10 +339,12 @@ def keep_one(docs: DataFrame, *, width: int = 3, seed: int = 42, distance: int =
     n = prints.count()
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     parts = connected_components(fingerprint_links(classes, distance=distance, groups=groups), most_edges=n)
-    roots = classes.join(parts, classes.rep == parts.vertex, "left").where("rep IS NOT NULL AND (component IS NULL OR component = rep)").select(F.col("rep").alias("doc_id"))
-    first = materialize(prints.join(roots, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "first")
-    alike = connected_components(similar_links(docs, first, width=gram_width, similarity=similarity), most_edges=n)
-    keys = first.select("doc_id").join(alike.where("vertex <> component").select(F.col("vertex").alias("doc_id")), "doc_id", "left_anti")
+    roots = classes.where("rep IS NOT NULL").join(parts, classes.rep == parts.vertex, "left").select("fp", F.coalesce("component", "rep").alias("root"))
+    placed = materialize(prints.where("doc_id IS NOT NULL").join(roots, "fp").groupBy("doc_id").agg(F.min("root").alias("root")), "placed")
+    alike = similar_links(docs, prints, width=gram_width, similarity=similarity, placed=placed)
+    joined = alike.join(placed.select(F.col("doc_id").alias("u"), F.col("root").alias("r")), "u").join(placed.select(F.col("doc_id").alias("v"), F.col("root").alias("s")), "v").select(F.col("r").alias("u"), F.col("s").alias("v"))
+    merged = connected_components(joined, most_edges=n)
+    keys = placed.where("doc_id = root").select("doc_id").join(merged.where("vertex <> component").select(F.col("vertex").alias("doc_id")), "doc_id", "left_anti")
     row = F.struct(*[F.col(c) for c in docs.columns])
     named = docs.join(keys, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
     lone = classes.where("rep IS NULL")

@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 
 from isoweave.llm.components import connected_components
-from isoweave.llm.simhash import cell_forest, document_prints, fingerprints, keep_one, near_duplicates, similar_links
+from isoweave.llm.simhash import cell_forest, document_prints, fingerprints, keep_one, near_duplicates, set_sketch, shingle_hashes, similar_links
 
 
 def plain_fingerprint(text):
@@ -125,3 +125,40 @@ def test_copies_with_added_text(spark):
         rows += [(k, " ".join(words)), (1000 + k, " ".join([*words, *more] if k % 4 < 2 else [*more, *words]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in keep_one(docs).collect()} == set(range(120))
+
+
+def test_group_whose_least_is_no_copy(spark):
+    rng = random.Random(9)
+    word = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
+    shared = word(160)
+    rows = [(0, [*word(50), *shared])]
+    for k in range(1, 40, 2):  # one template; each two are copies of each other only
+        own = word(50)
+        rows += [(k, [*own, *shared]), (k + 1, [*own[:-2], *word(2), *shared])]
+    chain = word(500)  # each is a copy of the next one, and the ends aren't
+    rows += [(100 + k, chain[20 * k : 400 + 20 * k]) for k in range(6)]
+    texts = {k: " ".join(w) for k, w in rows}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in keep_one(docs).collect()} == {0, *range(1, 40, 2), 100}
+    # with a single band, every pair that shares it
+    band = {k: tuple(set_sketch(np.unique(shingle_hashes(t.encode(), 5, 42)), 4).tolist()) for k, t in texts.items()}
+    met = [k for k in range(1, 40, 2) if band[k] == band[k + 1]]
+    assert sum(band[k] == band[0] for k in met) >= 3
+    kept = {r.doc_id for r in keep_one(docs, tables=1).collect()}
+    assert not kept & {k + 1 for k in met} and set(range(1, 40, 2)) <= kept
+
+
+def test_search_goes_beyond_removed_texts(spark):
+    base = [f"z{k}" for k in range(400)]
+    first, prints = " ".join(base), {}
+    for k in range(50):  # the second is the first by fingerprint, the third is similar to the second only
+        second = [*base[:-1], f"last{k}"]
+        texts = first, " ".join(second), " ".join([*(f"y{i}" for i in range(44)), *second[44:]])
+        prints = [plain_fingerprint(t) for t in texts]
+        if (prints[0] ^ prints[1]).bit_count() <= 3:
+            break
+    assert (prints[0] ^ prints[1]).bit_count() <= 3 < min((prints[2] ^ p).bit_count() for p in prints[:2])
+    a, b, c = map(grams5, texts)
+    assert len(a & c) < 0.8 * len(a | c) and len(b & c) >= 0.8 * len(b | c)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in keep_one(docs).collect()} == {0}
