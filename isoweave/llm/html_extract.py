@@ -2,14 +2,15 @@
 
 A page becomes blocks of text, each inside or outside an article. What markup names as menu, header, footer, sidebar,
 notice, advert, form, script, style or reader comment is left out. The words of all remaining blocks, page after page,
-are one token stream for each group of a host's pages; its suffixes are sorted by their first ``depth`` tokens by prefix
+are one token stream for each host; its suffixes are sorted by their first ``depth`` tokens by prefix
 doubling, so equal ranks are substrings of that length that repeat. A run is boilerplate if enough distinct pages hold
-it: outside an article ``least_pages`` of them, inside one more than ``article_share`` of the group's pages. Covered
+it: outside an article ``least_pages`` of them, inside one more than ``article_share`` of the host's pages. Covered
 words are removed and the unique runs kept. A page with an article keeps its blocks inside it only.
 
-A host's pages are dealt by hash to groups of about ``group_bytes`` of html, so the array's size is bounded and a host
-with a third of all pages is spread; hosts below that are one group. Equal streams count as one page, so copies of a page don't make
-its own text boilerplate. The html moves once; the few hosts with more than one group are found by a partial sum.
+A host of at most ``group_bytes`` of html is one group, whose array's size is so bounded. The pages of a larger host are
+counted over the whole host by a partial sum of hashed substrings (64 bits, each once for a page), and the repeated
+ones are joined back to their pages, so the rule is the same for every size and a host with a third of all pages is
+spread. Equal streams count as one page, so copies of a page don't make its own text boilerplate.
 
 Edge cases: null or empty html gives empty text; a null url is a host of its own; html that is cut short ends in what it
 has; a tag or comment that never ends hides the rest; repeated rows come back as often; null ids are carried; an empty
@@ -20,13 +21,15 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import SLICE_ROWS, materialize
+from .simhash import shingle_hashes
 
 # Names of HTML elements and the words that mark what is no article.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -156,6 +159,29 @@ def long_enough(gone: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
+def least_inside(pages: int, least_pages: int, article_share: float) -> int:
+    """A limit for what is inside articles that counts for hosts of a few pages too."""
+    return max(5, least_pages, int(article_share * pages) + 1)
+
+
+def unique_text(blocks: list[tuple[str, bool]], outside: np.ndarray, inside: np.ndarray, depth: int) -> str:
+    """The text of a page without the words that are covered outside or inside articles."""
+    own, article, at = [], any(i for _, i in blocks), 0
+    for text, is_inside in blocks:
+        words = text.split(" ")
+        gone = (inside if is_inside else outside)[at : at + len(words)]
+        at += len(words)
+        if article and not is_inside:
+            continue
+        if gone.any() and not gone.all():
+            gone = long_enough(gone, depth)
+        if gone.any():
+            text = " ".join(w for w, g in zip(words, gone, strict=True) if not g)
+        if text:
+            own.append(text)
+    return "\n\n".join(own)
+
+
 def extract_group(sources: list[str | None], depth: int, least_pages: int, article_share: float) -> list[str]:
     """The main text of each page of a group."""
     pages = [page_blocks(s) for s in sources]
@@ -174,39 +200,87 @@ def extract_group(sources: list[str | None], depth: int, least_pages: int, artic
         tokens.append(-1 - k)
         page += [len(where) - 1] * (len(tokens) - len(page))
     held = repeated_runs(np.array(tokens, np.int64), np.array(page, np.int64), depth) if tokens else np.zeros(0, np.int64)
-    # a limit for what is inside articles that counts for groups of a few pages too
-    inside_least = max(5, least_pages, int(article_share * len(where)) + 1)
+    inside_least = least_inside(len(where), least_pages, article_share)
     outside, inside = covered(held, least_pages, depth), covered(held, inside_least, depth)
-    texts = {}
-    for k, at in where:
-        own, article = [], any(i for _, i in pages[k])
-        for text, is_inside in pages[k]:
-            words = text.split(" ")
-            gone = (inside if is_inside else outside)[at : at + len(words)]
-            at += len(words)
-            if article and not is_inside:
-                continue
-            if gone.any() and not gone.all():
-                gone = long_enough(gone, depth)
-            if gone.any():
-                text = " ".join(w for w, g in zip(words, gone, strict=True) if not g)
-            if text:
-                own.append(text)
-        texts[k] = "\n\n".join(own)
+    texts = {k: unique_text(pages[k], outside[at:], inside[at:], depth) for k, at in where}
     return [texts[streams[tuple(b)]] if b else "" for b in pages]
 
 
+def run_hashes(blocks: list[tuple[str, bool]], depth: int) -> np.ndarray:
+    """Hash of the ``depth`` tokens from each position on, as far as the page has them."""
+    words = [w for text, _ in blocks for w in text.split(" ")]
+    return shingle_hashes(" ".join(words).encode(), depth, 0) if len(words) >= depth else np.empty(0, np.uint64)
+
+
+def extract_large(pages: DataFrame, depth: int, least_pages: int, article_share: float) -> DataFrame:
+    """What ``extract_group`` gives, for hosts of any size: ``pages`` are page_id, url, html, host."""
+    import xxhash
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    block = pa.list_(pa.struct([("text", pa.string()), ("inside", pa.bool_())]))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                yield batch.slice(at, SLICE_ROWS)
+
+    def pairs(blocks: list[dict]) -> list[tuple[str, bool]]:
+        return [(b["text"], b["inside"]) for b in blocks]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows(batches):
+            blocks = [page_blocks(s) for s in part.column(2).to_pylist()]
+            streams = [xxhash.xxh64_intdigest(repr(b)) - 2**63 for b in blocks]
+            listed = pa.array([[{"text": t, "inside": i} for t, i in b] for b in blocks], block)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(streams, pa.int64()), listed], names=["page_id", "url", "host", "stream", "blocks"])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows(batches):
+            found = [np.unique(run_hashes(pairs(b), depth)).view(np.int64) for b in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int64()))], names=["host", "page", "runs"])
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows(batches):
+            texts = []
+            for listed, held, n in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
+                blocks, pages_of = pairs(listed), {h["run"]: h["pages"] for h in held or ()}
+                counts = np.zeros(sum(t.count(" ") + 1 for t, _ in blocks), np.int64)
+                if pages_of:
+                    own = run_hashes(blocks, depth).view(np.int64).tolist()
+                    counts[: len(own)] = [pages_of.get(x, 0) for x in own]
+                texts.append(unique_text(blocks, covered(counts, least_pages, depth), covered(counts, least_inside(n, least_pages, article_share), depth), depth))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    parsed = pages.select("page_id", "url", "html", "host").mapInArrow(parse, f"page_id {kind}, url string, host string, stream long, blocks array<struct<text:string,inside:boolean>>")
+    parsed = materialize(parsed.withColumn("row", F.monotonically_increasing_id()), "parsed")
+    full = parsed.where(F.size("blocks") > 0)
+    # equal streams are one page, the one with the least row
+    pages_of = materialize(full.groupBy("host", "stream").agg(F.min("row").alias("page"), F.count(F.lit(1)).alias("n")), "streams")
+    copies = full.join(pages_of.where("n > 1").select("host", "stream", "page"), ["host", "stream"]).where("row <> page").select("row", "page")
+    copies = materialize(copies, "copies")
+    parsed = parsed.join(copies, "row", "left").withColumn("page", F.coalesce("page", "row"))
+    own = parsed.where("row = page AND size(blocks) > 0").select("host", "page", "blocks").mapInArrow(runs, "host string, page long, runs array<long>")
+    each = own.select("page", F.xxhash64("host").alias("h"), F.explode("runs").alias("run")).select("page", "run", F.xxhash64("h", "run").alias("key"))
+    repeated = materialize(each.groupBy("key").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least_pages), "repeated")
+    held = each.join(repeated, "key").groupBy("page").agg(F.collect_list(F.struct("run", "pages")).alias("held"))
+    number = pages_of.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    wide = parsed.join(held, "page", "left").join(F.broadcast(number), "host", "left").select("page_id", "url", "blocks", "held", F.coalesce("n", F.lit(0)).alias("n"))
+    return wide.mapInArrow(cover, f"page_id {kind}, url string, text string, n_chars long")
+
+
 def extract(pages: DataFrame, *, depth: int = 8, least_pages: int = 3, article_share: float = 0.5, group_bytes: int = 2_000_000) -> DataFrame:
     """page_id, url, text, n_chars for every row."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     p = pages.select("page_id", "url", "html", host.alias("host"))
     sizes = p.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 1).alias("size"))
-    large = materialize(sizes.where(F.col("size") > group_bytes).select("host", F.ceil(F.col("size") / group_bytes).cast("int").alias("n_groups")), "hosts")
-    dealt = p.join(large, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id"), F.coalesce("n_groups", F.lit(1))).cast("int"))
+    large = materialize(sizes.where(F.col("size") > group_bytes).select("host"), "hosts")
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
 
     def run(table: pa.Table) -> pa.Table:
         texts = extract_group(table.column("html").to_pylist(), depth, least_pages, article_share)
         return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    return dealt.select("host", "part", "page_id", "url", "html").groupBy("host", "part").applyInArrow(run, schema)
+    small = p.join(F.broadcast(large), "host", "left_anti").select("host", "page_id", "url", "html").groupBy("host").applyInArrow(run, schema)
+    if large.isEmpty():
+        return small
+    return small.unionByName(extract_large(p.join(F.broadcast(large), "host", "left_semi"), depth, least_pages, article_share))

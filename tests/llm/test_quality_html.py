@@ -153,3 +153,18 @@ def test_runs_against_brute_force():
                 grams.setdefault(tuple(tokens[i : i + depth]), set()).add(pages[i])
         want = [len(grams.get(tuple(tokens[i : i + depth]), ())) if i + depth <= len(tokens) and pages[i] == pages[i + depth - 1] else 0 for i in range(len(tokens))]
         assert got.tolist() == want
+
+
+def test_rule_does_not_depend_on_the_size_of_a_host(spark):
+    three, half, rows, want = sentence(12), sentence(12), [], {}
+    for i in range(60):
+        own, inside = sentence(25), i % 2 == 0
+        extra = [three] * (i in (3, 21, 45)) + [half] * (i % 20 != 7)
+        body = "".join(f"<p>{x}</p>" for x in [own, *extra])
+        rows.append((i, f"http://big.example/{i}", page(i, f"<article>{body}</article>" if inside else body)))
+        want[i] = own
+    rows += [(60, "http://big.example/copy", rows[5][2]), (61, "http://big.example/none", None), (None, "http://big.example/null", page(0, "<p>alone</p>")), (62, "http://small.example/", page(0, f"<p>{three}</p>"))]
+    want |= {60: want[5], 61: "", None: "alone", 62: three}
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (2_000_000, 3000):
+        assert {r.page_id: r.text for r in extract(frame, group_bytes=size).collect()} == want
