@@ -13,11 +13,14 @@ documents the field has not seen makes it a score. Offending offsets are runs of
 or more.
 
 Scoring is one pass without a shuffle. The model is of a fixed size whatever the corpus, so it is broadcast. Training
-reads at most ``max_docs`` labelled documents, half of them toxic where there are enough, least hash first.
+reads at most ``max_docs`` labelled documents, half of them toxic where there are enough, least hash first. Where they
+have more than ``max_chars`` characters, the longest ones give sentences chosen by hash from the whole text, up to a
+length that is the same for all; no document is left out.
 
 Edge cases: null, empty and wordless texts have no tokens and get the curve's value at zero; null ids are carried and
 count as held in for training (they have no label anyway); repeated rows are scored once each; an empty table gives no
-rows, and without labels of both kinds every score is zero; other columns are not read.
+rows, and without labels of both kinds every score is zero; labels of both kinds with documents of one kind only are an
+error; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ TABLE_BITS, MAX_TOKENS, LEAST_MARGINAL = 18, 128, 0.25
 #: A word with what surrounds it up to the next one; a sentence ends at a stop or a line break.
 TOKEN = re.compile(r"\w+")
 STOP = re.compile(r"[.!?\n]")
+#: A part of a sentence that ends with a word, for a sample of a long text.
+PIECE = re.compile(r"[^.!?\n]{1,1000}(?=\W|\Z)|[^.!?\n]{1,1000}")
 CACHE_WORDS = 400_000
 
 
@@ -279,15 +284,44 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str, *, max_docs:
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "label")
 
 
+def fair_length(lengths: list[int], total: int) -> int:
+    """The length to which the longest texts are cut so that all together have at most ``total``."""
+    left, n = total, len(lengths)
+    for k, x in enumerate(sorted(lengths)):
+        if x * (n - k) > left:
+            return left // (n - k)
+        left -= x
+    return max(lengths, default=0)
+
+
+def sample_sentences(text: str, most: int) -> str:
+    """Sentences of a text that is longer than ``most`` characters, least hash first, in their order."""
+    if len(text) <= most:
+        return text
+    order, size = [], 0
+    for _, a, b in sorted((zlib.crc32(f"{m.start()} {m[0]}".encode("utf-8", "surrogatepass")), *m.span()) for m in PIECE.finditer(text)):
+        if size + b - a + 1 <= most:
+            order.append((a, b))
+            size += b - a + 1
+    return "\n".join(text[a:b] for a, b in sorted(order))
+
+
 def train_on(docs: DataFrame, labels: DataFrame, *, max_docs: int = 4000, max_chars: int = 10_000_000) -> Model:
     """Train on a bounded sample of the labelled documents (``max_docs``, of which ``max_chars`` characters are read)."""
-    texts, toxic, size = [], [], 0
-    for r in training_rows(docs, labels, "toxic", max_docs=max_docs).toLocalIterator():
-        size += len(r.text or "")
-        if size > max_chars:
-            break
+    rows = training_rows(docs, labels, "toxic", max_docs=max_docs)
+    most = fair_length([r.n for r in rows.select(F.coalesce(F.length("text"), F.lit(0)).alias("n")).collect()], max_chars)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([None if t is None else sample_sentences(t, most) for t in batch.column(0).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([texts, batch.column(1)], names=["text", "label"])
+
+    texts, toxic = [], []
+    for r in rows.select(F.col("text").cast("string"), "label").mapInArrow(run, "text string, label int").toLocalIterator():
         texts.append(r.text)
         toxic.append(bool(r.label))
+    if len(set(toxic)) == 1 and labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").agg(F.count_distinct(F.col("toxic").cast("int"))).first()[0] > 1:
+        raise ValueError("labels are of both kinds, but the documents to train on are of one kind only")
     return train(texts, toxic)
 
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from isoweave.llm import compress_quality, crf
 from isoweave.llm.html_extract import extract, page_blocks, repeated_runs
@@ -168,3 +169,23 @@ def test_rule_does_not_depend_on_the_size_of_a_host(spark):
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     for size in (2_000_000, 3000):
         assert {r.page_id: r.text for r in extract(frame, group_bytes=size).collect()} == want
+
+
+def test_long_texts_do_not_end_the_sample(spark, tables):
+    rows, docs, labels = tables
+    size = sum(len(t) for _, t, *_ in rows)
+    long = docs.withColumn("text", F.when(F.col("doc_id").isin(*range(0, 40)), F.repeat(F.concat("text", F.lit(" ")), 200)).otherwise(F.col("text")))
+    got = {r.doc_id: r.score for r in crf.score_toxicity(docs, crf.train_on(long, labels, max_chars=size)).collect()}
+    assert np.mean([(got[r[0]] >= 0.5) == bool(r[3]) for r in rows]) > 0.95
+    assert crf.fair_length([1, 10, 100], 61) == 50 and crf.fair_length([1, 2], 10) == 2 and crf.fair_length([], 5) == 0
+    text = " ".join(sentence(9) for _ in range(200))
+    part = crf.sample_sentences(text, 1000)
+    assert 800 < len(part) <= 1000 and crf.sample_sentences(text, len(text)) == text
+    assert all(x in text for x in part.split("\n")) and part.split("\n")[-1] in text[len(text) // 2 :]
+    assert len(crf.sample_sentences("word " * 5000, 3000)) > 1900
+
+
+def test_one_label_left_is_an_error(spark, tables):
+    _, docs, labels = tables
+    with pytest.raises(ValueError):
+        crf.train_on(docs.join(labels.where("toxic = 0"), "doc_id", "left_semi"), labels)
