@@ -1,8 +1,8 @@
 """Licence scanning with ordered signature rules, in DataFrame functions only.
 
 Texts become lower-case words joined by single spaces. A rule is a regex over that line with a keyword, a priority, a
-label and a confidence. Only texts with a licence-like keyword are looked at, and only rules whose keyword occurs run
-their regex. A detection that lies inside another one's interval is suppressed if the other has the higher priority
+label and a confidence. Only texts with the keyword of any rule or with a base phrase are looked at, and only rules whose
+keyword occurs run their regex. A detection that lies inside another one's interval is suppressed if the other has the higher priority
 (lower number), or the same priority and a longer interval, or the same interval and an earlier rule.
 
 The scan is one pass without a shuffle; the rules are a table of fixed size inside the expression.
@@ -13,6 +13,7 @@ empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -24,9 +25,6 @@ from .spans import ascii_lower, bind, match_spans
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Texts without any of these hold no licence words.
-GATE = r"(?i)licen[cs]e|copyright|rights reserved|cc by|cc0|creative commons|public domain|spdx|warranty|permission|redistribution|copyleft"
-
 
 class Rule(NamedTuple):
     """One signature: the lower ``priority`` wins."""
@@ -134,6 +132,13 @@ def rules() -> list[Rule]:
     return out
 
 
+def gate(table: list[Rule]) -> str:
+    """Texts that don't match this regex hold neither a rule's keyword nor a base phrase."""
+    words = sorted({r.keyword for r in table} | set(BASE), key=lambda w: (len(w), w))
+    least = [w for k, w in enumerate(words) if not any(x in w for x in words[:k])]  # a word inside another one stands for both
+    return "(?i)" + "|".join(re.sub(r"([^\w ])", r"\\\1", w) for w in least)
+
+
 def _detections(line: Column, table: Column) -> Column:
     """array<struct<start, end, rule...>> of all rules whose keyword the line holds."""
 
@@ -161,10 +166,11 @@ def scan_licenses(docs: DataFrame, signatures: list[Rule] | None = None) -> Data
 
     score is 1 - the product of (1 - confidence) over the distinct labels found.
     """
-    table = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.regex).alias("regex"), F.lit(r.confidence).alias("confidence")) for k, r in enumerate(rules() if signatures is None else signatures)])
+    used = rules() if signatures is None else signatures
+    table = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.regex).alias("regex"), F.lit(r.confidence).alias("confidence")) for k, r in enumerate(used)])
     line = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), BETWEEN, " ")
     d = docs.select("doc_id", line.alias("line"))
-    d = d.select("doc_id", F.size(F.array_remove(F.split("line", " "), "")).cast("long").alias("n_words"), F.when(F.col("line").rlike(GATE), F.concat(F.lit(" "), F.trim(ascii_lower(F.col("line"))), F.lit(" "))).alias("line"))
+    d = d.select("doc_id", F.size(F.array_remove(F.split("line", " "), "")).cast("long").alias("n_words"), F.when(F.col("line").rlike(gate(used)), F.concat(F.lit(" "), F.trim(ascii_lower(F.col("line"))), F.lit(" "))).alias("line"))
     d = d.withColumn("w", F.when(F.col("line").isNotNull(), F.split(F.trim("line"), " ")))
 
     def at(i: Column, phrase: str) -> Column:

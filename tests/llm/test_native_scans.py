@@ -155,3 +155,20 @@ def test_rule_table():
     for r in table:
         re.compile(r.regex)
         assert not re.match(r.regex, "")
+
+
+def test_each_rule_passes_the_gate_alone(spark):
+    texts = {
+        "gpl": "This program is free software; you can redistribute it and/or modify it",
+        "warranty": "without warranties of any kind",
+        "isc": "permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted",
+        "unlicense": "this is free and unencumbered software released into the public domain",
+        "copyright": "Copyright (c) 2020",
+        "cc0": "CC0 1.0",
+    }
+    rows = [(k, t) for k, t in enumerate(texts.values())] + [(10, "provided on an as is"), (11, "provided AS-IS")]
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, label in [*enumerate(texts), (10, "warranty"), (11, "warranty")]:
+        assert label in got[k].labels.split(",") and got[k].score > 0, label
+    own = scan_licenses(spark.createDataFrame([(1, "some House-Rule text")], "doc_id long, text string"), [Rule(1, "own", "house rule", "house rule", 0.5)]).first()
+    assert own.labels == "own" and own.score == 0.5
