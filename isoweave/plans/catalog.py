@@ -689,7 +689,11 @@ def splice_hashes(a: DataFrame) -> DataFrame:
 
 @query(None, "alignments")
 def discover_isoforms(a: DataFrame) -> DataFrame:
-    """Graph, paths, selection and transcripts; greedy, so without SQL."""
+    """Graph, paths, selection and transcripts; greedy, so without SQL.
+
+    Neither island pruning (H8), exons inside introns (H7), clean path choice (I2) and gene clusters (I13) nor I4, I7,
+    I11 and the order of I14 are part of it; reads with a spacer are left out.
+    """
     d = splice.pretty_alignments(a).select("read_id", "contig", "strand", "segments", "introns")
     return assembly.discover(d, Config(min_transcript_length=30))
 
