@@ -41,10 +41,10 @@ def blocks(data: bytes) -> list[bytes]:
 
 
 def build_dictionary(samples: list[bytes]) -> bytes:
-    """A trained dictionary, or the samples themselves where there are too few to train on."""
+    """A trained dictionary from whole samples, or the samples themselves where there are too few to train on."""
     import zstandard
 
-    parts = [b for s in samples for b in blocks(s)[:16]]
+    parts = [b for s in samples for b in blocks(s)]
     try:
         return zstandard.train_dictionary(DICT_BYTES, parts).as_bytes()
     except zstandard.ZstdError:

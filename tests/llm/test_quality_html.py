@@ -189,3 +189,10 @@ def test_one_label_left_is_an_error(spark, tables):
     _, docs, labels = tables
     with pytest.raises(ValueError):
         crf.train_on(docs.join(labels.where("toxic = 0"), "doc_id", "left_semi"), labels)
+
+
+def test_dictionary_reads_whole_texts():
+    r = random.Random(5)
+    mark = b" a mark that only comes late in each of the texts "
+    samples = [r.randbytes(20_000) + mark * 5 for _ in range(60)]
+    assert mark in compress_quality.build_dictionary(samples)
