@@ -5,11 +5,14 @@ vector of the same three. Among the open bins that can hold an item whole, the o
 dot product with the item is taken. Where none can, the item is cut and its head fills the best open bin.
 
 Packing needs no shuffle: each task streams its rows through a fixed number of open bins, so memory does not grow with
-the input, and a hot source or a very long document is as good as any other. Long documents are emitted in full
-sequences as they come. A sequence that must be closed early is split at powers of two, which need no padding.
+the input, and a hot source or a very long document is as good as any other. A document of more ids than a sequence
+holds is emitted in full sequences as it comes. At a task's end the pieces of the emptiest bin go to the others until
+one bin is left, and that one is cut at powers of two, which need no padding. A sequence that the limit on segments or
+loss closes early is one sequence.
 
 Edge cases: a null or empty text is a document of one token (the end token); an empty table gives no rows; repeated
-rows are packed once each; a null id is carried as null; columns other than the two named ones are not read.
+rows are packed once each; a null id is carried as null; of bins with the same product the first one is taken; columns
+other than the named ones are not read.
 """
 
 from __future__ import annotations
@@ -120,11 +123,11 @@ class WordTokenizer:
 class Bin:
     """An open sequence."""
 
-    __slots__ = ("loss", "pieces", "tokens")
+    __slots__ = ("pieces", "tokens")
 
     def __init__(self) -> None:
         self.pieces: list[tuple] = []
-        self.tokens = self.loss = 0
+        self.tokens = 0
 
 
 class VectorPacker:
@@ -139,16 +142,23 @@ class VectorPacker:
         self.free = np.zeros((open_bins, 3))
         self.bins: list[Bin | None] = [None] * open_bins
         self.sequence = first_sequence
+        self.fewest = False  # at the end, an item is rather cut than given a new bin
         self.out: list[tuple] = []
 
     def add(self, key: object, ids: np.ndarray, loss: np.ndarray | None = None) -> None:
-        """``loss``: which of the ids bear loss; None means all."""
+        """``loss``: which of the ids bear loss; None means all. One of another length than ``ids`` is an error."""
+        if loss is not None and len(loss) != len(ids):
+            raise ValueError(f"loss has {len(loss)} marks for {len(ids)} ids")
+        self._place(key, ids, loss, 0, len(ids))
+
+    def _place(self, key: object, ids: np.ndarray, loss: np.ndarray | None, first: int, whole: int) -> None:
+        """Place the ids of ``key`` from ``first`` on; ``whole`` is the number of all its ids."""
         before = np.concatenate([[0], np.cumsum(loss)]) if loss is not None else None
         start, total = 0, len(ids)
         while start < total:
             left = total - start
             if left >= self.max_tokens and before is None and self.max_loss >= self.max_tokens:
-                self._emit([(key, start, ids[start : start + self.max_tokens], total)])
+                self._emit([(key, first + start, ids[start : start + self.max_tokens], whole)])
                 start += self.max_tokens
                 continue
             need = left if before is None else int(before[total] - before[start])
@@ -162,9 +172,8 @@ class VectorPacker:
             got = take if before is None else int(before[start + take] - before[start])
             if take:
                 b = self.bins[k]
-                b.pieces.append((key, start, ids[start : start + take], total))
+                b.pieces.append((key, first + start, ids[start : start + take], whole, None if loss is None else loss[start : start + take]))
                 b.tokens += take
-                b.loss += got
                 self.free[k] -= (take, 1, got)
                 start += take
             if self.free[k, 0] < 1 or self.free[k, 1] < 1 or (self.free[k, 2] < 1 and before is None):
@@ -179,22 +188,22 @@ class VectorPacker:
         fits = opened & (free >= need).all(axis=1)
         if fits.any():
             return int(np.where(fits, score, -1).argmax())
-        if not opened.all():
+        if not opened.all() and not (self.fewest and opened.any()):
             k = int((~opened).argmax())
             self.bins[k], self.free[k] = Bin(), self.limits
             return k
         return int(np.where(opened, score, -1).argmax())
 
     def _close(self, k: int) -> None:
-        self._emit(self.bins[k].pieces)
+        self._emit([p[:4] for p in self.bins[k].pieces])
         self.bins[k], self.free[k] = None, 0
 
-    def _emit(self, pieces: list[tuple]) -> None:
-        """One sequence; one whose length is below the limit becomes sequences of powers of two."""
+    def _emit(self, pieces: list[tuple], cut: bool = False) -> None:
+        """One sequence; with ``cut`` one whose length is below the limit becomes sequences of powers of two."""
         left = sum(len(p[2]) for p in pieces)
         at, done = 0, 0
         while left:
-            size = self.max_tokens if left >= self.max_tokens else 1 << (left.bit_length() - 1)
+            size = 1 << (left.bit_length() - 1) if cut and left < self.max_tokens else left
             offset = 0
             while offset < size:
                 key, start, ids, total = pieces[at]
@@ -209,26 +218,21 @@ class VectorPacker:
             left -= size
 
     def finish(self) -> None:
-        """Close the open bins: as many as the limits allow are joined, and the rest is cut at powers of two."""
-        rest = Bin()
-        for k, b in enumerate(self.bins):
-            if b is None:
-                continue
+        """Close the open bins: the pieces of the emptiest one go to the others by the heuristic until one bin is left.
+
+        Only that last bin is cut at powers of two.
+        """
+        while (opened := [k for k, b in enumerate(self.bins) if b is not None]):
+            k = min(opened, key=lambda i: (self.bins[i].tokens, i))
+            pieces = self.bins[k].pieces
             self.bins[k], self.free[k] = None, 0
-            if len(rest.pieces) + len(b.pieces) > self.max_segments or rest.loss + b.loss > self.max_loss:
-                self._emit(rest.pieces)
-                rest = Bin()
-            for key, start, ids, total in b.pieces:
-                room = self.max_tokens - rest.tokens
-                if len(ids) >= room:
-                    self._emit([*rest.pieces, (key, start, ids[:room], total)])
-                    rest = Bin()
-                    start, ids = start + room, ids[room:]
-                if len(ids):
-                    rest.pieces.append((key, start, ids, total))
-                    rest.tokens += len(ids)
-            rest.loss += b.loss
-        self._emit(rest.pieces)
+            if len(opened) == 1:
+                self._emit([p[:4] for p in pieces], cut=True)
+                return
+            self.fewest = True
+            for key, start, ids, total, loss in pieces:
+                self._place(key, ids, loss, start, total)
+            self.fewest = False
 
 
 def pack_documents(
@@ -239,7 +243,7 @@ def pack_documents(
     text_col: str = "text",
     end_id: int = 2,
     max_tokens: int = 4096,
-    max_segments: int = 256,
+    max_segments: int = 1024,
     max_loss: int = 4096,
     open_bins: int = 64,
 ) -> DataFrame:

@@ -97,3 +97,44 @@ def test_examples(spark):
     assert sorted((r.doc_id, r.length) for r in out if r.doc_id == 3) == [(3, 1)]
     assert sum(r.length for r in out if r.doc_id == 1) == 3
     assert {r.doc_id for r in out} == {1, 3}
+
+
+def sequences(out):
+    return len({r[5] for r in out})
+
+
+def test_sequences_are_few():
+    """At most twelve more than the tokens, the segments or the loss call for: the last bin is cut at powers of two."""
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(1, 3000, 400)
+    items = [rng.integers(0, 50000, n).astype(np.uint32) for n in sizes]
+    whole = VectorPacker(4096, 1024, 4096, 64, 0)
+    for k, ids in enumerate(items):
+        whole.add(k, ids)
+    whole.finish()
+    assert sequences(whole.out) <= -(-sizes.sum() // 4096) + 12
+
+    masks = [np.arange(n) >= n // 2 for n in sizes]  # prompts bear no loss
+    partly = VectorPacker(4096, 64, 2048, 64, 0)
+    for k, (ids, mask) in enumerate(zip(items, masks, strict=True)):
+        partly.add(k, ids, mask)
+    partly.finish()
+    ideal = max(-(-sizes.sum() // 4096), -(-sum(int(m.sum()) for m in masks) // 2048))
+    assert sequences(partly.out) <= 1.1 * ideal + 12
+
+    short = VectorPacker(4096, 8, 4096, 64, 0)
+    for k in range(1000):
+        short.add(k, items[k % 400][:20])
+    short.finish()
+    assert sequences(short.out) <= -(-1000 // 8) + 12
+
+
+def test_documents_fill_sequences(spark):
+    docs = spark.createDataFrame([(k, "word " * (k % 700 + 1)) for k in range(600)], "doc_id long, text string").coalesce(1)
+    rows = pack_documents(docs, tokenizer_path()).collect()
+    assert len({r.sequence_id for r in rows}) <= -(-sum(r.length for r in rows) // 4096) + 12
+
+
+def test_loss_of_another_length_is_an_error():
+    with pytest.raises(ValueError, match="marks"):
+        VectorPacker(4096, 8, 4096, 4, 0).add(1, np.arange(3, dtype=np.uint32), np.array([True]))
