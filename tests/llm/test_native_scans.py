@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 
 from isoweave.llm.host_rules import host_verdicts, judge, measure
-from isoweave.llm.license_scan import Rule, rules, scan_licenses
+from isoweave.llm.license_scan import Rule, gate, rules, scan_licenses
 from isoweave.llm.secret_scan import ordinary_samples, random_samples, redact_secrets, scan_secrets, train_markov
 
 R = random.Random(5)
@@ -172,3 +172,75 @@ def test_each_rule_passes_the_gate_alone(spark):
         assert label in got[k].labels.split(",") and got[k].score > 0, label
     own = scan_licenses(spark.createDataFrame([(1, "some House-Rule text")], "doc_id long, text string"), [Rule(1, "own", "house rule", "house rule", 0.5)]).first()
     assert own.labels == "own" and own.score == 0.5
+
+
+def example(pattern, most):
+    """A string that ``pattern`` matches: with ``most`` all optional parts and the last of alternatives, else neither."""
+    from re import _constants as c
+    from re import _parser
+
+    def of(items):
+        out = ""
+        for op, arg in items:
+            if op is c.LITERAL:
+                out += chr(arg)
+            elif op is c.ANY:
+                out += "x"
+            elif op is c.IN:
+                kind, value = arg[-1 if most else 0]
+                out += chr(value if kind is c.LITERAL else value[0])
+            elif op is c.MAX_REPEAT:
+                least, top, inner = arg
+                out += of(inner) * (max(1, least) if most and top else least)
+            elif op is c.SUBPATTERN:
+                out += of(arg[3])
+            elif op is c.BRANCH:
+                out += of(arg[1][-1 if most else 0])
+            else:
+                raise AssertionError(op)
+        return out
+
+    return of(_parser.parse(pattern))
+
+
+def test_every_rule_finds_its_own_example(spark):
+    table = rules()
+    samples = [(k, example(r.regex, most)) for k, r in enumerate(table) for most in (False, True)]
+    for k, t in samples:
+        assert re.fullmatch(table[k].regex, t) and table[k].keyword in t and re.search(gate(table), t), table[k]
+    got = scan_licenses(spark.createDataFrame([(k, f"x {t} y") for k, t in samples], "doc_id long, text string").repartition(8)).collect()
+    assert all(r.labels for r in got) and len(got) == len(samples)
+    # a rule is only left out where one that holds its match outranks it
+    for r in got:
+        own = table[r.doc_id]
+        if own.label not in r.labels.split(","):
+            texts = [t for k, t in samples if k == r.doc_id]
+            assert any(x.priority < own.priority or (x.priority == own.priority and (len(m[0]) > 0)) for x in table if x is not own for t in texts for m in re.finditer(f"(?<= ){x.regex}(?= )", f" x {t} y ")), own
+
+
+def test_many_detections_are_swept(spark):
+    text = "copyright " * 6000 + "this program is free software you can redistribute it and or modify it"
+    r = scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.labels == "copyright,gpl" and r.n_words == 6013
+
+
+def test_suppression_is_that_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    words = "a b c d e f".split()
+    table = [Rule(rng.randint(1, 4), f"r{k}", "", " ".join(rng.choice(words) for _ in range(rng.randint(1, 4))), 0.5) for k in range(40)]
+    docs = [(k, " ".join(rng.choice(words) for _ in range(60))) for k in range(20)]
+
+    def plain(t):
+        line = f" {t} "
+        found = [(m.start(), m.end(), r.priority, k) for k, r in enumerate(table) for m in re.finditer(f"(?<= )(?:{r.regex})(?= )", line)]
+
+        def beats(e, d):
+            size_e, size_d = e[1] - e[0], d[1] - d[0]
+            return e[0] <= d[0] and e[1] >= d[1] and (e[2] < d[2] or (e[2] == d[2] and (size_e > size_d or (size_e == size_d and e[3] < d[3]))))
+
+        return ",".join(sorted({table[d[3]].label for d in found if not any(beats(e, d) for e in found)}))
+
+    got = {r.doc_id: r.labels for r in scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()}
+    assert got == {k: plain(t) for k, t in docs}
