@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isoweave.llm import compress_quality, crf
-from isoweave.llm.html_extract import extract, page_blocks, repeated_runs
+from isoweave.llm.html_extract import extract, extract_group, page_blocks, page_counts, suffix_array
 
 R = random.Random(2)
 SYL = ["an", "th", "er", "in", "on", "re", "st", "ou", "le", "ti"]
@@ -135,25 +135,51 @@ def test_host_boilerplate(spark):
     for r in got:
         assert r.text == want[r.page_id] and r.n_chars == len(r.text)
     assert extract(frame.limit(0)).count() == 0
-    many = {r.page_id: r.text for r in extract(frame, article_share=1.0, group_bytes=3000).collect()}
-    assert set(many) == set(want)
+    assert {r.page_id: r.text for r in extract(frame, article_share=1.0, group_bytes=3000).collect()} == want
 
 
-def test_runs_against_brute_force():
+def test_suffix_array_against_brute_force():
     rng = np.random.default_rng(3)
-    for depth in (1, 2, 3, 5, 8):
+    for round_ in range(5):
         tokens, pages = [], []
         for p in range(6):
-            own = [*rng.integers(0, 3, rng.integers(0, 40)).tolist(), -1 - p]
-            tokens += own
-            pages += [p] * len(own)
-        got = repeated_runs(np.array(tokens), np.array(pages), depth)
-        grams = {}
-        for i in range(len(tokens) - depth + 1):
-            if pages[i] == pages[i + depth - 1]:
-                grams.setdefault(tuple(tokens[i : i + depth]), set()).add(pages[i])
-        want = [len(grams.get(tuple(tokens[i : i + depth]), ())) if i + depth <= len(tokens) and pages[i] == pages[i + depth - 1] else 0 for i in range(len(tokens))]
-        assert got.tolist() == want
+            own = rng.integers(0, 3, rng.integers(0, 40)).tolist()
+            tokens += [*own, -1 - p]
+            pages += [p] * (len(own) + 1)
+        order, common = suffix_array(np.array(tokens))
+        want = sorted(range(len(tokens)), key=lambda i: tokens[i:])
+        assert order.tolist() == want
+        for k in range(1, len(want)):
+            a, b = tokens[want[k - 1] :], tokens[want[k] :]
+            n = 0
+            while n < min(len(a), len(b)) and a[n] == b[n]:
+                n += 1
+            assert common[k] == n
+        counted = rng.random(len(tokens)) < 0.5
+        for depth in (1, 2, 3, 5, 8):
+            both = page_counts(np.array(tokens), np.array(pages), counted, depth)
+            for got, at in zip(both, (np.ones(len(tokens), bool), counted), strict=True):
+                for i in range(len(tokens)):
+                    if i + depth <= len(tokens) and pages[i] == pages[i + depth - 1] and min(tokens[i : i + depth]) >= 0:
+                        holders = {pages[j] for j in range(len(tokens)) if at[j] and tokens[j : j + depth] == tokens[i : i + depth]}
+                        assert got[i] == len(holders)
+    assert suffix_array(np.array([], np.int64))[0].tolist() == []
+
+
+def test_suffix_array_decides_without_telling_names(spark):
+    """Pages whose markup says nothing: only repeats tell boilerplate from text, and the whole query is known beforehand."""
+    menu, notice, foot = sentence(14), sentence(60), sentence(9)
+    rows, want = [], {}
+    for i in range(200):
+        host = i % 3
+        paras = [sentence(10 + (7 * i + k) % 40) for k in range(1 + i % 4)]
+        parts = [f"<div class='x{i}'>{menu} {host}</div>", *(f"<div><p>{t}</p></div>" for t in paras), f"<div>{notice}</div>", f"<div>{foot} no {host}</div>"]
+        rows.append((i, f"https://h{host}.example/{i}", f"<html><body>{''.join(parts)}</body></html>"))
+        want[i] = "\n\n".join(paras)
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (8_000_000, 30_000, 10):
+        assert {r.page_id: r.text for r in extract(frame, group_bytes=size).collect()} == want
+    assert extract_group([h for _, u, h in rows if "//h0" in u], 8, 1000, 1.0)[0] != want[0]  # it is the repeats that go
 
 
 def test_rule_does_not_depend_on_the_size_of_a_host(spark):
