@@ -1,27 +1,30 @@
 """Secret scanning with fixed patterns and character Markov models, in DataFrame functions only.
 
-Base patterns find assignments, access keys and hex runs. Then every long run of key-like characters is scored by the
-log-likelihood ratio of two first-order character models, one of random strings and one of ordinary identifiers, both
-trained from labelled samples. Runs whose mean ratio for each character pair is above a threshold, and that overlap no
-base span, become ``markov`` spans.
+Base patterns find assignments, access keys and hex runs. Then every run of 12 or more key-like characters is scored by
+the log-likelihood ratio of two first-order character models, one of random strings and one of ordinary identifiers, both
+trained from labelled samples. Runs whose summed ratio passes the odds against a secret, so that a short run needs as
+much evidence as a long one, and that overlap no base span, become ``markov`` spans.
 
 The scan is one pass without a shuffle. The model is a table of 128 x 128 pairs whatever the input, so it travels in
 the expression.
 
 Edge cases: a null text is empty and gives no spans (digest of the empty string); a null id is carried; repeated rows are
-scanned once each; an empty table gives no rows; other columns are not read by ``scan_secrets`` and are kept as they are
+scanned once each; spans that begin together stand in the order of the kinds; a very long text's matches are folded in
+blocks; an empty table gives no rows; other columns are not read by ``scan_secrets`` and are kept as they are
 by ``redact_secrets``.
 """
 
 from __future__ import annotations
 
 import math
+import string
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .spans import bind, match_spans, words_of
+from .common import free_name
+from .spans import bind, match_spans, running, words_of
 
 # The base patterns, their order and the least length of what they find.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,8 +34,9 @@ KINDS = ("assign", "access", "hex", "markov")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 #: What the Markov models look at.
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
-LEAST_DISTINCT = 8  # characters of a run, below which it's a pattern and no key
+RUN = r"[A-Za-z0-9+/_=-]{12,}"
+#: The sum of a run's log ratios has to pass the log of the odds against a secret, and more for each character.
+LEAST_EVIDENCE, LEAST_MEAN = 10.0, 0.4
 SPAN_TYPE = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -50,8 +54,12 @@ def ordinary_samples(docs: DataFrame, labels: DataFrame | None, n_docs: int = 20
     documents is the bound of the sample; without labels no document is read.
     """
     spark = docs.sparkSession
-    common = ["get_user_name", "maxRetryCount", "index.html", "content-type", "README", "HTTP_STATUS_CODE", "application/json", "background-color", "java/util/concurrent", "node_modules", "2024-01-31", "version=1", "user_id=12", "utf-8", "isReady", "----------", "==========", "__________"]
-    fixed = spark.createDataFrame([(x, 0) for x in common], "text string, label int")
+    common = ["get_user_name", "maxRetryCount", "index.html", "content-type", "README", "HTTP_STATUS_CODE", "application/json", "background-color", "java/util/concurrent", "node_modules", "2024-01-31", "version=1", "user_id=12", "utf-8", "isReady", "name=content", "width=device-width", "charset=utf-8", "key=value", "content=width", "rel=stylesheet", "secret=token", "DatabaseConnectionFactory"]
+    patterns = [c * 12 for c in string.ascii_letters + string.digits + "+/_=-"]
+    # numbers, dates and times are not secrets
+    numbers = [f"{(k * 2654435761) % 10**n:0{n}d}" for n in (4, 8, 12, 16) for k in range(1, 101)]
+    dates = [f"20{y:02d}-{m:02d}-{d:02d}T{m + 8:02d}-{2 * d:02d}" for y in range(10, 30, 3) for m in range(1, 13, 2) for d in range(1, 29, 5)]
+    fixed = spark.createDataFrame([(x, 0) for x in [*common, *patterns, *numbers, *dates]], "text string, label int")
     if labels is None:
         return fixed
     ids = [r[0] for r in labels.where("quality = 1").groupBy("doc_id").agg(F.lit(1).alias("one")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs).select("doc_id").collect()]
@@ -95,60 +103,64 @@ def _base(text: Column, kind: int) -> Column:
     return F.when(text.rlike(gate), out).otherwise(F.expr(f"CAST(array() AS {SPAN_TYPE})"))
 
 
-def _markov(text: Column, ratios: Sequence[float], threshold: float) -> Column:
+def _markov(text: Column, ratios: Sequence[float], least: float) -> Column:
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")  # folded to a literal
 
     def of_codes(codes: Column) -> Column:
         pairs = F.transform(F.slice(codes, 2, F.size(codes)), lambda b, i: F.get(table, F.get(codes, i) * 128 + b))
-        total = F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x) / (F.size(codes) - 1)
-        return F.when(F.size(F.array_distinct(codes)) >= LEAST_DISTINCT, total)
+        return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
 
-    def mean(value: Column) -> Column:  # by an array of codes, as a long string's characters are slow to reach
+    def evidence(value: Column) -> Column:  # by an array of codes, as a long string's characters are slow to reach
         return bind(F.transform(F.split(value, ""), lambda c: F.ascii(c)), of_codes)
 
-    kept = F.filter(match_spans(text, F.lit(RUN)), lambda s: mean(s["value"]) > threshold)
+    kept = F.filter(match_spans(text, F.lit(RUN)), lambda s: evidence(s["value"]) > least + LEAST_MEAN * (s["end"] - s["start"]))
     out = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end")))
     return F.when(text.rlike(RUN), out).otherwise(F.expr(f"CAST(array() AS {SPAN_TYPE})"))
 
 
-def secret_spans(docs: DataFrame, ratios: Sequence[float], threshold: float = 1.5) -> DataFrame:
-    """``docs`` with __base and __spans: arrays of struct(start, kind, end), by start, then kind."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.withColumn("__base", F.array_sort(F.concat(*[_base(text, k) for k in range(3)])))
-    more = F.filter(_markov(text, ratios, threshold), lambda m: ~F.exists(F.col("__base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return base.withColumn("__spans", F.array_sort(F.concat("__base", more)))
+def secret_spans(text: Column, ratios: Sequence[float], least: float) -> Column:
+    """struct(base, spans) of a text: arrays of struct(start, kind, end), by start, then kind."""
 
+    def both(base: Column) -> Column:
+        more = F.filter(_markov(text, ratios, least), lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+        return F.struct(base.alias("base"), F.array_sort(F.concat(base, more)).alias("spans"))
 
-def _joined(spans: str) -> Column:
+    return bind(F.array_sort(F.concat(*[_base(text, k) for k in range(3)])), both)
+
+
+def _joined(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, ratios: Sequence[float], threshold: float = 1.5) -> DataFrame:
+def scan_secrets(docs: DataFrame, ratios: Sequence[float], least: float = LEAST_EVIDENCE) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row."""
-    found = secret_spans(docs.select("doc_id", "text"), ratios, threshold)
+    found = docs.select("doc_id", secret_spans(F.coalesce(F.col("text").cast("string"), F.lit("")), ratios, least).alias("found"))
 
     def count(k: int) -> Column:
-        return F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+        return F.size(F.filter("found.base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
 
     counts = [count(k) for k in range(3)]
-    return found.select("doc_id", *counts, F.sha2(_joined("__base"), 256).alias("base_sha256"), _joined("__spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_joined(F.col("found.base")), 256).alias("base_sha256"), _joined(F.col("found.spans")).alias("spans"))
 
 
-def redact_secrets(docs: DataFrame, ratios: Sequence[float], threshold: float = 1.5, mark: str = "[SECRET]") -> DataFrame:
+def redact_secrets(docs: DataFrame, ratios: Sequence[float], least: float = LEAST_EVIDENCE, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each span in ``text`` replaced by ``mark``; overlapping spans become one. n_chars follows the text."""
-    found = secret_spans(docs, ratios, threshold)
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        more = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
-
-    clean = F.aggregate("__spans", first, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    changed = F.size("__spans") > 0
-    out = found.withColumn("__text", F.when(changed, clean).otherwise(F.col("text")))
-    cols = {"text": F.col("__text")}
+    name = free_name(docs, "found")
+    found = docs.withColumn(name, secret_spans(F.coalesce("text", F.lit("")), ratios, least)["spans"])
+
+    def step(at: Column, s: Column) -> Column:
+        return F.greatest(at, s["end"])
+
+    def piece(at: Column, s: Column) -> Column:
+        gap = F.substring(F.col("text"), at + 1, s["start"] - at)
+        return F.when(s["start"] >= at, F.concat(gap, F.lit(mark))).otherwise(F.lit(""))
+
+    end = F.aggregate(name, F.lit(0), step)
+    clean = F.concat(F.array_join(running(F.col(name), F.lit(0), step, piece, "string"), ""), F.substring(F.col("text"), end + 1, F.length("text")))
+    changed = F.size(name) > 0
+    text = F.when(changed, clean).otherwise(F.col("text"))
+    out = found.withColumn("text", text)
     if "n_chars" in docs.columns:
-        cols["n_chars"] = F.when(changed, F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumns(cols).select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -107,8 +107,8 @@ def test_secrets(spark, model):
         spans = [x.split(":") for x in r.spans.split(",") if x]
         assert [(k, int(s), int(e)) for k, s, e in spans if k != "markov"] == base
         if "markov" in r.spans:
-            assert r.doc_id == TEXTS.index("key Zx9QmK2vLw83TnRbY5HcD7fGjP0sAeU4 end")
-    assert sum("markov" in r.spans for r in rows) == 1
+            assert r.doc_id in (13, 14, 15, 22)  # what the base patterns just miss, and in 22 a bare key
+    assert [r.spans for r in rows if r.doc_id == 22] == ["markov:4:36"]
 
 
 def test_redaction(spark, model):
@@ -244,3 +244,26 @@ def test_suppression_is_that_of_all_pairs(spark):
 
     got = {r.doc_id: r.labels for r in scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()}
     assert got == {k: plain(t) for k, t in docs}
+
+
+def test_planted_random_strings(spark, model):
+    """Recall on random strings of 12 to 40 characters, and precision on the words and identifiers around them."""
+    import random
+    import string
+
+    rng = random.Random(3)
+    alphabets = [string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_uppercase + "234567", string.ascii_letters + string.digits + "+/"]
+    planted, rows = {}, []
+    for k in range(400):
+        n = rng.choice((12, 14, 16, 18, 20, 23, 32, 40))
+        s = "".join(rng.choice(alphabets[k % 4]) for _ in range(n))
+        words = [rng.choice(("ordinary", "words", "internationalization", "get_user_name_by_id", "2024-01-31T12-30", "configuration", "0049123456789", "==================", "application/octet-stream")) for _ in range(12)]
+        planted[k] = s
+        rows.append((k, " ".join([*words[:6], s, *words[6:]])))
+    found = hits = 0
+    for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"), model).collect():
+        text = rows[r.doc_id][1]
+        spans = {text[int(a) : int(b)] for _, a, b in (x.split(":") for x in r.spans.split(",") if x)}
+        found += len(spans)
+        hits += any(planted[r.doc_id] in x or x in planted[r.doc_id] for x in spans)
+    assert hits >= 0.95 * len(rows) and hits >= 0.98 * found
