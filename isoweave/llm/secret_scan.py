@@ -3,7 +3,8 @@
 Base patterns find assignments, access keys and hex runs. Then every run of 12 or more key-like characters is scored by
 the log-likelihood ratio of two first-order character models, one of random strings and one of ordinary identifiers, both
 trained from labelled samples. Runs whose summed ratio passes the odds against a secret, so that a short run needs as
-much evidence as a long one, and that overlap no base span, become ``markov`` spans.
+much evidence as a long one, and that overlap no base span, become ``markov`` spans. A pair of characters counts once in
+a run, as repeating it is a pattern.
 
 The scan is one pass without a shuffle. The model is a table of 128 x 128 pairs whatever the input, so it travels in
 the expression.
@@ -35,7 +36,8 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 #: What the Markov models look at.
 RUN = r"[A-Za-z0-9+/_=-]{12,}"
-#: The sum of a run's log ratios has to pass the log of the odds against a secret, and more for each character.
+#: The sum of the log ratios of a run's distinct pairs has to pass the log of the odds against a secret, and more for
+#: each pair.
 LEAST_EVIDENCE, LEAST_MEAN = 10.0, 0.4
 SPAN_TYPE = "array<struct<start:int,kind:int,end:int>>"
 
@@ -106,14 +108,14 @@ def _base(text: Column, kind: int) -> Column:
 def _markov(text: Column, ratios: Sequence[float], least: float) -> Column:
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")  # folded to a literal
 
-    def of_codes(codes: Column) -> Column:
-        pairs = F.transform(F.slice(codes, 2, F.size(codes)), lambda b, i: F.get(table, F.get(codes, i) * 128 + b))
-        return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
+    def pairs(codes: Column) -> Column:
+        return F.array_distinct(F.transform(F.slice(codes, 2, F.size(codes)), lambda b, i: F.get(codes, i) * 128 + b))
 
     def evidence(value: Column) -> Column:  # by an array of codes, as a long string's characters are slow to reach
-        return bind(F.transform(F.split(value, ""), lambda c: F.ascii(c)), of_codes)
+        own = bind(F.transform(F.split(value, ""), lambda c: F.ascii(c)), pairs)
+        return F.aggregate(own, F.lit(0.0), lambda acc, x: acc + F.get(table, x) - LEAST_MEAN)
 
-    kept = F.filter(match_spans(text, F.lit(RUN)), lambda s: evidence(s["value"]) > least + LEAST_MEAN * (s["end"] - s["start"]))
+    kept = F.filter(match_spans(text, F.lit(RUN)), lambda s: evidence(s["value"]) > least)
     out = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end")))
     return F.when(text.rlike(RUN), out).otherwise(F.expr(f"CAST(array() AS {SPAN_TYPE})"))
 
