@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, materialize
+from .common import SLICE_ROWS, free_name, materialize
 from .components import connected_components
 
 LOW = 0x5555555555555555
@@ -167,10 +167,13 @@ def fingerprint_links(classes: DataFrame, *, distance: int = 3, groups: int = 6,
 def near_duplicates(docs: DataFrame, *, width: int = 3, seed: int = 42, distance: int = 3, groups: int = 6) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``; component_id is the smallest doc_id reachable."""
     prints = materialize(fingerprints(docs, width=width, seed=seed), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    # a count from the files' footers; distinct links stay far below one for each document and choice of groups
-    parts = connected_components(fingerprint_links(classes, distance=distance, groups=groups), most_edges=prints.count())
-    roots = classes.join(parts, classes.rep == parts.vertex, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    # links go between fingerprints, so ids may be of any type that has an order. The count is from the files' footers;
+    # distinct links stay far below one for each document and choice of groups
+    parts = connected_components(fingerprint_links(classes.select("fp", F.col("fp").alias("rep")), distance=distance, groups=groups), most_edges=prints.count())
+    own = classes.join(parts, classes.fp == parts.vertex, "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
+    least = own.groupBy("part").agg(F.min("least").alias("component_id"))
+    roots = materialize(own.join(least, "part").select("fp", "component_id"), "roots")
     return prints.join(roots, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -205,11 +208,14 @@ def set_sketch(grams: np.ndarray, size: int) -> np.ndarray:
 
 
 def document_prints(docs: DataFrame, *, width: int, seed: int, tables: int, gram_width: int) -> DataFrame:
-    """(doc_id, fp, same, sketch) in one pass: the fingerprint, a hash of the set of ``gram_width``-word shingles, and
-    its MinHashes, ``ROWS`` for each of ``tables`` bands. Texts without words have neither hash nor sketch."""
+    """(doc_id, fp, same, sketch) and what other columns ``docs`` has besides its text, in one pass: the fingerprint, a
+    hash of the set of ``gram_width``-word shingles, and its MinHashes, ``ROWS`` for each of ``tables`` bands. Texts
+    without words have neither hash nor sketch."""
     import xxhash
 
-    kind, n_hashes = docs.schema["doc_id"].dataType.simpleString(), tables * ROWS
+    n_hashes = tables * ROWS
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in ["doc_id", *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,9 +228,10 @@ def document_prints(docs: DataFrame, *, width: int, seed: int, tables: int, gram
                     grams = np.unique(shingle_hashes(text, gram_width, seed))
                     same.append(np.uint64(xxhash.xxh64_intdigest(grams.tobytes())).astype(np.int64) if len(grams) else None)
                     sketches.append(set_sketch(grams, n_hashes) if len(grams) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(same, pa.int64()), pa.array(sketches, pa.list_(pa.int32()))], names=["doc_id", "fp", "same", "sketch"])
+                found = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(same, pa.int64()), pa.array(sketches, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], *found], names=["doc_id", *more, "fp", "same", "sketch"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, fp long, same long, sketch array<int>")
+    return docs.select("doc_id", F.col("text").cast("string"), *more).mapInArrow(run, schema + "fp long, same long, sketch array<int>")
 
 
 def verified(docs: DataFrame, links: DataFrame, sketches: DataFrame, files: int, width: int, similarity: float, least_estimate: float) -> DataFrame:
@@ -327,31 +334,38 @@ def similar_links(docs: DataFrame, prints: DataFrame, *, width: int = 5, similar
     return rest_links(docs, rest, own, width, similarity, least_estimate).unionByName(first).unionByName(equal)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A hash of a row's doc_id and text, by which rows are one document or not."""
+    return F.xxhash64(F.isnull("doc_id"), F.col("doc_id").cast("string"), F.isnull("text"), F.col("text").cast("string"))
+
+
 def keep_one(docs: DataFrame, *, width: int = 3, seed: int = 42, distance: int = 3, groups: int = 6, similarity: float = 0.8, gram_width: int = 5, tables: int = 20) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose doc_id is their component's smallest.
+    """One row of ``docs``, with all its columns, for each component: that with the smallest doc_id.
 
     Components are those of fingerprints, joined where two texts' five-word shingles are similar by 0.8 or more
-    (``similar_links``); all texts are searched. Rows with the same doc_id are one document, of which the row with the
-    least hash stays. Rows without a doc_id have no place in the order: of those with one fingerprint and no doc_id
-    beside them, one text is kept.
+    (``similar_links``); all texts are searched. Rows are told apart by doc_id and text, so two texts that share a
+    doc_id are two documents, and both stay unless they are alike. Of rows with the same doc_id and text the one with
+    the least hash of all its columns stays. A null doc_id comes after all others; ties go to the smaller key.
     """
-    prints = materialize(document_prints(docs, width=width, seed=seed, tables=tables, gram_width=gram_width), "prints")
+    key = row_key(docs)
+    slim = docs.select(key.alias("doc_id"), "text", F.col("doc_id").alias("own"))
+    prints = materialize(document_prints(slim, width=width, seed=seed, tables=tables, gram_width=gram_width), "prints")
     n = prints.count()
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     parts = connected_components(fingerprint_links(classes, distance=distance, groups=groups), most_edges=n)
-    roots = classes.where("rep IS NOT NULL").join(parts, classes.rep == parts.vertex, "left").select("fp", F.coalesce("component", "rep").alias("root"))
-    placed = materialize(prints.where("doc_id IS NOT NULL").join(roots, "fp").groupBy("doc_id").agg(F.min("root").alias("root")), "placed")
-    alike = similar_links(docs, prints, width=gram_width, similarity=similarity, placed=placed)
-    joined = alike.join(placed.select(F.col("doc_id").alias("u"), F.col("root").alias("r")), "u").join(placed.select(F.col("doc_id").alias("v"), F.col("root").alias("s")), "v").select(F.col("r").alias("u"), F.col("s").alias("v"))
+    roots = classes.join(parts, classes.rep == parts.vertex, "left").select("fp", F.coalesce("component", "rep").alias("root"))
+    placed = prints.groupBy("doc_id").agg(F.min("own").alias("own"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("rows"))
+    placed = materialize(placed.join(roots, "fp").select("doc_id", "own", "rows", "root"), "placed")
+    root = placed.select("doc_id", "root")
+    alike = similar_links(slim, prints, width=gram_width, similarity=similarity, placed=root)
+    joined = alike.join(root.select(F.col("doc_id").alias("u"), F.col("root").alias("r")), "u").join(root.select(F.col("doc_id").alias("v"), F.col("root").alias("s")), "v").select(F.col("r").alias("u"), F.col("s").alias("v"))
     merged = connected_components(joined, most_edges=n)
-    keys = placed.where("doc_id = root").select("doc_id").join(merged.where("vertex <> component").select(F.col("vertex").alias("doc_id")), "doc_id", "left_anti")
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    named = docs.join(keys, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
-    lone = classes.where("rep IS NULL")
-    if lone.isEmpty():
-        return named
-    nameless = docs.where("doc_id IS NULL")
-    order = fingerprints(nameless.select(F.xxhash64("text").alias("doc_id"), "text"), width=width, seed=seed)
-    order = order.join(lone.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("__key")).select("__key")
-    rest = nameless.withColumn("__key", F.xxhash64("text")).join(order, "__key", "left_semi").select(*docs.columns).dropDuplicates(["text"])
-    return named.unionByName(rest)
+    whole = placed.join(merged.withColumnRenamed("vertex", "root"), "root", "left").withColumn("part", F.coalesce("component", "root"))
+    first = F.min(F.struct(F.isnull("own").alias("nameless"), "own", "doc_id", "rows")).alias("first")
+    name = free_name(docs, "kept_key")
+    kept = materialize(whole.groupBy("part").agg(first).select(F.col("first.doc_id").alias(name), F.col("first.rows").alias("rows")), "kept")
+    single = docs.join(kept.where("rows = 1").select(name), key == F.col(name), "left_semi")
+    row = F.struct(*[docs[c] for c in docs.columns])
+    repeated = docs.join(kept.where("rows > 1").select(name), key == F.col(name))
+    repeated = repeated.groupBy(name).agg(F.min_by(row, F.xxhash64(*[docs[c] for c in docs.columns])).alias("row")).select("row.*")
+    return single.unionByName(repeated)

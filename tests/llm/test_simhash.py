@@ -162,3 +162,15 @@ def test_search_goes_beyond_removed_texts(spark):
     assert len(a & c) < 0.8 * len(a | c) and len(b & c) >= 0.8 * len(b | c)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in keep_one(docs).collect()} == {0}
+
+
+def test_ids_of_any_kind_and_repeated_ids(spark):
+    rng = random.Random(12)
+    one, two, three = (" ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(999)) for _ in range(60)) for _ in range(3))
+    rows = [("b", one, "x"), ("a", one, "y"), ("c", two, "x"), ("c", three, "x"), ("d", two, "z"), (None, three, "n"), (None, None, "n"), ("e", "", "m"), ("e", "", "l")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, kept_key string")
+    kept = sorted(((r.doc_id, r.text) for r in keep_one(docs).collect()), key=str)
+    assert kept == sorted([("a", one), ("c", two), ("c", three), ("e", "")], key=str)  # two texts of one id both stay
+    assert keep_one(docs).columns == docs.columns
+    got = {(r.doc_id, r.component_id) for r in near_duplicates(docs).collect()}
+    assert got == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), (None, "c"), (None, "e"), ("e", "e")}
