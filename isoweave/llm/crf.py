@@ -6,18 +6,19 @@ them: a token is tagged toxic in a toxic document if its form or its first lette
 clean documents. The field is then fitted to the tagged sequences by gradient ascent on the penalised likelihood, with
 gradients from forward-backward.
 
-Sequences are lines, cut at sentence ends, and after ``MAX_TOKENS`` tokens where there is none; forward-backward runs over all
-sequences of a slice of rows at once. A document's evidence is the chance that at least one of its suspect tokens is
-toxic, from the product of their clean marginals, and its largest marginal; a logistic curve that is fitted to
-documents the field has not seen makes it a score. Offending offsets are runs of tokens whose toxic marginal is a half
-or more.
+Sequences are lines, cut at sentence ends, of any length; forward-backward runs over all sequences of a slice of rows at
+once. A document's evidence grows with the tokens' surprise at being clean (minus the log of the clean marginal), each
+weighted by the square of its toxic marginal, so that a long text's many faint tokens add up to nothing; a logistic
+curve of its logarithm and of the largest marginal, fitted to documents the field has not seen, makes it a score.
+Offending offsets are runs of tokens whose toxic marginal is a half or more.
 
 Scoring is one pass without a shuffle. The model is of a fixed size whatever the corpus, so it is broadcast. Training
 reads at most ``max_docs`` labelled documents, half of them toxic where there are enough, least hash first. Where they
 have more than ``max_chars`` characters, the longest ones give sentences chosen by hash from the whole text, up to a
 length that is the same for all; no document is left out.
 
-Edge cases: null, empty and wordless texts have no tokens and get the curve's value at zero; null ids are carried and
+Edge cases: null, empty and wordless texts have no tokens and get the curve's value at zero; a very long text without
+sentence ends is one sequence; equal marginals score alike, so ties stay ties; null ids are carried and
 count as held in for training (they have no label anyway); repeated rows are scored once each; an empty table gives no
 rows, and without labels of both kinds every score is zero; labels of both kinds with documents of one kind only are an
 error; other columns are not read.
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import SLICE_ROWS
 
-TABLE_BITS, MAX_TOKENS, LEAST_MARGINAL = 18, 128, 0.25
+TABLE_BITS = 18
 #: A word with what surrounds it up to the next one; a sentence ends at a stop or a line break.
 TOKEN = re.compile(r"\w+")
 STOP = re.compile(r"[.!?\n]")
@@ -56,17 +57,15 @@ def features(word: str) -> list[int]:
 def tokenize(text: str | None) -> tuple[list[str], list[int], list[int], list[int]]:
     """Lower-case words, their starts and ends, and the number of each word's sequence."""
     words, starts, ends, seqs = [], [], [], []
-    seq = size = 0
-    last = 0
+    seq = last = 0
     for m in TOKEN.finditer(text or ""):
         a, b = m.span()
-        if words and (size >= MAX_TOKENS or STOP.search(text, last, a)):
-            seq, size = seq + 1, 0
+        if words and STOP.search(text, last, a):
+            seq += 1
         words.append(m[0].lower())
         starts.append(a)
         ends.append(b)
         seqs.append(seq)
-        size += 1
         last = b
     return words, starts, ends, seqs
 
@@ -141,8 +140,7 @@ class Model:
     def tag(self, texts: list[str | None], threshold: float = 0.5) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
         """Evidence and offending spans of each text.
 
-        Evidence is minus the log of the chance that none of the suspect tokens is toxic, plus the largest marginal; the
-        many tokens below ``LEAST_MARGINAL`` would else add up in a long text.
+        Evidence is log(1 + sum of p * p * -log(1 - p)) over the tokens' marginals p, plus the largest p.
         """
         toks = [tokenize(t) for t in texts]
         counts = [len(t[0]) for t in toks]
@@ -154,7 +152,7 @@ class Model:
         bounds = np.cumsum([0, *counts])
         most = np.maximum.reduceat(np.append(p, 0.0), np.minimum(bounds[:-1], len(p)))
         most[np.array(counts) == 0] = 0
-        logs = np.concatenate([[0], np.cumsum(np.where(p >= LEAST_MARGINAL, -np.log1p(-np.minimum(p, 1 - 1e-9)), 0))])
+        logs = np.concatenate([[0], np.cumsum(-p * p * np.log1p(-np.minimum(p, 1 - 1e-9)))])
         spans = [[] for _ in texts]
         for k in np.flatnonzero(p >= threshold):
             d = int(np.searchsorted(bounds, k, "right")) - 1
@@ -164,7 +162,7 @@ class Model:
                 spans[d][-1] = (spans[d][-1][0], ends[i])
             else:
                 spans[d].append((starts[i], ends[i]))
-        return logs[bounds[1:]] - logs[bounds[:-1]] + most, spans
+        return np.log1p(np.maximum(logs[bounds[1:]] - logs[bounds[:-1]], 0)) + most, spans
 
 
 def without_near_copies(texts: list[str | None], sketch: int = 8, shared: int = 2) -> list[int]:
@@ -256,7 +254,6 @@ def train(texts: list[str | None], toxic: list[bool], *, rounds: int = 60, penal
 
 def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
     """Slope (not below 0.1) and offset of a logistic curve by Newton steps, classes weighted alike, with a light ridge."""
-    x = np.minimum(x, 5.0)
     w = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum())) * len(y)
     design, beta = np.stack([x, np.ones_like(x)], axis=1), np.array([1.0, -1.0])
     for _ in range(steps):
@@ -306,9 +303,8 @@ def sample_sentences(text: str, most: int) -> str:
     return "\n".join(text[a:b] for a, b in sorted(order))
 
 
-def train_on(docs: DataFrame, labels: DataFrame, *, max_docs: int = 4000, max_chars: int = 10_000_000) -> Model:
-    """Train on a bounded sample of the labelled documents (``max_docs``, of which ``max_chars`` characters are read)."""
-    rows = training_rows(docs, labels, "toxic", max_docs=max_docs)
+def sampled_texts(rows: DataFrame, max_chars: int) -> tuple[list[str | None], list[int]]:
+    """Texts and labels of ``rows`` (text, label), of at most ``max_chars`` characters in all (``sample_sentences``)."""
     most = fair_length([r.n for r in rows.select(F.coalesce(F.length("text"), F.lit(0)).alias("n")).collect()], max_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,13 +312,19 @@ def train_on(docs: DataFrame, labels: DataFrame, *, max_docs: int = 4000, max_ch
             texts = pa.array([None if t is None else sample_sentences(t, most) for t in batch.column(0).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts, batch.column(1)], names=["text", "label"])
 
-    texts, toxic = [], []
+    texts, labels = [], []
     for r in rows.select(F.col("text").cast("string"), "label").mapInArrow(run, "text string, label int").toLocalIterator():
         texts.append(r.text)
-        toxic.append(bool(r.label))
+        labels.append(int(r.label))
+    return texts, labels
+
+
+def train_on(docs: DataFrame, labels: DataFrame, *, max_docs: int = 4000, max_chars: int = 10_000_000) -> Model:
+    """Train on a bounded sample of the labelled documents (``max_docs``, of which ``max_chars`` characters are read)."""
+    texts, toxic = sampled_texts(training_rows(docs, labels, "toxic", max_docs=max_docs), max_chars)
     if len(set(toxic)) == 1 and labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").agg(F.count_distinct(F.col("toxic").cast("int"))).first()[0] > 1:
         raise ValueError("labels are of both kinds, but the documents to train on are of one kind only")
-    return train(texts, toxic)
+    return train(texts, [bool(x) for x in toxic])
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:

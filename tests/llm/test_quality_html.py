@@ -222,3 +222,45 @@ def test_dictionary_reads_whole_texts():
     mark = b" a mark that only comes late in each of the texts "
     samples = [r.randbytes(20_000) + mark * 5 for _ in range(60)]
     assert mark in compress_quality.build_dictionary(samples)
+
+
+def test_quality_query_against_plain_compression(spark, tables):
+    """Scores from the sizes that zstandard gives, block by block, through the fitted curve."""
+    import zstandard
+
+    rows, docs, labels = tables
+    model = compress_quality.train_on(docs, labels)
+    got = {r.doc_id: r.score for r in compress_quality.score_quality(docs, model).collect()}
+
+    def size(data, dictionary):
+        c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_dict_id=False)
+        return sum(len(c.compress(data[i : i + 1024])) for i in range(0, len(data), 1024))
+
+    for i, t, *_ in rows[:40]:
+        raw = t.encode()
+        views = raw, "".join("b" if ord(c) > 127 else "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in raw.decode("latin-1")).encode("latin-1")
+        x = [20 * (size(v, bad) - size(v, good)) / (len(v) + 16) for v, (good, bad) in zip(views, model.dictionaries, strict=True)]
+        z = float(np.dot(x, model.curve[:2]) + model.curve[2])
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_toxicity_query_against_all_paths(spark):
+    """Scores from the sums over all tag sequences of each sentence."""
+    rng = np.random.default_rng(7)
+    model = crf.Model(rng.normal(0, 0.7, 1 << crf.TABLE_BITS), rng.normal(0, 1, (2, 2)), rng.normal(0, 1, 2), (1.3, -0.8))
+    texts = ["one two three. four five", "Alpha beta gamma delta epsilon zeta eta", "x", "", None, "no stop here at all so one sequence"]
+    got = {r.doc_id: r.score for r in crf.score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k, t in enumerate(texts):
+        p = []
+        for sentence_ in (t or "").split("."):
+            words = sentence_.lower().split()
+            e = [model.weights[crf.features(w)].sum() for w in words]
+            n, z, hit = len(words), 0.0, np.zeros(len(words))
+            for bits in range(2**n if n else 0):
+                y = [bits >> i & 1 for i in range(n)]
+                w = np.exp(model.start[y[0]] + sum(e[i] for i in range(n) if y[i]) + sum(model.transition[a, b] for a, b in zip(y, y[1:], strict=False)))
+                z += w
+                hit += w * np.array(y)
+            p += (hit / z).tolist() if n else []
+        evidence = np.log1p(sum(-x * x * np.log(1 - x) for x in p)) + max(p, default=0)
+        assert abs(got[k] - 1 / (1 + np.exp(-(1.3 * evidence - 0.8)))) < 1e-6
