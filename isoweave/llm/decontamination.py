@@ -12,11 +12,12 @@ candidate is verified by counting exact shingles.
 
 Recall: a shared shingle is missed only if another one of the document falls in its bin with a smaller hash, which has a
 chance below 1 / (2 * bins_per_shingle). An item with q shingles shares at least 0.8 q with a document that holds it, so
-with 4 bins a shingle, an item of 16 is missed with a chance below 2e-12. Items with fewer than ``least_shingles``
-shingles (below 16) are looked up by every shingle without bins, so none is missed.
+with 8 bins a shingle it is missed with a chance below 16 ** -ceil(0.8 q). Where that is not below ``miss`` (items of up
+to 8 shingles for 1e-9), the item is looked up by every shingle without bins, so none is missed.
 
 Documents are read once and nothing is shuffled. The items travel in blocks of at most ``block_shingles`` shingles, whose
-size is checked before they are sent; more items make more passes, all of them whole.
+size is checked before they are sent; more items make more passes, all of them whole, with one block on the driver at a
+time.
 
 Edge cases: null, empty and wordless texts hold nothing and are held by nothing; an item of fewer than five words is one
 shingle of all its words and is found where a document has exactly these words; repeated documents are reported once
@@ -25,16 +26,18 @@ each, equal rows of the benchmark once; null ids are carried; empty tables give
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS
+from .common import SLICE_ROWS, materialize
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WIDTH = 5
@@ -125,31 +128,52 @@ class ItemIndex:
         return out
 
 
-def item_blocks(benchmark: DataFrame, block_shingles: int) -> list[list[tuple]]:
-    """The items in blocks of a checked size; one block for a benchmark of usual size."""
-    items = benchmark.select("item_id", F.col("text").cast("string").alias("text"), (F.size(F.split(F.coalesce("text", F.lit("")), r"\W+")) + 1).alias("size")).distinct()
-    total, longest = (x or 0 for x in items.agg(F.sum("size"), F.max("size")).first())
-    blocks = max(1, -(-2 * total // block_shingles)) if total > block_shingles else 1
-    while True:
-        dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text", F.lit(1)), F.lit(blocks)))
-        largest = dealt.groupBy("block").agg(F.sum("size").alias("n")).agg(F.max("n")).first()[0] or 0
-        if largest <= block_shingles + longest:  # an item of its own size is not parted
-            break
-        blocks *= 2
-    return [[(r.item_id, r.text) for r in dealt.where(F.col("block") == b).select("item_id", "text").collect()] for b in range(blocks)]
-
-
-def find_contained(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8, bins_per_shingle: int = 4, least_shingles: int = 16, block_shingles: int = 1_000_000) -> DataFrame:
+def least_binned(threshold: float, bins_per_shingle: int, miss: float) -> int:
+    """The least number of an item's shingles from which on bins miss it with a chance below ``miss``."""
+    n = 1
+    while (1 / (2 * bins_per_shingle)) ** max(1, math.ceil(threshold * n)) >= miss:
+        n += 1
+    return n
+
+
+class ItemBlocks:
+    """The items in blocks of a checked size; one block for a benchmark of usual size. One is held at a time."""
+
+    def __init__(self, benchmark: DataFrame, block_shingles: int):
+        self.sc = benchmark.sparkSession.sparkContext
+        items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).distinct()
+        items = items.withColumn("size", F.size(F.split(F.coalesce("text", F.lit("")), r"\W+")) + 1)
+        total, longest = (x or 0 for x in items.agg(F.sum("size"), F.max("size")).first())
+        self.n = max(1, -(-2 * total // block_shingles)) if total > block_shingles else 1
+        while True:
+            self.dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text", F.lit(1)), F.lit(self.n)))
+            largest = self.dealt.groupBy("block").agg(F.sum("size").alias("n")).agg(F.max("n")).first()[0] or 0
+            if largest <= block_shingles + longest:  # an item of its own size is not parted
+                break
+            self.n *= 2
+
+    def sent(self) -> Iterator[Broadcast]:
+        """Each block, sent to the tasks until the next one is asked for."""
+        for k in range(self.n):
+            shared = self.sc.broadcast([(r.item_id, r.text) for r in self.dealt.where(F.col("block") == k).select("item_id", "text").collect()])
+            yield shared
+            if self.n > 1:
+                shared.destroy()
+
+    def done(self, df: DataFrame) -> DataFrame:
+        """What a block gave; written where another one follows."""
+        return df if self.n == 1 else materialize(df, "items")
+
+
+def find_contained(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8, bins_per_shingle: int = 8, miss: float = 1e-9, block_shingles: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) for each item found in each document."""
-    spark = docs.sparkSession
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, n_shared long, n_item long, containment double"
-    texts = docs.select("doc_id", F.col("text").cast("string"))
-    out = None
-    for block in item_blocks(benchmark, block_shingles):
-        shared = spark.sparkContext.broadcast(block)
+    texts, least = docs.select("doc_id", F.col("text").cast("string")), least_binned(threshold, bins_per_shingle, miss)
+    blocks, out = ItemBlocks(benchmark, block_shingles), None
+    for shared in blocks.sent():
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(shared.value, threshold, bins_per_shingle, least_shingles)
+            index = ItemIndex(shared.value, threshold, bins_per_shingle, least)
             for batch in batches:
                 for at in range(0, batch.num_rows, SLICE_ROWS):
                     part = batch.slice(at, SLICE_ROWS)
@@ -160,22 +184,22 @@ def find_contained(docs: DataFrame, benchmark: DataFrame, *, threshold: float =
                         kinds = [part.schema.field(0).type, None, pa.int64(), pa.int64(), pa.float64()]
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "n_shared", "n_item", "containment"])
 
-        found = texts.mapInArrow(search, schema)
+        found = blocks.done(texts.mapInArrow(search, schema))
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8, bins_per_shingle: int = 4, least_shingles: int = 16, block_shingles: int = 1_000_000) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8, bins_per_shingle: int = 8, miss: float = 1e-9, block_shingles: int = 1_000_000) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no item; one pass over the rows for each block of items."""
-    spark, at = docs.sparkSession, docs.columns.index("text")
-    for block in item_blocks(benchmark, block_shingles):
-        shared = spark.sparkContext.broadcast(block)
+    at, least = docs.columns.index("text"), least_binned(threshold, bins_per_shingle, miss)
+    blocks = ItemBlocks(benchmark, block_shingles)
+    for shared in blocks.sent():
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(shared.value, threshold, bins_per_shingle, least_shingles)
+            index = ItemIndex(shared.value, threshold, bins_per_shingle, least)
             for batch in batches:
                 texts = batch.column(at).cast(pa.binary())
                 yield batch.filter(pa.array([not (t.is_valid and index.search(t.as_py())) for t in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = blocks.done(docs.mapInArrow(clean, docs.schema))
     return docs

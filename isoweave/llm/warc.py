@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import materialize, shared_path
 
 #: Bytes that a block of members has before it is handed to the writer, and blocks to a file.
 BLOCK_BYTES, BLOCKS_PER_FILE = 4 << 20, 8
@@ -120,7 +120,8 @@ def with_revisits(pages: DataFrame, min_revisit_bytes: int = 100) -> DataFrame:
     p = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
     p = p.withColumn("payload_digest", F.sha2(F.encode("html", "UTF-8"), 256))
     firsts = p.where(F.octet_length("html") >= min_revisit_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page"))
-    firsts = firsts.where("first_page < last_page").select("payload_digest", "first_page")
+    # written, so that its size is known: a small one is sent to the pages, a large one is joined by digest
+    firsts = materialize(firsts.where("first_page < last_page").select("payload_digest", "first_page"), "firsts")
     return p.join(firsts, "payload_digest", "left").withColumn("refers_to", F.expr("CASE WHEN page_id > first_page OR page_id IS NULL THEN first_page END")).drop("first_page")
 
 

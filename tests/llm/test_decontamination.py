@@ -1,9 +1,12 @@
 """Containment search against brute force."""
 
+import math
 import random
 import re
 
-from isoweave.llm.decontamination import drop_contaminated, find_contained
+import numpy as np
+
+from isoweave.llm.decontamination import ItemIndex, drop_contaminated, find_contained, least_binned
 
 R = random.Random(9)
 VOCAB = [f"w{i}" for i in range(3000)] + ["Été", "naïve"]
@@ -46,7 +49,7 @@ def test_against_brute_force(spark):
         got = [(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in find_contained(frame, bench, block_shingles=block).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
     held = {str(d) for d, *_ in want}
-    kept = drop_contaminated(frame, bench)
+    kept = drop_contaminated(frame, bench, block_shingles=1000)
     assert kept.columns == frame.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, _ in docs if str(d) not in held)
 
@@ -57,3 +60,21 @@ def test_empty_tables(spark):
     assert find_contained(docs, bench).count() == 1
     assert find_contained(docs.limit(0), bench).count() == find_contained(docs, bench.limit(0)).count() == 0
     assert drop_contaminated(docs, bench.limit(0)).count() == 1
+
+
+def test_bins_find_short_items_in_long_documents():
+    """Recall of the binned path alone, for items of 4 to 15 shingles, and the limit below which it isn't used."""
+    rng = np.random.default_rng(4)
+    vocab = [f"w{k}" for k in range(3000)]
+    some = lambda n: [vocab[k] for k in rng.integers(0, len(vocab), n)]
+    for q in (4, 6, 9, 15):
+        items = [(k, " ".join(some(q + 4))) for k in range(300)]
+        binned = ItemIndex(items, 0.8, 8, 0)
+        found = sum(any(i == k for i, *_ in binned.search(" ".join([*some(3000), t, *some(2000)]).encode())) for k, t in items)
+        assert found >= (0.999 if q >= 9 else 0.99) * len(items)
+    assert least_binned(0.8, 8, 1e-9) == 9 and 16.0 ** -math.ceil(0.8 * 9) < 1e-9 <= 16.0 ** -math.ceil(0.8 * 8)
+    for q in (8, 9):  # on both sides of the limit
+        items = [(0, " ".join(some(q + 4)))]
+        index = ItemIndex(items, 0.8, 8, least_binned(0.8, 8, 1e-9))
+        assert index.sketches[0][1] == (q == 8)
+        assert [r[0] for r in index.search(" ".join([*some(3000), items[0][1], *some(9)]).encode())] == [0]
