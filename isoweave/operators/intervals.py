@@ -20,16 +20,18 @@ def overlap_bp(l1: Column, r1: Column, l2: Column, r2: Column) -> Column:
     return F.greatest(F.lit(0), F.least(r1, r2) - F.greatest(l1, l2) + 1)
 
 
-def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = SPOT, *, bin_size: int = 1024, how: str = "inner", min_overlap: int = 1) -> DataFrame:
+def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = SPOT, *, bin_size: int = 1024, how: str = "inner", min_overlap: int = 1, where: Column | None = None) -> DataFrame:
     """Pairs that overlap by ``min_overlap`` bases or more; ``how`` is inner, left_semi or left_anti.
 
     ``left`` has lend and rend, ``right`` has lend2 and rend2, and both have ``keys``; other columns must not clash.
-    Adds ``overlap`` to an inner join. Null bounds meet nothing.
+    ``where`` is a further condition on an inner join's pairs, tested before they leave it. Adds ``overlap`` to an inner join. Null bounds meet nothing.
     """
     b = F.lit(bin_size)
     r = right.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("lend2") / b), F.floor(F.col("rend2") / b))))
     bins = F.explode(F.sequence(F.floor(F.col("lend") / b), F.floor(F.col("rend") / b)))
     pair = (F.col("lend") <= F.col("rend2")) & (F.col("rend") >= F.col("lend2"))
+    if where is not None:
+        pair &= where
     amount = overlap_bp(F.col("lend"), F.col("rend"), F.col("lend2"), F.col("rend2"))
     if how == "inner":
         first = F.col("__bin") == F.floor(F.greatest("lend", "lend2") / b)
@@ -95,14 +97,14 @@ def pair_overlap(exons: DataFrame, id_col: str, keys: Sequence[str] = SPOT) -> D
     """Shared bases of each pair of transcripts, from their merged exons; ``id_col`` < ``id_col``_2."""
     own = merge_intervals(exons, [*keys, id_col]).select(*keys, id_col, "lend", "rend")
     other = own.select(*keys, F.col(id_col).alias(f"{id_col}_2"), F.col("lend").alias("lend2"), F.col("rend").alias("rend2"))
-    return interval_join(own, other, keys).where(F.col(id_col) < F.col(f"{id_col}_2")).groupBy(id_col, f"{id_col}_2").agg(F.sum("overlap").alias("overlap"))
+    return interval_join(own, other, keys, where=F.col(id_col) < F.col(f"{id_col}_2")).groupBy(id_col, f"{id_col}_2").agg(F.sum("overlap").alias("overlap"))
 
 
 def best_overlap(reads: DataFrame, exons: DataFrame, keys: Sequence[str] = SPOT) -> DataFrame:
     """For each read (read_id) the transcript (tx_id) with the most shared bases; ties go to the least tx_id."""
     own = merge_intervals(exons, [*keys, "tx_id"]).select(*keys, "tx_id", F.col("lend").alias("lend2"), F.col("rend").alias("rend2"))
     sums = interval_join(reads.select("read_id", *keys, "lend", "rend"), own, keys).groupBy("read_id", "tx_id").agg(F.sum("overlap").alias("overlap"))
-    return sums.groupBy("read_id").agg(F.max(F.struct(F.col("overlap"), (-F.col("tx_id")).alias("t"))).alias("m")).select("read_id", (-F.col("m.t")).alias("tx_id"), F.col("m.overlap").alias("overlap"))
+    return sums.groupBy("read_id").agg(F.min(F.struct((-F.col("overlap")).alias("o"), "tx_id")).alias("m")).select("read_id", "m.tx_id", (-F.col("m.o")).alias("overlap"))
 
 
 def nearest_site(points: DataFrame, sites: DataFrame, keys: Sequence[str] = SPOT, *, window: int = 25) -> DataFrame:

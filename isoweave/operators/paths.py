@@ -91,4 +91,4 @@ def pattern_conflicts(rows: DataFrame) -> DataFrame:
 
 def keep_best_path(paths: DataFrame) -> DataFrame:
     """Of equal paths the one with the best score, then the least id."""
-    return paths.groupBy("path").agg(F.max(F.struct("score", (-F.col("path_id")).alias("i"))).alias("m")).select("path", F.col("m.score").alias("score"), (-F.col("m.i")).alias("path_id"))
+    return paths.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "path_id")).alias("m")).select("path", (-F.col("m.s")).alias("score"), "m.path_id")

@@ -240,3 +240,14 @@ def filter_isoforms(classes: DataFrame, *, min_fraction: float = 0.01, alpha: fl
     return classes.groupBy("gene_id").applyInPandas(run, f"gene_id {gene.simpleString()}, tx_id {tx.elementType.simpleString()}, all_reads double, isoform_fraction double")
 
 
+
+
+def sample_matrices(counts: DataFrame, samples: list[str]) -> DataFrame:
+    """(id, sample, n) as one row for each id with <sample>_count and <sample>_TPM (count / sample's total * 1e6).
+
+    The pivot is an outer union: an id that a sample lacks has 0 there. Totals are one row for each sample.
+    """
+    totals = counts.groupBy("sample").agg(F.sum("n").alias("total"))
+    d = counts.join(totals, "sample").withColumn("tpm", F.col("n") / F.col("total") * 1e6)
+    cols = [F.coalesce(F.sum(F.when(F.col("sample") == x, F.col(c))), F.lit(0.0)).alias(f"{x}_{name}") for x in samples for c, name in (("n", "count"), ("tpm", "TPM"))]
+    return d.groupBy("id").agg(*cols)

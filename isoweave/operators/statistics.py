@@ -162,7 +162,7 @@ def top_isoforms(counts: DataFrame, *, n: int = 2) -> DataFrame:
 
 def dominant_isoform(fractions: DataFrame) -> DataFrame:
     """each gene's isoform with the largest fraction in each cluster (ties to the least tx_id)."""
-    return fractions.groupBy("gene_id", "cluster").agg(F.max(F.struct("fraction", (-F.col("tx_id")).alias("t"))).alias("m")).select("gene_id", "cluster", (-F.col("m.t")).alias("tx_id"), F.col("m.fraction").alias("fraction"))
+    return fractions.groupBy("gene_id", "cluster").agg(F.min(F.struct((-F.col("fraction")).alias("f"), "tx_id")).alias("m")).select("gene_id", "cluster", "m.tx_id", (-F.col("m.f")).alias("fraction"))
 
 
 def direction(log2_fc: Column, change: Column, *, min_fc: float = 0.25, min_change: float = 0.1) -> Column:

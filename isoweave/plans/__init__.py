@@ -1 +1,6 @@
-"""Plans of the transcript analytics library."""
+"""Registered queries, by name, and their SQL."""
+
+from . import catalog, formats, reconstruction, tables
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "formats", "reconstruction", "tables"]

@@ -2,36 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import scalar
 from ..operators import assembly, classify, graph, intervals, paths, quantify, splice, statistics
-from .views import duck, view
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None, *names: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
-    """Register a function of the named views under its own name."""
-
-    def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(*[view(spark, sf_dir, n) for n in names])
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = duck(sql)
-        return f
-
-    return register
-
-
-def r6(c: str | Column) -> Column:
-    return F.round(c, 6)
-
+from .registry import query, r6
 
 EM_ROUNDS = 5
 
@@ -264,11 +241,11 @@ def mean_coverage(p: DataFrame, e: DataFrame) -> DataFrame:
 
 
 @query(
-    f"""WITH {ISLANDS.format('exons')}, i AS (SELECT contig, strand, min(lend) AS a, max(rend) AS b FROM n GROUP BY contig, strand, k),
-    p AS (SELECT DISTINCT contig, strand, pos FROM (SELECT contig, strand, lend AS pos FROM exons UNION ALL SELECT contig, strand, rend + 1 FROM exons)),
+    f"""WITH {ISLANDS.format('pieces')}, i AS (SELECT contig, strand, min(lend) AS a, max(rend) AS b FROM n GROUP BY contig, strand, k),
+    p AS (SELECT DISTINCT contig, strand, pos FROM (SELECT contig, strand, lend AS pos FROM pieces UNION ALL SELECT contig, strand, rend + 1 FROM pieces)),
     q AS (SELECT contig, strand, pos AS lend, lead(pos) OVER (PARTITION BY contig, strand ORDER BY pos) - 1 AS rend FROM p)
     SELECT q.contig, q.strand, lend, rend FROM q JOIN i ON q.contig = i.contig AND q.strand = i.strand AND lend >= a AND rend <= b""",
-    "exons",
+    "pieces",
 )
 def exon_segments(e: DataFrame) -> DataFrame:
     """H3, H18."""
@@ -314,11 +291,30 @@ def nearest_site(p: DataFrame) -> DataFrame:
     return intervals.nearest_site(points, s).select(F.col("point_id").alias("piece_id"), "site_id", "distance")
 
 
-@query("SELECT a.contig || a.strand || a.lend || '-' || a.rend AS src, b.contig || b.strand || b.lend || '-' || b.rend AS dst FROM exons a JOIN exons b ON a.contig = b.contig AND a.strand = b.strand AND a.rend + 1 = b.lend", "exons")
-def adjacency(e: DataFrame) -> DataFrame:
-    """D4, H4."""
-    n = e.withColumn("node_id", F.concat("contig", "strand", F.col("lend").cast("string"), F.lit("-"), F.col("rend").cast("string")))
-    return intervals.adjacency(n, n.limit(0))
+GAPS = """x AS (SELECT DISTINCT contig, strand, tx_id, lend, rend FROM pieces), e AS (SELECT DISTINCT contig, strand, lend, rend FROM pieces),
+    i AS (SELECT DISTINCT contig, strand, rend + 1 AS lend, nxt - 1 AS rend FROM (SELECT *, lead(lend) OVER (PARTITION BY contig, strand, tx_id ORDER BY lend, rend) AS nxt FROM x) WHERE nxt > rend + 1)"""
+
+
+def gaps_of(p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pieces, and the gaps to a transcript's next piece as introns; both with a node_id."""
+    own = p.select("contig", "strand", "tx_id", "lend", "rend").distinct()
+    nxt = F.lead("lend").over(Window.partitionBy("contig", "strand", "tx_id").orderBy("lend", "rend"))
+    i = own.withColumn("nxt", nxt).where("nxt > rend + 1").select("contig", "strand", (F.col("rend") + 1).alias("lend"), (F.col("nxt") - 1).alias("rend")).distinct()
+
+    def named(d: DataFrame, kind: str) -> DataFrame:
+        return d.withColumn("node_id", F.concat(F.lit(kind), F.concat_ws("-", "contig", "strand", "lend", "rend")))
+
+    return named(p.select("contig", "strand", "lend", "rend").distinct(), "E:"), named(i, "I:")
+
+
+@query(
+    f"""WITH {GAPS}, n AS (SELECT 'E:' || concat_ws('-', contig, strand, lend, rend) AS node, 'E' AS k, * FROM e UNION ALL SELECT 'I:' || concat_ws('-', contig, strand, lend, rend), 'I', * FROM i)
+    SELECT a.node AS src, b.node AS dst FROM n a JOIN n b ON a.contig = b.contig AND a.strand = b.strand AND a.rend + 1 = b.lend WHERE a.k = 'E' OR b.k = 'E'""",
+    "pieces",
+)
+def adjacency(p: DataFrame) -> DataFrame:
+    """Between all pieces, and between pieces and the gaps beside them."""
+    return intervals.adjacency(*gaps_of(p))
 
 
 @query("SELECT piece_id, lend, rend FROM pieces WHERE contig = 'A' AND strand = 'F' AND lend <= 9000 AND rend >= 5000", "pieces")
@@ -648,9 +644,30 @@ def chain_tables(a: DataFrame) -> tuple[DataFrame, DataFrame]:
     return d.withColumnRenamed("read_id", "feature_id"), d.where("mapq >= 50").withColumnRenamed("read_id", "tx_id")
 
 
-@query(None, "alignments")
+CATEGORIES = f"""{BLOCKS}, {INTRONS}, q AS (SELECT DISTINCT read_id FROM alignments WHERE mapq >= 50),
+    i AS (SELECT read_id, contig, strand, lend, rend FROM introns WHERE rend IS NOT NULL), ri AS (SELECT i.* FROM i JOIN q USING (read_id)),
+    c AS (SELECT read_id, contig, strand, ',' || string_agg(lend || ':' || rend, ',' ORDER BY lend) || ',' AS chain, min(lend) AS l, arg_min(rend, lend) AS r FROM i GROUP BY 1, 2, 3),
+    rc AS (SELECT DISTINCT contig, strand, chain FROM c JOIN q USING (read_id)), rx AS (SELECT DISTINCT i.contig, i.strand, i.lend, i.rend, c.chain FROM i JOIN q USING (read_id) JOIN c USING (read_id)),
+    s AS (SELECT read_id, contig, strand, count(*) AS n, min(lend) AS lend, max(rend) AS rend FROM segs GROUP BY 1, 2, 3), rs AS (SELECT s.* FROM s JOIN q USING (read_id)),
+    re AS (SELECT DISTINCT g.contig, g.strand, g.lend, g.rend, n = 1 AS single FROM segs g JOIN rs USING (read_id)),
+    site AS (SELECT DISTINCT contig, strand, 'l' AS side, lend AS pos FROM ri UNION SELECT DISTINCT contig, strand, 'r', rend FROM ri),
+    e AS (SELECT read_id, contig, strand, 'l' AS side, lend AS pos FROM i UNION ALL SELECT read_id, contig, strand, 'r', rend FROM i),
+    k AS (SELECT read_id, count(site.pos) = count(*) AS all_known, count(site.pos) > 0 AS any_known FROM e LEFT JOIN site USING (contig, strand, side, pos) GROUP BY 1),
+    fsm AS (SELECT read_id FROM c SEMI JOIN rc USING (contig, strand, chain)),
+    ism AS (SELECT DISTINCT read_id FROM c JOIN rx ON c.contig = rx.contig AND c.strand = rx.strand AND c.l = rx.lend AND c.r = rx.rend WHERE contains(rx.chain, c.chain)),
+    genic AS (SELECT DISTINCT g.read_id FROM segs g JOIN re ON g.contig = re.contig AND g.strand = re.strand AND g.lend <= re.rend AND g.rend >= re.lend),
+    one AS (SELECT s.read_id, bool_or(single AND least(s.rend, re.rend) - greatest(s.lend, re.lend) + 1 >= 0.9 * (re.rend - re.lend + 1)) AS fm, bool_or(single) AS im, bool_or(s.lend >= re.lend AND s.rend <= re.rend) AS exonic
+        FROM s JOIN re ON s.contig = re.contig AND s.strand = re.strand AND s.lend <= re.rend AND s.rend >= re.lend WHERE n = 1 GROUP BY 1),
+    intronic AS (SELECT DISTINCT s.read_id FROM s JOIN (SELECT DISTINCT contig, strand, lend, rend FROM ri) x ON s.contig = x.contig AND s.strand = x.strand AND s.lend <= x.rend AND s.rend >= x.lend),
+    antisense AS (SELECT DISTINCT s.read_id FROM s JOIN (SELECT DISTINCT contig, strand, lend, rend FROM rs) x ON s.contig = x.contig AND s.strand <> x.strand AND s.lend <= x.rend AND s.rend >= x.lend)
+    SELECT read_id AS feature_id, CASE WHEN n = 1 THEN CASE WHEN one.fm THEN 'se_FM' WHEN one.im THEN 'se_IM' WHEN one.exonic THEN 'se_exonic' WHEN read_id IN (FROM genic) THEN 'se_genic' WHEN read_id IN (FROM intronic) THEN 'se_intronic' WHEN read_id IN (FROM antisense) THEN 'se_antisense' ELSE 'se_intergenic' END
+      ELSE CASE WHEN read_id IN (FROM fsm) THEN 'FSM' WHEN read_id IN (FROM ism) THEN 'ISM' WHEN all_known THEN 'NIC' WHEN any_known THEN 'NNIC' WHEN read_id IN (FROM genic) THEN 'genic' WHEN read_id IN (FROM intronic) THEN 'intronic' WHEN read_id IN (FROM antisense) THEN 'antisense' ELSE 'intergenic' END END AS category
+    FROM s LEFT JOIN one USING (read_id) LEFT JOIN k USING (read_id)"""
+
+
+@query(f"WITH {CATEGORIES}", "alignments")
 def structural_categories(a: DataFrame) -> DataFrame:
-    """M1, B19; the reference is what is mapped best."""
+    """M1, D9-D12; the reference is what is mapped best."""
     return classify.classify(*chain_tables(a))
 
 
@@ -712,7 +729,7 @@ def intron_matrix(a: DataFrame) -> DataFrame:
 @query(f"WITH {BLOCKS}, {INTRONS}, i AS (SELECT read_id, contig, strand, string_agg(lend || '-' || rend, ',' ORDER BY lend) AS chain FROM introns WHERE rend IS NOT NULL GROUP BY 1, 2, 3), s AS (SELECT read_id, min(lend) AS l, max(rend) AS r FROM segs GROUP BY 1) SELECT contig, strand, min(l) AS lend, max(r) AS rend, count(*) AS n_sources, chain FROM i JOIN s USING (read_id) GROUP BY contig, strand, chain", "alignments")
 def merge_catalogs(a: DataFrame) -> DataFrame:
     """I15, B14, B17."""
-    t = splice.pretty_alignments(a).select(F.lit("x").alias("source"), F.col("read_id").alias("tx_id"), "contig", "strand", F.col("segments").alias("exons"))
+    t = splice.pretty_alignments(a).select(F.when(F.col("mapq") < 30, "x").otherwise("y").alias("source"), F.col("read_id").alias("tx_id"), "contig", "strand", F.col("segments").alias("exons"))
     m = assembly.splice_patterns(assembly.merge_catalogs(t))
     chain = F.array_join(F.transform("introns", lambda i: F.concat_ws("-", i["lend"], i["rend"])), ",")
     return m.select("contig", "strand", F.element_at("exons", 1)["lend"].cast("long").alias("lend"), F.element_at("exons", -1)["rend"].cast("long").alias("rend"), F.col("n_sources").cast("long").alias("n_sources"), chain.alias("chain"))
@@ -726,7 +743,7 @@ def node_support(d: DataFrame) -> DataFrame:
     return g.join(n, "node").groupBy("read_id").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("n_nodes"))
 
 
-@query("SELECT p_partkey, reverse(translate(upper(p_name), 'ACGT', 'TGCA')) AS rc, (length(p_name) >= 7 AND length(regexp_replace(upper(p_name), '[^A]', '', 'g')) >= 0.2 * length(p_name)) AS poly, sha256(p_name) AS digest FROM part", "part")
+@query("""SELECT p_partkey, reverse(translate(upper(p_name), 'ACGT', 'TGCA')) AS rc, (length(p_name) >= 7 AND length(regexp_replace(upper(p_name), '[^A]', '', 'g')) >= 0.2 * length(p_name)) AS poly, sha256('{"p_name":"' || p_name || '","p_size":' || p_size || '}') AS digest FROM part""", "part")
 def sequence_functions(p: DataFrame) -> DataFrame:
     """C6, K8, N12."""
-    return p.select("p_partkey", scalar.reverse_complement(F.upper("p_name")).alias("rc"), scalar.is_poly(F.col("p_name"), share=0.2).alias("poly"), F.sha2("p_name", 256).alias("digest"))
+    return p.select("p_partkey", scalar.reverse_complement(F.upper("p_name")).alias("rc"), scalar.is_poly(F.col("p_name"), share=0.2).alias("poly"), scalar.stable_digest(F.col("p_name"), F.col("p_size")).alias("digest"))

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 #: name -> SQL over tables and earlier views.
 VIEWS: dict[str, str] = {
     "tracking": "SELECT DISTINCT l_suppkey % 10 AS gene_id, l_suppkey AS tx_id, l_orderkey AS read_id, l_orderkey % 50 AS cell FROM lineitem",
-    "pieces": "SELECT l_returnflag AS contig, l_linestatus AS strand, l_partkey * 10 + l_linenumber AS lend, l_partkey * 10 + l_linenumber + CAST(floor(l_quantity) AS BIGINT) AS rend, l_orderkey AS read_id, l_suppkey AS tx_id, concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS piece_id, l_tax AS tax FROM lineitem",
+    "pieces": "SELECT l_returnflag AS contig, l_linestatus AS strand, l_partkey * 10 + l_linenumber AS lend, l_partkey * 10 + l_linenumber + CAST(floor(l_quantity) AS BIGINT) AS rend, l_orderkey AS read_id, l_suppkey AS tx_id, concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT)) AS piece_id, l_tax AS tax FROM lineitem",
     # the annotated exons are what a high tax marks
     "exons": "SELECT DISTINCT contig, strand, lend, rend FROM pieces WHERE tax > 0.065",
     "cells": "SELECT DISTINCT l_orderkey % 50 AS cell, CASE WHEN l_orderkey % 50 < 20 THEN 'c0' WHEN l_orderkey % 50 < 35 THEN 'c1' ELSE 'c2' END AS cluster FROM lineitem",
     "usage": "SELECT l_suppkey % 10 AS gene_id, l_suppkey AS tx_id, CAST(sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END) AS DOUBLE) AS count_a, CAST(sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) AS DOUBLE) AS count_b FROM lineitem GROUP BY l_suppkey",
     "clustered": "SELECT l_suppkey % 10 AS gene_id, l_suppkey AS tx_id, l_linestatus || l_returnflag AS cluster, CAST(sum(l_quantity) AS DOUBLE) AS n FROM lineitem GROUP BY l_suppkey, l_linestatus, l_returnflag",
-    "alignments": "SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS read_id, l_returnflag AS contig, CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand, CAST(l_partkey AS INT) AS pos, CAST((l_orderkey % 16) * 256 % 4096 + (l_suppkey % 2) * 16 AS INT) AS flag, CAST(l_partkey % 60 AS INT) AS mapq, CAST(l_suppkey % 30 AS INT) AS nm, concat(CAST(l_linenumber AS INT), 'S', CAST(floor(l_quantity) AS INT) + 5, 'M', l_suppkey % 40 + 1, CASE WHEN l_partkey % 3 = 0 THEN 'D' ELSE 'N' END, l_partkey % 25 + 3, CASE WHEN l_partkey % 4 = 0 THEN '=' ELSE 'M' END, CASE WHEN l_orderkey % 2 = 0 THEN '2I4M' ELSE '' END) AS cigar FROM lineitem",
+    "alignments": "SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT)) AS read_id, l_returnflag AS contig, CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand, CAST(l_partkey AS INT) AS pos, CAST((l_orderkey % 16) * 256 % 4096 + (l_suppkey % 2) * 16 AS INT) AS flag, CAST(l_partkey % 60 AS INT) AS mapq, CAST(l_suppkey % 30 AS INT) AS nm, concat(CAST(l_linenumber AS INT), 'S', CAST(floor(l_quantity) AS INT) + 5, 'M', l_suppkey % 40 + 1, CASE WHEN l_partkey % 3 = 0 THEN 'D' ELSE 'N' END, l_partkey % 25 + 3, CASE WHEN l_partkey % 4 = 0 THEN '=' ELSE 'M' END, CASE WHEN l_orderkey % 2 = 0 THEN '2I4M' ELSE '' END) AS cigar FROM lineitem",
     "sites": "SELECT event_type AS contig, '+' AS strand, CAST(extract(hour FROM ts) * 3600 + extract(minute FROM ts) * 60 + floor(extract(second FROM ts)) AS BIGINT) AS pos, count(*) AS n FROM events GROUP BY 1, 2, 3",
     "chains": "SELECT DISTINCT l_orderkey AS tx_id, l_partkey AS intron FROM lineitem",
 }

@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from isoweave.plans import catalog
+from isoweave.plans import ORACLE_SQL, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -42,17 +42,17 @@ def text(v):
     return "None" if v is None or isinstance(v, float) and math.isnan(v) else f"{float(v):.4f}" if isinstance(v, float) or type(v).__name__ == "Decimal" else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, tables, name):
     folder, con = tables
-    df = catalog.QUERIES[name](spark, folder)
+    df = QUERIES[name](spark, folder)
     cols = sorted(df.columns)
     rows = df.collect()
     assert len(set(cols)) == len(cols)
-    if name not in catalog.ORACLE_SQL:
+    if name not in ORACLE_SQL:
         assert rows
         return
-    r = con.execute(catalog.ORACLE_SQL[name])
+    r = con.execute(ORACLE_SQL[name])
     own = [d[0] for d in r.description]
     assert sorted(own) == cols
     want = sorted(tuple(text(x[own.index(c)]) for c in cols) for x in r.fetchall())
