@@ -364,8 +364,12 @@ def keep_one(docs: DataFrame, *, width: int = 3, seed: int = 42, distance: int =
     first = F.min(F.struct(F.isnull("own").alias("nameless"), "own", "doc_id", "rows")).alias("first")
     name = free_name(docs, "kept_key")
     kept = materialize(whole.groupBy("part").agg(first).select(F.col("first.doc_id").alias(name), F.col("first.rows").alias("rows")), "kept")
-    single = docs.join(kept.where("rows = 1").select(name), key == F.col(name), "left_semi")
+    # merge joins at any size: texts move once, by a key of which each value stands once
+    single = docs.join(kept.where("rows = 1").select(name).hint("merge"), key == F.col(name), "left_semi")
+    often = materialize(kept.where("rows > 1").select(name), "often")
+    if often.isEmpty():
+        return single
     row = F.struct(*[docs[c] for c in docs.columns])
-    repeated = docs.join(kept.where("rows > 1").select(name), key == F.col(name))
+    repeated = docs.join(often, key == F.col(name))
     repeated = repeated.groupBy(name).agg(F.min_by(row, F.xxhash64(*[docs[c] for c in docs.columns])).alias("row")).select("row.*")
     return single.unionByName(repeated)
