@@ -187,9 +187,47 @@ def trim_spacers(path: Column) -> Column:
 
 def split_spacers(path: Column) -> Column:
     """The stretches between spacers."""
-    return F.filter(F.transform(F.split(F.array_join(path, "\x1f"), f"(?:^|\x1f)\\?\\?\\?(?=\x1f|$)\x1f?"), lambda x: F.split(x, "\x1f")), lambda x: (F.size(x) > 0) & (F.get(x, F.lit(0)) != ""))
+    return F.filter(F.transform(F.split(F.array_join(path, "\x1f"), "(?:^|\x1f)(?:\\?\\?\\?(?:\x1f|$))+"), lambda x: F.split(x, "\x1f")), lambda x: (F.size(x) > 0) & (F.get(x, F.lit(0)) != ""))
 
 
 def trim_boundaries(path: Column) -> Column:
     """Without TSS and PolyA nodes."""
     return F.filter(path, lambda x: ~(x.startswith("TSS:") | x.startswith("POLYA:")))
+
+
+def remove_spacers(path: Column) -> Column:
+    """Without any spacer."""
+    return F.filter(path, lambda x: x != SPACER)
+
+
+def gapped_match(pattern: Column, path: Column) -> Column:
+    """Whether ``path`` holds the nodes of ``pattern`` one after the other, with any nodes where it has a spacer."""
+    nodes = F.transform(pattern, lambda x: F.when(x == SPACER, F.lit("(?:[^\x1f]*\x1f)*")).otherwise(F.concat(F.lit("\\Q"), x, F.lit("\\E\x1f"))))
+    return (F.size(pattern) > 0) & F.rlike(F.concat(F.lit("\x1f"), F.array_join(path, "\x1f"), F.lit("\x1f")), F.concat(F.lit("\x1f"), F.array_join(nodes, "")))
+
+
+def spans_overlap(l1: Column, r1: Column, l2: Column, r2: Column) -> Column:
+    """Whether two paths' spans overlap, by strict comparison."""
+    return (l1 < r2) & (r1 > l2)
+
+
+def path_relation(a: Column, b: Column) -> Column:
+    """What ``a`` is to ``b``: equal, contains, contained, compatible or incompatible."""
+    return F.when(a == b, "equal").when(contains_path(a, b), "contains").when(contains_path(b, a), "contained").when(compatible_paths(a, b), "compatible").otherwise("incompatible")
+
+
+def join_paths(a: Column, b: Column) -> Column:
+    """Compatible paths as one; else both with a spacer between them where ``a`` ends before ``b``; else the longer."""
+    apart = F.element_at(a, -1) < F.get(b, F.lit(0))
+    return F.coalesce(merge_paths(a, b), F.when(apart, F.concat(a, F.array(F.lit(SPACER)), b)), F.when(F.size(a) >= F.size(b), a).otherwise(b))
+
+
+def read_key(name: Column) -> Column:
+    """A numeric name as its number, else the first 16 hex digits of its SHA-1 as a number."""
+    number = F.when(name.rlike("^[0-9]{1,18}$"), name.cast("decimal(20,0)"))
+    return F.coalesce(number, F.conv(F.substring(F.sha1(name), 1, 16), 16, 10).cast("decimal(20,0)"))
+
+
+def alignment_score(tag: Column, aligned: Column, nm: Column) -> Column:
+    """The score tag, or aligned bases less the mismatches."""
+    return F.coalesce(tag, aligned - F.coalesce(nm, F.lit(0)))

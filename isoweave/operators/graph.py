@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import write_through
+from .intervals import interval_join
 
 
 def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
@@ -88,3 +89,43 @@ def drop_small_components(paths: DataFrame, *, min_length: int = 200) -> DataFra
     """Components whose longest path reaches ``min_length``."""
     keep = paths.groupBy("component").agg(F.max("length").alias("m")).where(F.col("m") >= min_length).select("component")
     return paths.join(keep, "component", "left_semi")
+
+
+def insert_sites(exons: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Exon nodes split at boundary sites, and the edges of the sites.
+
+    ``exons`` has contig, strand, lend, rend; ``sites`` has contig, strand, pos and kind (TSS or POLYA). Where a
+    transcript starts in the genome's direction (TSS on plus, POLYA on minus) the site begins a segment, else it ends
+    one. A site in no exon is dropped. Edges (src, dst) go along the genome.
+    """
+    begins = (F.col("kind") == "TSS") == (F.col("strand") == "+")
+    s = sites.select("contig", "strand", "kind", "pos", begins.alias("begins")).distinct()
+    host = interval_join(s.withColumns({"lend": F.col("pos"), "rend": F.col("pos")}), exons.select("contig", "strand", F.col("lend").alias("lend2"), F.col("rend").alias("rend2")))
+    cut = host.select("contig", "strand", "lend2", "rend2", F.when(F.col("begins"), F.col("pos")).otherwise(F.col("pos") + 1).alias("at")).where("at > lend2 AND at <= rend2").distinct()
+    d = exons.join(cut.groupBy("contig", "strand", F.col("lend2").alias("lend"), F.col("rend2").alias("rend")).agg(F.array_sort(F.collect_set("at")).alias("cuts")), ["contig", "strand", "lend", "rend"], "left")
+    starts = F.concat(F.array("lend"), F.coalesce("cuts", F.array().cast("array<bigint>")))
+    stops = F.concat(F.transform(F.coalesce("cuts", F.array().cast("array<bigint>")), lambda x: x - 1), F.array("rend"))
+    pieces = d.select("contig", "strand", F.explode(F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("lend"), b.alias("rend")))).alias("p")).select("contig", "strand", "p.lend", "p.rend")
+    node = F.concat_ws(":", F.col("kind"), F.col("contig"), F.col("strand"), F.col("pos").cast("string"))
+    exon = F.concat(F.lit("E:"), F.concat_ws("-", "contig", "strand", "lend", "rend"))
+    first = host.where("begins").select("contig", "strand", F.col("pos").alias("lend"), node.alias("src")).join(pieces, ["contig", "strand", "lend"]).select("src", exon.alias("dst"))
+    last = host.where("NOT begins").select("contig", "strand", F.col("pos").alias("rend"), node.alias("dst")).join(pieces, ["contig", "strand", "rend"]).select(exon.alias("src"), "dst")
+    return pieces, first.unionByName(last)
+
+
+def site_index(sites: DataFrame, *, window: int = 50, bin_size: int = 1024) -> DataFrame:
+    """Boundary sites as intervals widened by half a window, listed in each bin that they touch."""
+    half = window // 2
+    d = sites.withColumns({"lend": F.greatest(F.lit(1), F.col("pos") - half), "rend": F.col("pos") + half})
+    return d.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lend") / bin_size), F.floor(F.col("rend") / bin_size))))
+
+
+def weak_neighbours(introns: DataFrame, runs: DataFrame, *, flank: int = 5) -> DataFrame:
+    """Mean coverage of ``flank`` bases before and inside an intron's left end, and their ratio; a report only."""
+    sides = F.explode(F.array(F.struct(F.lit("out").alias("side"), (F.col("lend") - flank).alias("a")), F.struct(F.lit("in").alias("side"), F.col("lend").alias("a"))))
+    spans = introns.select("contig", "strand", F.col("lend").alias("i_lend"), F.col("rend").alias("i_rend"), sides.alias("s")).select("contig", "strand", "i_lend", "i_rend", "s.side", F.col("s.a").alias("lend"), (F.col("s.a") + flank - 1).alias("rend"))
+    r = runs.select("contig", "strand", F.col("lend").alias("lend2"), F.col("rend").alias("rend2"), "coverage")
+    got = interval_join(spans, r).groupBy("contig", "strand", "i_lend", "i_rend").agg(*[F.sum(F.when(F.col("side") == x, F.col("coverage") * F.col("overlap"))).alias(x) for x in ("out", "in")])
+    d = introns.join(got.withColumnsRenamed({"i_lend": "lend", "i_rend": "rend"}), ["contig", "strand", "lend", "rend"], "left")
+    outside, inside = F.coalesce("out", F.lit(0)) / flank, F.coalesce("in", F.lit(0)) / flank
+    return d.select("contig", "strand", "lend", "rend", outside.alias("outside"), inside.alias("inside"), F.when(outside > 0, inside / outside).alias("ratio"))

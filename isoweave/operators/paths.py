@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import compatible_paths, contains_path, trim_boundaries
+from ..functions.scalar import compatible_paths, contains_path, path_relation, trim_boundaries
 
 
 def count_paths(reads: DataFrame) -> DataFrame:
@@ -92,3 +92,116 @@ def pattern_conflicts(rows: DataFrame) -> DataFrame:
 def keep_best_path(paths: DataFrame) -> DataFrame:
     """Of equal paths the one with the best score, then the least id."""
     return paths.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "path_id")).alias("m")).select("path", (-F.col("m.s")).alias("score"), "m.path_id")
+
+
+def relations(paths: DataFrame) -> DataFrame:
+    """(path_id, path_id_2, relation) of paths that share a node, each pair once; relation is that of the first."""
+    index = paths.select("path_id", F.explode("path").alias("node")).distinct()
+    other = index.select(F.col("path_id").alias("path_id_2"), "node")
+    pairs = index.join(other, "node").where("path_id < path_id_2").select("path_id", "path_id_2").distinct()
+    d = pairs.join(paths.select("path_id", "path"), "path_id").join(paths.select(F.col("path_id").alias("path_id_2"), F.col("path").alias("path_2")), "path_id_2")
+    return d.select("path_id", "path_id_2", path_relation(F.col("path"), F.col("path_2")).alias("relation"))
+
+
+def without_contained(paths: DataFrame) -> DataFrame:
+    """Equal paths as their best one, then paths that stand in another one removed.
+
+    Candidates begin with a node of the longer one, looked up by a path's first node.
+    """
+    best = keep_best_path(paths)
+    index = best.select(F.col("path_id").alias("other"), F.explode("path").alias("first"))
+    near = best.select("path_id", F.get("path", F.lit(0)).alias("first"), F.col("path").alias("own")).join(index, "first").where("path_id <> other")
+    held = near.join(best.select(F.col("path_id").alias("other"), F.col("path").alias("whole")), "other").where(contains_path(F.col("whole"), F.col("own"))).select("path_id").distinct()
+    return best.join(held, "path_id", "left_anti")
+
+
+def path_scores(paths: DataFrame) -> DataFrame:
+    """I8: (path_id, score): reads of each distinct path (path_id, path, n_reads) and of all paths that it contains."""
+    index = paths.select(F.col("path_id").alias("whole_id"), F.col("path").alias("whole"), F.explode("path").alias("first"))
+    inner = paths.select("path", "n_reads", F.get("path", F.lit(0)).alias("first")).join(index, "first").where(contains_path(F.col("whole"), F.col("path")))
+    return inner.groupBy(F.col("whole_id").alias("path_id")).agg(F.sum("n_reads").alias("score"))
+
+
+def node_support(paths: DataFrame) -> DataFrame:
+    """(path_id, weight, n_nodes): the number of a path's nodes, and of paths behind them in all."""
+    one = paths.select("path_id", F.explode(F.array_distinct("path")).alias("node"))
+    n = one.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    return one.join(n, "node").groupBy("path_id").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("n_nodes"))
+
+
+def overlap_fractions(paths: DataFrame, others: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(path_id, tx_id, fraction): shared bases of a read's path and a transcript's over those of the read's."""
+    own = paths.select("path_id", F.explode(F.array_distinct("path")).alias("node")).join(lengths, "node")
+    total = own.groupBy("path_id").agg(F.sum("length").alias("total"))
+    index = others.select("tx_id", F.explode(F.array_distinct("path")).alias("node"))
+    shared = own.join(index, "node").groupBy("path_id", "tx_id").agg(F.sum("length").alias("shared"))
+    return shared.join(total, "path_id").select("path_id", "tx_id", (F.col("shared") / F.col("total")).alias("fraction"))
+
+
+def ordered_nodes(nodes: DataFrame) -> DataFrame:
+    """each path's nodes (path_id, node, lend, rend, left, right, strand) in their order, from the 5' end.
+
+    By start, end and boundary marks on the plus strand, by end from high to low on the minus strand.
+    """
+    plus = F.struct("lend", "rend", "left", "right", "node")
+    minus = F.struct((-F.col("rend")).alias("a"), (-F.col("lend")).alias("b"), "right", "left", "node")
+    d = nodes.groupBy("path_id", "strand").agg(F.array_sort(F.collect_list(plus)).alias("p"), F.array_sort(F.collect_list(minus)).alias("m"))
+    return d.select("path_id", "strand", F.when(F.col("strand") == "+", F.transform("p", lambda x: x["node"])).otherwise(F.transform("m", lambda x: x["node"])).alias("path"))
+
+
+def same_introns(reads: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """(read_id, tx_id, relation) for sets of introns that share any: equal, subset, superset or mixed."""
+    index = transcripts.select("tx_id", F.explode("introns").alias("i"))
+    near = reads.select("read_id", F.explode("introns").alias("i")).join(index, "i").select("read_id", "tx_id").distinct()
+    d = near.join(reads, "read_id").join(transcripts.select("tx_id", F.col("introns").alias("t")), "tx_id")
+    more, less = F.size(F.array_except("introns", "t")), F.size(F.array_except("t", "introns"))
+    return d.select("read_id", "tx_id", F.when((more == 0) & (less == 0), "equal").when(more == 0, "subset").when(less == 0, "superset").otherwise("mixed").alias("relation"))
+
+
+def best_hits(hits: DataFrame) -> DataFrame:
+    """all hits of each read with its highest score."""
+    w = Window.partitionBy("read").orderBy(F.desc("score"))
+    return hits.withColumn("__r", F.rank().over(w)).where("__r = 1").drop("__r")
+
+
+def project_hits(hits: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """K7: genomic blocks of hits on transcripts (read, tx_id, t_lend, t_rend); (read, tx_id, contig, strand, blocks).
+
+    Transcript coordinates run along the exons in the direction of the strand; blocks are in the genome's.
+    """
+    length = lambda e: e["rend"] - e["lend"] + 1
+    plus = F.when(F.col("strand") == "+", F.col("exons")).otherwise(F.reverse("exons"))
+    e = transcripts.withColumn("x", plus).select("tx_id", "contig", "strand", "x", F.posexplode("x").alias("k", "e"))
+    e = e.withColumn("before", F.aggregate(F.slice("x", F.lit(1), F.col("k")), F.lit(0), lambda a, y: a + length(y))).select("tx_id", "contig", "strand", "e", "before")
+    d = hits.join(e, "tx_id").withColumns({"a": F.greatest("t_lend", F.col("before") + 1), "b": F.least("t_rend", F.col("before") + length(F.col("e")))}).where("a <= b")
+    first, last = F.col("a") - F.col("before") - 1, F.col("b") - F.col("before") - 1
+    low = F.when(F.col("strand") == "+", F.col("e.lend") + first).otherwise(F.col("e.rend") - last)
+    high = F.when(F.col("strand") == "+", F.col("e.lend") + last).otherwise(F.col("e.rend") - first)
+    return d.groupBy("read", "tx_id", "contig", "strand").agg(F.array_sort(F.collect_list(F.struct(low.cast("long").alias("lend"), high.cast("long").alias("rend")))).alias("blocks"))
+
+
+def rescue_reads(hits: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """K7: (read, contig, strand, blocks) of reads whose best hits all imply one place in the genome."""
+    p = project_hits(best_hits(hits).select("read", "tx_id", "t_lend", "t_rend"), transcripts)
+    return p.groupBy("read").agg(F.count_distinct("contig", "strand", "blocks").alias("n"), F.first("contig").alias("contig"), F.first("strand").alias("strand"), F.first("blocks").alias("blocks")).where("n = 1").drop("n")
+
+
+def assigned_by_mode(genome: DataFrame, transcriptome: DataFrame, mode: str) -> DataFrame:
+    """K9: (read, tx_id) of a mode: genome, transcriptome_only, rescue_unassigned or genome_tx_arb.
+
+    Both tables have read, tx_id and identity. Rescue adds reads that the genome leaves without a transcript; in
+    arbitration a read takes the side with the higher identity, the genome on ties.
+    """
+    g, t = genome.select("read", "tx_id"), transcriptome.select("read", "tx_id")
+    if mode == "genome":
+        return g
+    if mode == "transcriptome_only":
+        return t
+    if mode == "rescue_unassigned":
+        return g.unionByName(t.join(g.select("read").distinct(), "read", "left_anti"))
+    if mode == "genome_tx_arb":
+        a = genome.groupBy("read").agg(F.max("identity").alias("g"))
+        b = transcriptome.groupBy("read").agg(F.max("identity").alias("t"))
+        tx = a.join(b, "read", "full").where("g IS NULL OR t > g").select("read")
+        return g.join(tx, "read", "left_anti").unionByName(t.join(tx, "read", "left_semi"))
+    raise ValueError(f"unknown mode: {mode}")
