@@ -128,4 +128,4 @@ def weak_neighbours(introns: DataFrame, runs: DataFrame, *, flank: int = 5) -> D
     got = interval_join(spans, r).groupBy("contig", "strand", "i_lend", "i_rend").agg(*[F.sum(F.when(F.col("side") == x, F.col("coverage") * F.col("overlap"))).alias(x) for x in ("out", "in")])
     d = introns.join(got.withColumnsRenamed({"i_lend": "lend", "i_rend": "rend"}), ["contig", "strand", "lend", "rend"], "left")
     outside, inside = F.coalesce("out", F.lit(0)) / flank, F.coalesce("in", F.lit(0)) / flank
-    return d.select("contig", "strand", "lend", "rend", outside.alias("outside"), inside.alias("inside"), F.when(outside > 0, inside / outside).alias("ratio"))
+    return d.select("contig", "strand", "lend", "rend", outside.alias("outside"), inside.alias("inside"), F.when(outside > 0, F.coalesce("in", F.lit(0)) / F.col("out")).alias("ratio"))

@@ -251,3 +251,67 @@ def sample_matrices(counts: DataFrame, samples: list[str]) -> DataFrame:
     d = counts.join(totals, "sample").withColumn("tpm", F.col("n") / F.col("total") * 1e6)
     cols = [F.coalesce(F.sum(F.when(F.col("sample") == x, F.col(c))), F.lit(0.0)).alias(f"{x}_{name}") for x in samples for c, name in (("n", "count"), ("tpm", "TPM"))]
     return d.groupBy("id").agg(*cols)
+
+
+def corrected_tables(tracking: DataFrame, corrected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tracking with new fractions where ``corrected`` has them, and the expression that follows from it.
+
+    Both have read_id, gene_id and tx_id, the first frac and the second new_frac. A read without a new fraction keeps
+    its own.
+    """
+    d = tracking.join(corrected.select("read_id", "gene_id", "tx_id", "new_frac"), ["read_id", "gene_id", "tx_id"], "left")
+    d = d.withColumn("frac", F.coalesce("new_frac", "frac")).drop("new_frac")
+    counts = d.groupBy("gene_id", "tx_id").agg(F.sum("frac").alias("all_reads"))
+    return d, merge_expression([counts])
+
+
+def cluster_fractions(counts: DataFrame, fractions: DataFrame) -> DataFrame:
+    """Counts (gene_id, tx_id, cluster, n) with the share of the cluster's cells that express the transcript; 0 where none is known."""
+    return counts.join(fractions.select("gene_id", "tx_id", "cluster", "fraction"), ["gene_id", "tx_id", "cluster"], "left").fillna(0.0, ["fraction"])
+
+
+def listed_codes(rows: DataFrame, codes: DataFrame, ids: str, *, sep: str = ",") -> DataFrame:
+    """``rows`` (id, ``ids``: joined ids) with the ids' codes in the same order, N/A where one has none.
+
+    ``codes`` has tx_id and code; of several codes of an id the least counts.
+    """
+    one = rows.select("id", F.posexplode(F.split(ids, sep)).alias("place", "tx_id"))
+    known = codes.groupBy("tx_id").agg(F.min("code").alias("code"))
+    named = one.join(known, "tx_id", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("code", F.lit("N/A")).alias("code")))).alias("c"))
+    return rows.join(named, "id", "left").withColumn("codes", F.array_join(F.transform("c", lambda x: x["code"]), sep)).drop("c")
+
+
+def id_map(tracking: DataFrame, *cols: str) -> DataFrame:
+    """The distinct ids that occur together."""
+    return tracking.select(*cols).distinct()
+
+
+def resource_summary(samples: DataFrame) -> DataFrame:
+    """Peak and mean of memory and load, and the duration, of each process (process, seconds, memory, load)."""
+    return samples.groupBy("process").agg(F.count(F.lit(1)).alias("n_samples"), F.max("memory").alias("peak_memory"), F.avg("memory").alias("mean_memory"), F.max("load").alias("peak_load"), F.avg("load").alias("mean_load"), (F.max("seconds") - F.min("seconds")).alias("duration"))
+
+
+def bulk_filter(counts: DataFrame, *, min_cpm: float = 1.0, min_samples: int = 2, min_isoforms: int = 2) -> DataFrame:
+    """(gene_id, tx_id, sample, n, cpm, fraction) of transcripts with enough counts per million in enough samples.
+
+    Genes that keep fewer than ``min_isoforms`` transcripts go. ``fraction`` is the transcript's share of its gene's
+    counts in the sample, among what is kept.
+    """
+    totals = counts.groupBy("sample").agg(F.sum("n").alias("total"))
+    d = counts.join(totals, "sample").withColumn("cpm", F.col("n") / F.col("total") * 1e6)
+    good = d.groupBy("gene_id", "tx_id").agg(F.count_if(F.col("cpm") >= min_cpm).alias("k")).where(F.col("k") >= min_samples)
+    genes = good.groupBy("gene_id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= min_isoforms).select("gene_id")
+    d = d.join(good.join(genes, "gene_id", "left_semi").select("gene_id", "tx_id"), ["gene_id", "tx_id"], "left_semi")
+    w = Window.partitionBy("gene_id", "sample")
+    return d.select("gene_id", "tx_id", "sample", "n", "cpm", (F.col("n") / F.sum("n").over(w)).alias("fraction"))
+
+
+def normalized_cells(counts: DataFrame, *, min_cells: int = 10, min_features: int = 1000, scale: float = 1e4) -> DataFrame:
+    """(cell, feature, value): log(1 + share of the cell's counts times ``scale``) after both minima.
+
+    Features in fewer than ``min_cells`` cells go first, then cells with fewer than ``min_features`` of the rest.
+    """
+    often = counts.where("n > 0").groupBy("feature").agg(F.count_distinct("cell").alias("k")).where(F.col("k") >= min_cells).select("feature")
+    d = counts.where("n > 0").join(often, "feature", "left_semi")
+    cells = d.groupBy("cell").agg(F.sum("n").alias("total"), F.count_distinct("feature").alias("k")).where(F.col("k") >= min_features)
+    return d.join(cells.select("cell", "total"), "cell").select("cell", "feature", F.log1p(F.col("n") / F.col("total") * scale).alias("value"))

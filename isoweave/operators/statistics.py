@@ -245,3 +245,41 @@ def rank_sum(values: DataFrame) -> DataFrame:
 def expression_ramp(items: DataFrame, *, low: int = 1, high: int = 5) -> DataFrame:
     """Each item as often as a linear ramp over the number of its place says."""
     return items.withColumn("copies", (F.lit(low) + F.col("place") % (high - low + 1)).cast("int")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+
+
+def usage_report(tests: DataFrame, counts: DataFrame) -> DataFrame:
+    """Tested genes with their isoforms' ids and counts as lists, by change of usage from high to low."""
+    u = isoform_usage(counts)
+    lists = u.groupBy("gene_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("delta_pi")).alias("d"), "tx_id", "count_a", "count_b"))).alias("x"))
+    joined = lambda c: F.array_join(F.transform("x", lambda x: x[c].cast("string")), ",")
+    d = tests.join(lists, "gene_id")
+    return d.select(*tests.columns, joined("tx_id").alias("isoforms"), F.array_join(F.transform("x", lambda x: x["count_a"].cast("long").cast("string")), ",").alias("counts_a"), F.array_join(F.transform("x", lambda x: x["count_b"].cast("long").cast("string")), ",").alias("counts_b"))
+
+
+def consecutive_pairs(counts: DataFrame, order: str) -> DataFrame:
+    """Counts (gene_id, tx_id, stage, n) of each stage beside those of the next one in the order of stages."""
+    stages = counts.select(F.col(order).alias("stage_a")).distinct()
+    steps = stages.withColumn("stage_b", F.lead("stage_a").over(Window.orderBy("stage_a"))).where("stage_b IS NOT NULL")  # a row for each stage
+    a = counts.select("gene_id", "tx_id", F.col(order).alias("stage_a"), F.col("n").alias("count_a")).join(F.broadcast(steps), "stage_a")
+    b = counts.select("gene_id", "tx_id", F.col(order).alias("stage_b"), F.col("n").alias("count_b")).join(F.broadcast(steps), "stage_b")
+    d = a.join(b, ["gene_id", "tx_id", "stage_a", "stage_b"], "full")
+    return d.fillna(0.0, ["count_a", "count_b"])
+
+
+def expression_contrast(values: DataFrame, *, min_pct: float = 0.1, min_cells: int = 3) -> DataFrame:
+    """(feature, pct_1, pct_2, avg_log2_fc) of two groups (grp 1 and 0), for features that enough cells express.
+
+    The fold change is that of the means plus one. A feature needs ``min_cells`` cells in all, and ``min_pct`` of them
+    in one group.
+    """
+    one, two = F.col("grp") == 1, F.col("grp") == 0
+    d = values.groupBy("feature").agg(F.count_if(one).alias("n1"), F.count_if(two).alias("n2"), F.count_if(one & (F.col("value") > 0)).alias("k1"), F.count_if(two & (F.col("value") > 0)).alias("k2"), F.sum(F.when(one, F.col("value"))).alias("s1"), F.sum(F.when(two, F.col("value"))).alias("s2")).where("n1 > 0 AND n2 > 0")
+    d = d.withColumns({"pct_1": F.col("k1") / F.col("n1"), "pct_2": F.col("k2") / F.col("n2")}).where((F.col("k1") + F.col("k2") >= min_cells) & (F.greatest("pct_1", "pct_2") >= min_pct))
+    return d.select("feature", "pct_1", "pct_2", (F.log2(F.col("s1") / F.col("n1") + 1) - F.log2(F.col("s2") / F.col("n2") + 1)).alias("avg_log2_fc"))
+
+
+@F.pandas_udf(T.DoubleType())
+def normal_p(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Two-sided p-value of a z statistic."""
+    for z in batches:
+        yield z.map(lambda x: None if pd.isna(x) else math.erfc(abs(x) / math.sqrt(2)))
