@@ -27,6 +27,9 @@ def tables(tmp_path_factory):
         "orders": pd.DataFrame([(i, r.randrange(50), r.choice("OFP"), round(r.uniform(1000, 9000), 2), day(), "1") for i in range(400)], columns="o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split()),
         "part": pd.DataFrame([(i, f"part {i} x/y", "b", "t", r.randrange(1, 50), round(r.uniform(900, 2000), 2)) for i in range(1, 201)], columns="p_partkey p_name p_brand p_type p_size p_retailprice".split()).astype({"p_size": "int32"}),
         "customer": pd.DataFrame([(i, "c", r.randrange(25), round(r.uniform(9000, 9999), 2), "m") for i in range(100)], columns="c_custkey c_name c_nationkey c_acctbal c_mktsegment".split()).astype({"c_nationkey": "int32"}),
+        "nation": pd.DataFrame([(i, f"NATION_{i}", i % 5) for i in range(25)], columns="n_nationkey n_name n_regionkey".split()).astype({"n_nationkey": "int32", "n_regionkey": "int32"}),
+        "region": pd.DataFrame([(i, f"REGION_{i}") for i in range(5)], columns="r_regionkey r_name".split()).astype({"r_regionkey": "int32"}),
+        "supplier": pd.DataFrame([(i, f"s {i}", r.randrange(25), round(r.uniform(0, 9999), 2)) for i in range(40)], columns="s_suppkey s_name s_nationkey s_acctbal".split()).astype({"s_nationkey": "int32"}),
         "events": pd.DataFrame([(i, day(), r.randrange(80), r.choice(["view", "buy", "click"]), r.random(), "{}") for i in range(1000)], columns="event_id ts user_id event_type value props".split()),
     }
     con = duckdb.connect()
