@@ -34,14 +34,18 @@ def majority(shared: DataFrame, by: str = "gene_id") -> DataFrame:
     return shared.withColumn("__r", F.rank().over(w)).where("__r = 1").select("path_id", by, "shared")
 
 
-def assign_paths(paths: DataFrame, transcripts: DataFrame) -> DataFrame:
+def assign_paths(paths: DataFrame, transcripts: DataFrame, genes: DataFrame | None = None) -> DataFrame:
     """(path_id, tx_id, tier) by the first test that any transcript passes.
 
     1 equal, 2 contained in the transcript, 3 containing it, 4 compatible; 5 to 8 the same without boundary nodes.
-    Candidates share a node, so no path meets all transcripts.
+    Candidates share a node, so no path meets all transcripts; with ``genes`` (path_id, gene_id) they are instead all
+    transcripts of the path's genes.
     """
-    index = transcripts.select("tx_id", F.explode("path").alias("node")).distinct()
-    near = paths.select("path_id", F.explode("path").alias("node")).distinct().join(index, "node").select("path_id", "tx_id").distinct()
+    if genes is None:
+        index = transcripts.select("tx_id", F.explode("path").alias("node")).distinct()
+        near = paths.select("path_id", F.explode("path").alias("node")).distinct().join(index, "node").select("path_id", "tx_id").distinct()
+    else:
+        near = genes.select("path_id", "gene_id").join(transcripts.select("gene_id", "tx_id"), "gene_id").select("path_id", "tx_id")
     d = near.join(paths, "path_id").join(transcripts.select("tx_id", F.col("path").alias("tx_path")), "tx_id")
 
     def tests(p: Column, t: Column) -> list[Column]:

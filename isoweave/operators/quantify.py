@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import write_through
+from . import paths as path_ops
 from .graph import connected_components
 
 
@@ -59,7 +60,8 @@ def path_classes(tracking: DataFrame) -> DataFrame:
 
 
 def em_per_gene(classes: DataFrame, *, alpha: float = 0.01, max_iter: int = 250, tolerance: float = 1e-6) -> DataFrame:
-    """K3: (gene_id, tx_id, all_reads, proportion, n_rounds) from path classes; weights within a class are equal.
+    """K3: (gene_id, tx_id, all_reads, proportion, n_rounds) from path classes; weights within a class are equal, or those
+    of an array ``weights`` in the order of ``txs``.
 
     Genes are independent, so each is one group without a shuffle for each round; a group has a row for each distinct set
     of transcripts, not for each read.
@@ -72,7 +74,8 @@ def em_per_gene(classes: DataFrame, *, alpha: float = 0.01, max_iter: int = 250,
         names, idx = np.unique(np.concatenate(df["txs"].to_list()), return_inverse=True)
         path = np.repeat(np.arange(len(df)), size)
         reads = df["n_reads"].to_numpy(float)
-        frac, p, rounds = em_arrays(idx, path, 1.0 / size[path], reads, alpha=alpha, max_iter=max_iter, tolerance=tolerance)
+        weight = np.concatenate(df["weights"].to_list()) if "weights" in df else 1.0 / size[path]
+        frac, p, rounds = em_arrays(idx, path, weight, reads, alpha=alpha, max_iter=max_iter, tolerance=tolerance)
         counts = np.bincount(idx, weights=frac * reads[path], minlength=len(names))
         return pd.DataFrame({"gene_id": df["gene_id"].iloc[0], "tx_id": names, "all_reads": counts, "proportion": p, "n_rounds": rounds})
 
@@ -108,10 +111,61 @@ def expression_report(tracking: DataFrame, counts: DataFrame, *, total_records:
     d = counts.join(uniq, ["gene_id", "tx_id"], "left").join(gene, "gene_id").join(F.broadcast(total), F.lit(True))
     share = F.when(F.col("gene_reads") > 0, F.col("all_reads") / F.col("gene_reads")).otherwise(0.0)
     unique = F.coalesce("uniq_reads", F.lit(0))
-    out = d.select("gene_id", "tx_id", unique.alias("uniq_reads"), "all_reads", share.alias("isoform_fraction"), F.when(F.col("gene_reads") > 0, unique / F.col("gene_reads")).otherwise(0.0).alias("unique_gene_read_fraction"), (F.col("all_reads") / F.col("total_reads") * 1e6).alias("tpm"))
+    out = d.select("gene_id", "tx_id", unique.alias("uniq_reads"), "all_reads", share.alias("isoform_fraction"), F.when(F.col("gene_reads") > 0, unique / F.col("gene_reads")).otherwise(0.0).alias("unique_gene_read_fraction"), F.when(F.col("total_reads") > 0, F.col("all_reads") / F.col("total_reads") * 1e6).otherwise(0.0).alias("tpm"))
     return out if total_records is None else out.withColumn("rpm", F.col("all_reads") / total_records * 1e6)
 
 
+def end_distances(hits: DataFrame, paths: DataFrame, transcripts: DataFrame, lengths: DataFrame) -> DataFrame:
+    """K2: ``hits`` (path_id, tx_id) with the bases (distance) of the transcript's nodes behind the last one it shares with the path.
+
+    Paths run from the 5' end; ``lengths`` has node and length, and nodes without one count as zero.
+    """
+    w = Window.partitionBy("tx_id").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
+    nodes = transcripts.select("tx_id", F.posexplode("path").alias("place", "node")).join(lengths, "node", "left")
+    rest = nodes.select("tx_id", "node", F.coalesce(F.sum("length").over(w), F.lit(0)).alias("distance"))
+    own = hits.select("path_id", "tx_id").join(paths.select("path_id", F.explode("path").alias("node")), "path_id")
+    least = own.join(rest, ["tx_id", "node"]).groupBy("path_id", "tx_id").agg(F.min("distance").alias("distance"))
+    return hits.join(least, ["path_id", "tx_id"], "left").fillna(0, ["distance"])
+
+
+def quantify_paths(reads: DataFrame, transcripts: DataFrame, lengths: DataFrame | None = None, *, em: bool = True, alpha: float = 0.01, max_iter: int = 250, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:
+    """From reads' paths (read_id, path, lend, rend) and transcripts (gene_id, tx_id, path) to both reports.
+
+    Distinct paths are counted, anchored to the genes with which they share most nodes (ties stay), assigned to those
+    genes' transcripts by the first test that holds (K1), weighted by their distance to the 3' end where ``lengths``
+    are given (K2), and split by expectation-maximization in each gene (K3), or equally without ``em`` (K4).
+
+    Returns the tracking (read_id, gene_id, tx_id, tier, frac) and the expression report of all transcripts, whose counts
+    are sums of the tracking's fractions. Paths with a spacer, or that no transcript fits, are in neither. All steps up to
+    the estimate run on distinct paths; reads are only counted at the start and joined back at the end.
+    """
+    counted = write_through(path_ops.count_paths(reads).withColumn("path_id", F.monotonically_increasing_id()), "paths")
+    genes = path_ops.majority(path_ops.anchors(counted, transcripts))
+    hits = path_ops.assign_paths(counted.select("path_id", "path"), transcripts, genes).join(transcripts.select("gene_id", "tx_id"), "tx_id")
+    own = Window.partitionBy("gene_id", "path_id")
+    if lengths is None:
+        hits = hits.withColumn("weight", 1.0 / F.count(F.lit(1)).over(own))
+    else:
+        named = end_distances(hits, counted, transcripts, lengths).withColumn("mp_id", F.struct("gene_id", "path_id"))
+        hits = end_weights(named).drop("mp_id", "distance")
+    hits = write_through(hits.join(counted.select("path_id", "n_reads"), "path_id"), "hits")
+    if em:
+        pair = F.array_sort(F.collect_list(F.struct("tx_id", F.round("weight", 9).alias("weight"))))
+        sets = hits.groupBy("gene_id", "path_id").agg(pair.alias("h"), F.first("n_reads").alias("n_reads"))
+        classes = sets.groupBy("gene_id", F.col("h.tx_id").alias("txs"), F.col("h.weight").alias("weights")).agg(F.sum("n_reads").cast("double").alias("n_reads"))
+        fitted = em_per_gene(classes, alpha=alpha, max_iter=max_iter, tolerance=tolerance).select("gene_id", "tx_id", "proportion")
+        part = F.col("weight") * F.col("proportion")
+        total = F.sum(part).over(own)
+        hits = write_through(hits.join(fitted, ["gene_id", "tx_id"]).withColumn("frac", F.when(total > 0, part / total).otherwise(0.0)), "fractions")
+    else:
+        hits = hits.withColumn("frac", 1.0 / F.count(F.lit(1)).over(own))
+    back = reads.select("read_id", "path").distinct().join(counted.select("path_id", "path"), "path").select("read_id", "path_id")
+    tracking = back.join(hits, "path_id").select("read_id", "gene_id", "tx_id", "tier", "frac")
+    sums = hits.groupBy("gene_id", "tx_id").agg(F.sum(F.col("frac") * F.col("n_reads")).alias("all_reads"))
+    counts = transcripts.select("gene_id", "tx_id").join(sums, ["gene_id", "tx_id"], "left").fillna(0.0, ["all_reads"])
+    return tracking, expression_report(tracking, counts)
+
+
 def merge_expression(shards: list[DataFrame]) -> DataFrame:
     """Reads of the same transcript summed over shards, tpm and isoform fraction made anew."""
     d = shards[0]
