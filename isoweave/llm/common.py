@@ -38,10 +38,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
     This cuts the lineage: a lost executor costs the tasks it ran, not what came before.
     """
+    return store(df, label)[0]
+
+
+def store(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As :func:`materialize`, and the folder, for :func:`discard` once nothing reads it any more."""
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that :func:`store` wrote."""
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

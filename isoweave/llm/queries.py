@@ -149,6 +149,34 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all conversations, each rebuilt on the first turns of its hundred's first conversation."""
+    from .prefix_trie import build_trie, share_first_turns, turns_of
+
+    return build_trie(share_first_turns(turns_of(table(spark, sf_dir, "conversations"))))
+
+
+OP11_SQL = """
+WITH crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i))),
+own AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))), lambda a, b: xor(a >> 8, t[xor(a, b) % 256 + 1])), 4294967295) % 6 AS h
+        FROM (SELECT DISTINCT c FROM own) CROSS JOIN crc),
+rebuilt AS (SELECT ids.c, o.i, o.role, o.text FROM ids JOIN own o ON o.c = ids.c - ids.c % 100 AND o.i <= h
+            UNION ALL SELECT ids.c, o.i, o.role, o.text FROM ids JOIN own o ON o.c = ids.c AND o.i > h),
+placed AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY i) AS d, role, text FROM rebuilt),
+whole AS (SELECT ids.c, coalesce(list({'role': role, 'text': text} ORDER BY d) FILTER (WHERE d IS NOT NULL), []) AS turns FROM ids LEFT JOIN placed USING (c) GROUP BY 1),
+steps AS (SELECT c, d, CAST(len(turns) AS BIGINT) AS n_turns, CAST(turns[1 : d] AS VARCHAR) || '#' || list_reduce(list_prepend('', list_transform(turns[1 : d], lambda x: length(x.role) || ',' || length(x.text) || ';')), lambda a, b: a || b) AS k,
+          CASE WHEN d > 0 THEN length(turns[d].text) ELSE 0 END AS size FROM (SELECT c, turns, unnest(range(len(turns) + 1)) AS d FROM whole)),
+nodes AS (SELECT k, min(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(size) AS size, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE d = n_turns), '')) AS ends_sha256 FROM steps GROUP BY 1),
+links AS (SELECT DISTINCT a.k, b.k AS child FROM steps a JOIN steps b ON a.c = b.c AND b.d = a.d + 1),
+kids AS (SELECT k, count(*) AS n_children, FROM links GROUP BY 1),
+above AS (SELECT DISTINCT a.k, b.k AS under FROM steps a JOIN steps b ON a.c = b.c AND b.d >= a.d),
+totals AS (SELECT above.k, count(*) FILTER (WHERE kids.k IS NULL) AS n_leaves, CAST(sum((n.n_convs - 1) * n.size) AS BIGINT) AS saved_tokens FROM above JOIN nodes n ON n.k = under LEFT JOIN kids ON kids.k = under GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN totals USING (k) LEFT JOIN kids USING (k) LEFT JOIN links l ON l.child = n.k LEFT JOIN nodes p ON p.k = l.k
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
@@ -160,6 +188,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_toxicity": op9_toxicity,
     "op10_licenses": op10_licenses,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op6_host_rules": OP6_SQL, "op7_decontamination": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op6_host_rules": OP6_SQL, "op7_decontamination": OP7_SQL, "op11_prefix_trie": OP11_SQL}
