@@ -177,6 +177,32 @@ FROM nodes n JOIN totals USING (k) LEFT JOIN kids USING (k) LEFT JOIN links l ON
 """
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors by Elkan's Lloyd rounds."""
+    from .vector_codes import digest, encode, with_label_errors
+
+    coded, books = encode(table(spark, sf_dir, "embeddings"))
+    return with_label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
+
+
+_NEAREST = """
+n{r} AS MATERIALIZED (SELECT i, p, any_value(v) AS v, min(d * 16 + e) // 16 AS error, min(d * 16 + e) % 16 AS e FROM (
+  SELECT x.i, x.p, x.v, b.e, CAST(list_sum(list_transform(range(1, len(x.v) + 1), lambda k: (x.v[k] - b.v[k]) * (x.v[k] - b.v[k]))) AS HUGEINT) AS d FROM x JOIN b{r} AS b USING (p)) GROUP BY 1, 2)"""
+_REPLACED = """
+b{s} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{r} AS b LEFT JOIN (
+  SELECT p, e, list(CAST(floor(total / n) AS BIGINT) ORDER BY k) AS v FROM (
+    SELECT p, e, k, sum(c) AS total, count(*) AS n FROM (SELECT p, e, unnest(range(1, len(v) + 1)) AS k, unnest(v) AS c FROM n{r}) GROUP BY 1, 2, 3) GROUP BY 1, 2) AS m USING (p, e))"""
+OP12_SQL = """
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, vec_id, label, list_transform(embedding, lambda c: CAST(floor(4096 * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS MATERIALIZED (SELECT i, p, v[p * len(v) // 8 + 1 : (p + 1) * len(v) // 8] AS v FROM kept CROSS JOIN range(8) AS r(p)),
+b0 AS MATERIALIZED (SELECT p, i AS e, v FROM x WHERE i < 16),{rounds},
+books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b6),
+coded AS (SELECT i, string_agg(printf('%02x', CAST(e AS BIGINT)), '' ORDER BY p) AS code, CAST(sum(error) AS BIGINT) AS error FROM n6 GROUP BY 1)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN kept USING (i) CROSS JOIN books
+""".replace("{rounds}", ",".join((_NEAREST + "," + _REPLACED).format(r=r, s=r + 1) if r < 6 else _NEAREST.format(r=r) for r in range(7)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
@@ -189,6 +215,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_licenses": op10_licenses,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_vector_codes": op12_vector_codes,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op6_host_rules": OP6_SQL, "op7_decontamination": OP7_SQL, "op11_prefix_trie": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op6_host_rules": OP6_SQL, "op7_decontamination": OP7_SQL, "op11_prefix_trie": OP11_SQL, "op12_vector_codes": OP12_SQL}
