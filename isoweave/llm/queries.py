@@ -203,6 +203,15 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 """.replace("{rounds}", ",".join((_NEAREST + "," + _REPLACED).format(r=r, s=r + 1) if r < 6 else _NEAREST.format(r=r) for r in range(7)))
 
 
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from all documents outside the held-out fold."""
+    from .language_spans import label_languages, train
+
+    docs = table(spark, sf_dir, "documents")
+    out = label_languages(docs, train(docs.where(~held_out())))
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
@@ -216,6 +225,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_vector_codes": op12_vector_codes,
+    "op13_language": op13_language,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op6_host_rules": OP6_SQL, "op7_decontamination": OP7_SQL, "op11_prefix_trie": OP11_SQL, "op12_vector_codes": OP12_SQL}
