@@ -7,7 +7,7 @@ through a logistic curve that is fitted to labelled documents the dictionaries h
 labels' own shares, which makes the score a probability.
 
 Scoring is one pass without a shuffle; the model has a fixed size. Training reads at most ``max_docs`` labelled
-documents, least hash first, and at most ``max_chars`` of their characters.
+documents, least hash first, and fewer where they have more than ``max_chars`` characters in all; their texts are whole.
 
 Edge cases: null and empty texts have no difference and get the curve's value at zero; null ids are carried; repeated
 rows are scored once each; an empty table gives no rows; with labels of one kind only the score is that kind, with none
@@ -111,8 +111,7 @@ def train(texts: list[str | None], good: list[int], share_good: float | None = N
 def train_on(docs: DataFrame, labels: DataFrame, *, max_docs: int = 4000, max_chars: int = 20_000_000) -> Model:
     """Train on a bounded sample of the labelled documents outside the held-out fold.
 
-    At most ``max_docs`` documents reach the driver. Where they have more than ``max_chars`` characters, the longest ones
-    give sentences chosen by hash from the whole text.
+    At most ``max_docs`` documents reach the driver, and fewer where they have more than ``max_chars`` characters in all.
     """
     texts, good = sampled_texts(training_rows(docs, labels, "quality", max_docs=max_docs), max_chars)
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0)

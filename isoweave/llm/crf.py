@@ -13,9 +13,10 @@ curve of its logarithm and of the largest marginal, fitted to documents the fiel
 Offending offsets are runs of tokens whose toxic marginal is a half or more.
 
 Scoring is one pass without a shuffle. The model is of a fixed size whatever the corpus, so it is broadcast. Training
-reads at most ``max_docs`` labelled documents, half of them toxic where there are enough, least hash first. Where they
-have more than ``max_chars`` characters, the longest ones give sentences chosen by hash from the whole text, up to a
-length that is the same for all; no document is left out.
+reads at most ``max_docs`` labelled documents, half of them toxic where there are enough, least hash first, and fewer
+where they have more than ``max_chars`` characters in all; their texts are read whole. The field is not fitted to those
+of them that share two of their eight least hashed word pairs with an earlier one (copies would lend common words a
+support that they don't have). Where nothing tells toxic from clean documents, scores are the labels' share of toxic ones.
 
 Edge cases: null, empty and wordless texts have no tokens and get the curve's value at zero; a very long text without
 sentence ends is one sequence; equal marginals score alike, so ties stay ties; null ids are carried and
@@ -181,16 +182,18 @@ def without_near_copies(texts: list[str | None], sketch: int = 8, shared: int =
     return out
 
 
-def weak_tags(texts: list[str | None], toxic: list[bool], least: int = 4, share: float = 0.01, ratio: float = 3.5) -> set[str]:
+def weak_tags(texts: list[str | None], toxic: list[bool], least: int = 4, few: float = 0.4, share: float = 0.01, ratio: float = 3.5) -> set[str]:
     """Forms and first letters (4 to 6, marked "p") that are ``e ** ratio`` times likelier in toxic documents.
 
-    Each has to be in ``least`` toxic documents, and in this ``share`` of them.
+    Each has to be in ``least`` toxic documents, and in this ``share`` of them; where ``few`` of all toxic ones are fewer than
+    ``least``, in so many, but never in one only.
     """
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for t, bad in zip(texts, toxic, strict=True):
         words = set(tokenize(t)[0])
         seen[bad].update(words | {f"p{w[:n]}" for w in words for n in (4, 5, 6) if len(w) >= n})
     n_bad, n_good = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
+    least = min(least, max(2, int(np.ceil(few * n_bad))))
     out = set()
     for x, c in seen[1].items():
         if c >= max(least, share * n_bad) and np.log((c + 0.5) / n_bad) - np.log((seen[0][x] + 0.5) / n_good) > ratio:
@@ -198,8 +201,11 @@ def weak_tags(texts: list[str | None], toxic: list[bool], least: int = 4, share:
     return out
 
 
-def train(texts: list[str | None], toxic: list[bool], *, rounds: int = 60, penalty: float = 1e-4, rate: float = 0.3) -> Model:
-    """Fit the field to three of four documents, and the curve to the rest."""
+def train(texts: list[str | None], toxic: list[bool], share: float | None = None, *, rounds: int = 60, penalty: float = 1e-4, rate: float = 0.3) -> Model:
+    """Fit the field to three of four documents, and the curve to the rest; ``share`` is the labels' share of toxic ones.
+
+    Where no form tells toxic documents from clean ones, or the evidence of those left over doesn't, every score is the share.
+    """
     toxic = [bool(x) for x in toxic]
     model = Model(np.zeros(1 << TABLE_BITS), np.zeros((2, 2)), np.zeros(2))
     if not any(toxic) or all(toxic):
@@ -207,6 +213,10 @@ def train(texts: list[str | None], toxic: list[bool], *, rounds: int = 60, penal
     lone = set(without_near_copies(texts))
     fit = [k for k in range(len(texts)) if k % 4 and k in lone]
     marks = weak_tags([texts[k] for k in fit], [toxic[k] for k in fit])
+    share = float(np.mean(toxic)) if share is None else share
+    model.curve = (0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
+    if not marks:
+        return model
     # tokens are numbers of distinct words, whose features are listed once
     vocab: dict[str, int] = {}
     parts, seq_parts, tag_parts, base = [], [], [], 0
@@ -247,7 +257,11 @@ def train(texts: list[str | None], toxic: list[bool], *, rounds: int = 60, penal
     model.cache.clear()
     held = [k for k in range(len(texts)) if not k % 4]
     evidence = np.concatenate([model.tag([texts[k] for k in held[i : i + 100]])[0] for i in range(0, len(held), 100)])
-    model.curve = fit_curve(evidence, np.array([toxic[k] for k in held], float))
+    held_toxic = np.array([toxic[k] for k in held], float)
+    if len(held_toxic) and 0 < held_toxic.sum() < len(held_toxic) and evidence[held_toxic == 1].mean() > evidence[held_toxic == 0].mean():
+        model.curve = fit_curve(evidence, held_toxic)
+    elif share < 0.5:  # none or one kind was left over: what any mark says is all that is known
+        model.curve = (4.0, -4.0)
     model.cache.clear()
     return model
 
@@ -267,7 +281,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, column: str, *, max_docs: int, folds: int = 5) -> DataFrame:
-    """(text, label) of at most ``max_docs`` documents whose crc32(doc_id) mod ``folds`` isn't 0, shared between the labels.
+    """(doc_id, text, label) of at most ``max_docs`` documents whose crc32(doc_id) mod ``folds`` isn't 0, shared between the labels.
 
     The choice depends on the documents' ids alone: least hash first for each label.
     """
@@ -278,53 +292,48 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str, *, max_docs:
     picked = [own.where(F.col("label") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for x, n in share.items()]
     sample = picked[0].unionByName(picked[1])
     one = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    return one.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "label")
+    return one.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "text", "label")
 
 
-def fair_length(lengths: list[int], total: int) -> int:
-    """The length to which the longest texts are cut so that all together have at most ``total``."""
-    left, n = total, len(lengths)
-    for k, x in enumerate(sorted(lengths)):
-        if x * (n - k) > left:
-            return left // (n - k)
-        left -= x
-    return max(lengths, default=0)
+def within(rows: list[tuple], most: int) -> list:
+    """Ids of (id, label, size) that have at most ``most`` in all, in their order; each label keeps its share of the whole.
 
-
-def sample_sentences(text: str, most: int) -> str:
-    """Sentences of a text that is longer than ``most`` characters, least hash first, in their order."""
-    if len(text) <= most:
-        return text
-    order, size = [], 0
-    for _, a, b in sorted((zlib.crc32(f"{m.start()} {m[0]}".encode("utf-8", "surrogatepass")), *m.span()) for m in PIECE.finditer(text)):
-        if size + b - a + 1 <= most:
-            order.append((a, b))
-            size += b - a + 1
-    return "\n".join(text[a:b] for a, b in sorted(order))
+    What doesn't fit any more is passed over, so that long texts don't end the sample; a label's first row is always taken.
+    """
+    total = sum(r[2] for r in rows)
+    out = []
+    for label in sorted({r[1] for r in rows}):
+        own = [r for r in rows if r[1] == label]
+        left = most * sum(r[2] for r in own) // max(1, total)
+        for k, (i, _, size) in enumerate(own):
+            if size <= left or not k:
+                left -= size
+                out.append(i)
+    return out
 
 
 def sampled_texts(rows: DataFrame, max_chars: int) -> tuple[list[str | None], list[int]]:
-    """Texts and labels of ``rows`` (text, label), of at most ``max_chars`` characters in all (``sample_sentences``)."""
-    most = fair_length([r.n for r in rows.select(F.coalesce(F.length("text"), F.lit(0)).alias("n")).collect()], max_chars)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pa.array([None if t is None else sample_sentences(t, most) for t in batch.column(0).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([texts, batch.column(1)], names=["text", "label"])
-
+    """Texts and labels of ``rows`` (doc_id, text, label), whole ones, least hash first; where they have more than
+    ``max_chars`` characters in all, fewer rows (``within``)."""
+    sizes = [tuple(r) for r in rows.select("doc_id", "label", F.coalesce(F.length("text"), F.lit(0))).collect()]
+    if sum(r[2] for r in sizes) > max_chars:
+        kept = rows.sparkSession.createDataFrame([(i,) for i in within(sizes, max_chars)], rows.select("doc_id").schema)
+        rows = rows.join(F.broadcast(kept), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id")
     texts, labels = [], []
-    for r in rows.select(F.col("text").cast("string"), "label").mapInArrow(run, "text string, label int").toLocalIterator():
+    for r in rows.select(F.col("text").cast("string").alias("text"), "label").toLocalIterator():
         texts.append(r.text)
         labels.append(int(r.label))
     return texts, labels
 
 
 def train_on(docs: DataFrame, labels: DataFrame, *, max_docs: int = 4000, max_chars: int = 10_000_000) -> Model:
-    """Train on a bounded sample of the labelled documents (``max_docs``, of which ``max_chars`` characters are read)."""
+    """Train on a bounded sample of the labelled documents: at most ``max_docs``, and fewer beyond ``max_chars`` in all."""
     texts, toxic = sampled_texts(training_rows(docs, labels, "toxic", max_docs=max_docs), max_chars)
-    if len(set(toxic)) == 1 and labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").agg(F.count_distinct(F.col("toxic").cast("int"))).first()[0] > 1:
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0)
+    share, kinds = known.agg(F.avg(F.col("toxic").cast("int")), F.count_distinct(F.col("toxic").cast("int"))).first()
+    if len(set(toxic)) == 1 and kinds > 1:
         raise ValueError("labels are of both kinds, but the documents to train on are of one kind only")
-    return train(texts, [bool(x) for x in toxic])
+    return train(texts, [bool(x) for x in toxic], share)
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,7 +1,8 @@
 """Main text of web pages: blocks of page structure, then a suffix array over each host's token streams.
 
 A page becomes blocks of text, each inside or outside an article. What an element itself means (menu, header, footer,
-aside, form, script, style) or a role or one plain word of its class says is left out. The words of all remaining
+aside, form, script, style) or a role or one whole word of its class says is left out; a class of the layout (sidebar,
+notice) doesn't leave out an article in such an element, and none leaves out html, body or main. The words of all remaining
 blocks are the page's two token streams, of what is inside and what is outside an article; all streams of a host, page
 after page, make one text whose suffixes are sorted. Neighbours in the suffix array that share ``depth`` or more tokens
 (their longest common prefix) are a repeated substring. It is boilerplate outside articles if ``least_pages`` distinct
@@ -11,8 +12,8 @@ words are removed and the unique runs kept. A page with an article keeps its blo
 A host of at most ``group_bytes`` of html is one group with one suffix array, whose size is so bounded. For a larger
 host the same substrings are counted without moving its pages: substrings of ``depth`` tokens are hashed (64 bits).
 Those outside articles are summed up by hash. For the rest, a part of the pages yields only substrings that more than
-half the needed share of its own pages hold; what no part yields is too rare everywhere, and what the sums leave
-possible is counted exactly over the whole host. So the rule is the same for every size, and a host with a third of
+half the needed share of its own pages hold; where no page has copies in many parts, what no part yields is too rare
+everywhere, and what the sums leave possible is counted exactly over the whole host; where pages have, all is. So the rule is the same for every size, and a host with a third of
 all pages is spread over all tasks. Equal streams count as one page, so copies of a page don't make its own text
 boilerplate.
 
@@ -48,24 +49,29 @@ MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 
-def _skips(name: str, attributes: str) -> bool:
+def _skips(name: str, attributes: str) -> int:
+    """2 if an element and all in it is left out, 1 if only what isn't in an article there, 0 if it stays."""
     if name in SKIPPED:
-        return True
+        return 2
     if not attributes or attributes.isspace():
-        return False
+        return 0
     found = {m[1].lower(): (m[2] or "").strip("\"'").lower() for m in ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
+        return 2
     if found.get("role") in SKIP_ROLES:
-        return True
-    words = set(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}"))
-    return bool(words & (COMMENT_WORDS if name in ARTICLE or name in ("body", "html") else SKIP_WORDS))
+        return 2
+    words = {*found.get("class", "").split(), *found.get("id", "").split()}
+    if name in ("body", "html", "main"):
+        return 0
+    if words & COMMENT_WORDS:
+        return 2
+    return int(name not in ARTICLE and bool(words & SKIP_WORDS))
 
 
 def page_blocks(source: str | None) -> list[tuple[str, bool]]:
     """(text, inside an article) of each block that isn't left out, in page order."""
     out: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # name, skipped, in an article
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # name, whether it is skipped (_skips), in an article
     parts: list[str] = []
     source = source or ""
 
@@ -116,7 +122,9 @@ def page_blocks(source: str | None) -> list[tuple[str, bool]]:
                         del stack[k:]
                     break
         _, skipped, inside = stack[-1]
-        stack.append((name, skipped or _skips(name, attributes), inside or name in ARTICLE))
+        if skipped == 1 and name in ARTICLE:
+            skipped = 0
+        stack.append((name, max(skipped, _skips(name, attributes)), inside or name in ARTICLE))
     flush()
     return out
 
@@ -350,20 +358,24 @@ def extract_large(pages: DataFrame, depth: int, least_pages: int, article_share:
 
     def listed(sent: np.ndarray | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """page, run: a page's runs, of those ``sent`` or of all."""
-            runs_of = RunHasher(depth)
+            """host, page, run: a page's runs, of those ``sent`` or of all; once for each page of a task."""
+            runs_of, seen = RunHasher(depth), set()
             for part in rows(batches):
-                keys, found = [], [np.empty(0, np.int64)]
+                hosts, keys, found = [], [], [np.empty(0, np.int64)]
                 for host, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     blocks = page_blocks(source)
                     h, page = page_keys(host, blocks)
+                    if page in seen:
+                        continue
+                    seen.add(page)
                     own = np.unique(np.concatenate([runs_of(stream(blocks, inside), h) for inside in (False, True)]))
                     if sent is not None and len(own):
                         own = own[sent[np.minimum(np.searchsorted(sent, own), len(sent) - 1)] == own]
+                    hosts += [h - 2**63] * len(own)
                     keys += [page] * len(own)
                     found.append(own)
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.concatenate(found))], names=["page", "run"])
+                    yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(keys, pa.int64()), pa.array(np.concatenate(found))], names=["host", "page", "run"])
 
         return run
 
@@ -402,16 +414,22 @@ def extract_large(pages: DataFrame, depth: int, least_pages: int, article_share:
     local = marks.where("page IS NULL")
     parts = local.where("run IS NULL").groupBy("host").agg(F.sum("pages").alias("all"))
     least = F.greatest(F.lit(max(5, least_pages)), F.floor(article_share * F.col("n")) + 1)
-    limits = number.join(parts, "host").select("host", "all", least.alias("least"))
+    limits = materialize(number.join(parts, "host").select("host", "all", least.alias("least"), (part_share * F.col("all") >= least).alias("copied")), "limits")
     sums = local.where("run IS NOT NULL").groupBy("host", "run").agg(F.sum("seen").alias("seen"), F.sum("pages").alias("pages"))
-    possible = materialize(sums.join(limits, "host").where(F.col("seen") + part_share * (F.col("all") - F.col("pages")) >= F.col("least")).select("run", "least"), "possible")
+    possible = materialize(sums.join(limits.where("NOT copied"), "host").where(F.col("seen") + part_share * (F.col("all") - F.col("pages")) >= F.col("least")).select("run", "least"), "possible")
+    found_schema = "host long, page long, run long"
     some = possible.count()  # from the files' footers
     if some:
         sent = np.sort(np.array([r.run for r in possible.select("run").collect()], np.int64)) if some <= MOST_SENT else None
-        found = html_of.mapInArrow(listed(sent), "page long, run long")
+        found = html_of.mapInArrow(listed(sent), found_schema)
         inside = materialize((found if sent is not None else found.join(possible.select("run"), "run", "left_semi")).distinct(), "inside")
         boiler = inside.groupBy("run").agg(F.count(F.lit(1)).alias("n")).join(possible, "run").where("n >= least").select("run")
         held = held.unionByName(inside.join(materialize(boiler, "boilerplate"), "run", "left_semi").select("page", "run", F.lit(True).alias("inside")))
+    copied = limits.where("copied").select("host", "least")
+    if not copied.isEmpty():  # copies in many parts: no part's counts bound those of distinct pages
+        every = materialize(html_of.mapInArrow(listed(None), found_schema).join(copied, "host", "left_semi").distinct(), "inside")
+        boiler = every.groupBy("host", "run").agg(F.count(F.lit(1)).alias("n")).join(copied, "host").where("n >= least").select("run")
+        held = held.unionByName(every.join(materialize(boiler, "boilerplate"), "run", "left_semi").select("page", "run", F.lit(True).alias("inside")))
     held = held.groupBy("page").agg(F.collect_list(F.when(~F.col("inside"), F.col("run"))).alias("outside"), F.collect_list(F.when(F.col("inside"), F.col("run"))).alias("inside"))
     held = materialize(held, "held")
     parsed = pages.select("page_id", "url", "html", "host").mapInArrow(parse, f"page_id {kind}, url string, host string, page long, blocks array<struct<text:string,inside:boolean>>")

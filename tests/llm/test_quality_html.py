@@ -1,5 +1,6 @@
 """Compression classifier and toxicity field by held-out accuracy; HTML extraction on planted pages."""
 
+import os
 import random
 
 import numpy as np
@@ -203,12 +204,8 @@ def test_long_texts_do_not_end_the_sample(spark, tables):
     long = docs.withColumn("text", F.when(F.col("doc_id").isin(*range(0, 40)), F.repeat(F.concat("text", F.lit(" ")), 200)).otherwise(F.col("text")))
     got = {r.doc_id: r.score for r in crf.score_toxicity(docs, crf.train_on(long, labels, max_chars=size)).collect()}
     assert np.mean([(got[r[0]] >= 0.5) == bool(r[3]) for r in rows]) > 0.95
-    assert crf.fair_length([1, 10, 100], 61) == 50 and crf.fair_length([1, 2], 10) == 2 and crf.fair_length([], 5) == 0
-    text = " ".join(sentence(9) for _ in range(200))
-    part = crf.sample_sentences(text, 1000)
-    assert 800 < len(part) <= 1000 and crf.sample_sentences(text, len(text)) == text
-    assert all(x in text for x in part.split("\n")) and part.split("\n")[-1] in text[len(text) // 2 :]
-    assert len(crf.sample_sentences("word " * 5000, 3000)) > 1900
+    assert crf.within([(1, 0, 10), (2, 0, 90), (3, 0, 5), (4, 1, 15)], 60) == [1, 3, 4]
+    assert crf.within([(1, 0, 500), (2, 1, 500)], 60) == [1, 2] and crf.within([], 5) == []
 
 
 def test_one_label_left_is_an_error(spark, tables):
@@ -217,6 +214,67 @@ def test_one_label_left_is_an_error(spark, tables):
         crf.train_on(docs.join(labels.where("toxic = 0"), "doc_id", "left_semi"), labels)
 
 
+@pytest.mark.parametrize("n_toxic", [1, 2, 3, 5, 10])
+def test_few_toxic_documents_leave_clean_ones_alone(spark, n_toxic):
+    r = random.Random(n_toxic)
+    clean = lambda: " ".join(r.choice(["stone", "river", "cloud", "green", "walks", "under", "light", "paper"]) + str(r.randrange(30)) for _ in range(60))
+    rows = [(i, clean() + (" vilescum vilefoul vilescum" if i < 2 * n_toxic and i % 2 else ""), int(i < 2 * n_toxic and i % 2)) for i in range(200)]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, toxic int")
+    model = crf.train_on(docs, labels)
+    kept = {x.doc_id for x in crf.drop_toxic(docs, model).collect()}
+    assert {x[0] for x in rows if not x[2]} <= kept
+    if n_toxic >= 5:
+        assert sum(x[2] and x[0] not in kept for x in rows) >= 0.7 * n_toxic
+
+
+def test_nothing_tells_toxic_documents_apart(spark):
+    docs = spark.createDataFrame([(i, f"same words in all {i}") for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(80)], "doc_id long, toxic int")
+    scores = {round(x.score, 6) for x in crf.score_toxicity(docs, crf.train_on(docs, labels)).collect()}
+    assert len(scores) == 1 and 0 < min(scores) < 0.5
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_small_tables_are_not_all_toxic(spark):
+    from isoweave.llm.common import table
+    from isoweave.llm.queries import op9_toxicity
+
+    at = "/root/testdata/sf0.001"
+    rows = op9_toxicity(spark, at).join(table(spark, at, "labels").where("toxic IS NOT NULL"), "doc_id").collect()
+    clean = [x for x in rows if not x.toxic]
+    assert sum(x.predicted for x in clean) <= 0.02 * len(clean)
+
+
+def test_copies_over_files_do_not_change_the_rule(spark, tmp_path):
+    passage = " ".join(f"shared{k}" for k in range(30))
+    page = lambda i, more: f"<body><article><p>{' '.join(f'own{i}x{k}' for k in range(25))}</p>{more}</article></body>"
+    holders = [(i, "http://h.example/a", page(i, f"<p>{passage}</p>")) for i in range(60)]
+    others = [(100 + i, "http://h.example/a", page(100 + i, "")) for i in range(40)]
+    for k in range(8):
+        part = holders[k::8] + [(1000 * (k + 1) + i, u, h) for i, u, h in others]
+        spark.createDataFrame(part, "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/pages")
+    frame = spark.read.parquet(f"{tmp_path}/pages")
+    whole, parts = ({r.page_id: r.text for r in extract(frame, **how).collect()} for how in ({}, {"group_bytes": 0}))
+    assert whole == parts and len(whole) == 380 and not any("shared" in t for t in whole.values())
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<body class="no-comments"><article><p>whole</p></article></body>', "whole"),
+        ('<article class="comments-open"><p>whole</p></article>', "whole"),
+        ('<div class="has-sidebar"><article><p>whole</p></article></div>', "whole"),
+        ('<div class="sidebar"><p>gone</p><article><p>whole</p></article><p>gone</p></div>', "whole"),
+        ('<body class="menu"><p>whole</p><div class="wide menu">gone</div></body>', "whole"),
+        ('<article><p>whole</p><div class="comments"><article>gone</article></div></article>', "whole"),
+        ('<nav><article>gone</article></nav><p>whole</p>', "whole"),
+    ],
+)
+def test_class_words_are_whole(html, text):
+    assert [t for t, _ in page_blocks(html)] == [text]
+
+
 def test_dictionary_reads_whole_texts():
     r = random.Random(5)
     mark = b" a mark that only comes late in each of the texts "
