@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import scalar
 from ..operators import assembly, classify, graph, intervals, paths, quantify, splice, statistics
+from ..runtime import write_through
 from .registry import query, r6
 
 EM_ROUNDS = 5
@@ -706,15 +707,19 @@ def splice_hashes(a: DataFrame) -> DataFrame:
 
 @query(None, "alignments")
 def discover_isoforms(a: DataFrame) -> DataFrame:
-    """Graph, paths, selection and transcripts; greedy, so without SQL.
-
-    Neither island pruning (H8), exons inside introns (H7), clean path choice (I2) and gene clusters (I13) nor I4, I7,
-    I11 and the order of I14 are part of it; reads with a spacer are left out.
-    """
+    """Both passes and their filters; greedy, so without SQL."""
     d = splice.pretty_alignments(a).select("read_id", "contig", "strand", "segments", "introns")
     return assembly.discover(d, Config(min_transcript_length=30))
 
 
+@query(None, "alignments")
+def trellis_isoforms(a: DataFrame) -> DataFrame:
+    """The chains that the trellis takes from the spliced reads' paths, with their reads; tested against all chains."""
+    reads = splice.pretty_alignments(a).select("read_id", "contig", "strand", "segments", "introns").where(F.size("introns") > 0)
+    d = assembly.assemble(write_through(reads, "spliced-reads"), Config(), label="m")
+    return d.select("tx_id", "gene_id", "contig", "strand", F.size("path").alias("n_nodes"), "n_reads", F.array_join("path", ",").alias("path"))
+
+
 @query(
     f"WITH {BLOCKS}, {INTRONS}, c AS (SELECT contig, strand, lend, rend, read_id, right(read_id, 1) AS s FROM introns WHERE rend IS NOT NULL) SELECT contig, strand, lend, rend, count(*) FILTER (s < '4') AS a, count(*) FILTER (s >= '4') AS b FROM c GROUP BY 1, 2, 3, 4",
     "alignments",
