@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import write_through
-from .intervals import interval_join
+from .intervals import interval_join, latest_start
 
 
 def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
@@ -65,9 +65,9 @@ def merge_unbranched(exons: DataFrame, edges: DataFrame) -> DataFrame:
     a = ids.select(F.col("node_id").alias("src"), F.col("rend").alias("r1"))
     b = ids.select(F.col("node_id").alias("dst"), F.col("lend").alias("l2"))
     inner = one.join(a, "src").join(b, "dst").where("r1 + 1 = l2").select(F.col("dst").alias("node_id"), F.lit(0).alias("__new"))
-    w = Window.partitionBy("contig", "strand").orderBy("lend", "rend", "node_id")
-    chain = F.sum(F.coalesce("__new", F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return ids.join(inner, "node_id", "left").withColumn("__chain", chain).groupBy("contig", "strand", "__chain").agg(F.min("lend").alias("lend"), F.max("rend").alias("rend"), F.count(F.lit(1)).alias("n_merged")).drop("__chain")
+    d = ids.join(inner, "node_id", "left").withColumn("__start", F.when(F.col("__new").isNull(), F.col("lend")))
+    chains = latest_start(d, ["contig", "strand"], ["lend", "rend", "node_id"]).groupBy("contig", "strand", "__island")
+    return chains.agg(F.min("lend").alias("lend"), F.max("rend").alias("rend"), F.count(F.lit(1)).alias("n_merged")).drop("__island")
 
 
 def prune_spurs(exons: DataFrame, edges: DataFrame, *, shorter_than: int = 15) -> DataFrame:

@@ -2,15 +2,19 @@
 
 Every overlap join goes through bins: an interval is listed in each bin that it touches and two intervals meet in the
 first bin that they share, so each pair comes once and the join is an equi-join that Spark can shuffle, broadcast or
-split. Row ids of section D, E, H and N of the survey are named in each docstring.
+split. Sweeps along a contig are cut into ranges; a small row for each range hands on what the next ones need, so no task
+sorts a contig. Row ids of section D, E, H and N of the survey are named in each docstring.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+import operator
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 SPOT = ("contig", "strand")
 
@@ -43,24 +47,76 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = SPOT,
     return tagged.join(hits, "__id", how).drop("__id")
 
 
-def merge_intervals(df: DataFrame, keys: Sequence[str] = SPOT, *, gap: int = 1) -> DataFrame:
-    """Islands of intervals that overlap or lie less than ``gap`` + 1 apart; gap 1 joins touching ones."""
-    w = Window.partitionBy(*keys).orderBy("lend", "rend")
-    reach = F.max("rend").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("lend") - F.col("__reach") <= gap, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    d = df.where("lend IS NOT NULL AND rend IS NOT NULL").withColumn("__reach", reach).withColumn("__island", island)
-    return d.groupBy(*keys, "__island").agg(F.min("lend").alias("lend"), F.max("rend").alias("rend"), F.count(F.lit(1)).alias("n_merged")).drop("__island")
+#: Bases of one cut of a sweep. A sweep looks at positions, each once, so a task holds so many rows of a cut at most.
+CUT = 1 << 16
 
 
-def coverage_runs(df: DataFrame, keys: Sequence[str] = SPOT) -> DataFrame:
+def cut_column(pos: str, cut: int | None) -> Column:
+    return F.lit(0).cast("long") if cut is None else F.floor(F.col(pos) / F.lit(cut))
+
+
+def handed_over(df: DataFrame, keys: Sequence[str], per_cut: dict[str, Column], columns: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
+    """``df`` (keys, __cut) with what each cut gets from the other cuts of its keys.
+
+    ``per_cut`` sums a cut up in one row; ``columns`` makes from these rows, over cuts in order, what is handed over.
+    """
+    order = Window.partitionBy(*keys).orderBy("__cut")
+    small = df.groupBy(*keys, "__cut").agg(*[c.alias(n) for n, c in per_cut.items()])
+    small = small.select(*[F.col(k).alias(f"__key{n}") for n, k in enumerate([*keys, "__cut"])], *[c.alias(n) for n, c in columns(order).items()])
+    same = functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"__key{n}")) for n, k in enumerate([*keys, "__cut"])])
+    return df.join(small, same).drop(*[f"__key{n}" for n in range(len(keys) + 1)])
+
+
+def latest_start(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, cut: int | None = CUT) -> DataFrame:
+    """``df`` with ``__island``: the latest ``__start`` that isn't null up to each row; ``__start`` never falls along ``order``."""
+    before = Window.unboundedPreceding
+    d = df.withColumn("__cut", cut_column(order[0], cut))
+    own = F.max("__start").over(Window.partitionBy(*keys, "__cut").orderBy(*order).rowsBetween(before, 0))
+    if cut is not None:
+        d = handed_over(d, keys, {"__last": F.max("__start")}, lambda w: {"__carried": F.max("__last").over(w.rowsBetween(before, -1))})
+        own = F.coalesce(own, "__carried")
+    return d.withColumn("__island", own).drop("__cut", "__carried")
+
+
+def island_starts(df: DataFrame, keys: Sequence[str] = SPOT, *, gap: int = 1, cut: int | None = CUT) -> DataFrame:
+    """``df`` with ``__island``: where each interval's island begins; intervals less than ``gap`` + 1 apart are in one."""
+    before = Window.unboundedPreceding
+    d = df.withColumn("__cut", cut_column("lend", cut))
+    reach = F.max("rend").over(Window.partitionBy(*keys, "__cut").orderBy("lend", "rend").rowsBetween(before, -1))
+    if cut is not None:
+        d = handed_over(d, keys, {"__top": F.max("rend")}, lambda w: {"__reach": F.max("__top").over(w.rowsBetween(before, -1))})
+        reach = F.greatest(reach, "__reach")
+    d = d.withColumn("__start", F.when(F.col("lend") - reach <= gap, None).otherwise(F.col("lend")))
+    return latest_start(d.drop("__cut", "__reach"), keys, ["lend", "rend"], cut=cut).drop("__start")
+
+
+def merge_intervals(df: DataFrame, keys: Sequence[str] = SPOT, *, gap: int = 1, cut: int | None = CUT) -> DataFrame:
+    """Islands of intervals that overlap or lie less than ``gap`` + 1 apart; gap 1 joins touching ones.
+
+    Intervals with one start are one row before the sweep, and a sweep is cut every ``cut`` bases, with the reach of what
+    lies before handed over; the rows are the same for every cut. None (for many small groups) is one sweep for each key.
+    """
+    d = df.where("lend IS NOT NULL AND rend IS NOT NULL")
+    starts = d.groupBy(*keys, "lend").agg(F.max("rend").alias("rend"), F.count(F.lit(1)).alias("n_merged"))
+    islands = island_starts(starts, keys, gap=gap, cut=cut).groupBy(*keys, "__island")
+    return islands.agg(F.min("lend").alias("lend"), F.max("rend").alias("rend"), F.sum("n_merged").alias("n_merged")).drop("__island")
+
+
+def coverage_runs(df: DataFrame, keys: Sequence[str] = SPOT, *, cut: int = CUT) -> DataFrame:
     """Runs of equal coverage (lend, rend, coverage > 0) by a sweep over starts and ends, without a row for each base.
 
-    Events at one position are summed before the sweep, so a hot position is one row in it.
+    Events at one position are summed before the sweep, so a hot position is one row in it; each cut gets the sum of all
+    steps before it and the first position after it.
     """
     ends = df.select(*keys, F.col("lend").alias("pos"), F.lit(1).alias("step")).unionByName(df.select(*keys, (F.col("rend") + 1).alias("pos"), F.lit(-1).alias("step")))
-    steps = ends.where("pos IS NOT NULL").groupBy(*keys, "pos").agg(F.sum("step").alias("step"))
-    w = Window.partitionBy(*keys).orderBy("pos")
-    runs = steps.select(*keys, F.col("pos").alias("lend"), (F.lead("pos").over(w) - 1).alias("rend"), F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("coverage"))
+    steps = ends.where("pos IS NOT NULL").groupBy(*keys, "pos").agg(F.sum("step").alias("step")).withColumn("__cut", cut_column("pos", cut))
+    d = handed_over(
+        steps, keys, {"__sum": F.sum("step"), "__first": F.min("pos")},
+        lambda w: {"__base": F.sum("__sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), "__next": F.lead("__first").over(w)},
+    )
+    w = Window.partitionBy(*keys, "__cut").orderBy("pos")
+    depth = F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("__base", F.lit(0))
+    runs = d.select(*keys, F.col("pos").alias("lend"), (F.coalesce(F.lead("pos").over(w), "__next") - 1).alias("rend"), depth.alias("coverage"))
     return runs.where("coverage > 0 AND rend >= lend")
 
 
@@ -71,15 +127,25 @@ def mean_coverage(spans: DataFrame, runs: DataFrame, keys: Sequence[str] = SPOT,
     return spans.join(got, id_col, "left").select(id_col, (F.coalesce("bases", F.lit(0)) / (F.col("rend") - F.col("lend") + 1)).alias("mean_coverage"))
 
 
-def segment(df: DataFrame, cuts: DataFrame, keys: Sequence[str] = SPOT) -> DataFrame:
+def segment(df: DataFrame, cuts: DataFrame, keys: Sequence[str] = SPOT, *, cut: int = CUT) -> DataFrame:
     """H3: covered stretches, from one zero to the next, cut at the positions of ``cuts``, which begin a new segment."""
-    merged = merge_intervals(df, keys)
+    merged = merge_intervals(df, keys, cut=cut)
     at = merged.select(*keys, F.col("lend").alias("pos")).unionByName(merged.select(*keys, (F.col("rend") + 1).alias("pos"))).unionByName(cuts.select(*keys, "pos")).distinct()
-    w = Window.partitionBy(*keys).orderBy("pos")
-    pieces = at.select(*keys, F.col("pos").alias("lend"), (F.lead("pos").over(w) - 1).alias("rend")).where("rend >= lend")
+    at = handed_over(at.withColumn("__cut", cut_column("pos", cut)), keys, {"__first": F.min("pos")}, lambda w: {"__next": F.lead("__first").over(w)})
+    w = Window.partitionBy(*keys, "__cut").orderBy("pos")
+    pieces = at.select(*keys, F.col("pos").alias("lend"), (F.coalesce(F.lead("pos").over(w), "__next") - 1).alias("rend")).where("rend >= lend")
     return interval_join(pieces, merged.select(*keys, F.col("lend").alias("lend2"), F.col("rend").alias("rend2")), keys, how="left_semi")
 
 
+def with_halo(df: DataFrame, before: int, after: int, *, cut: int = CUT) -> DataFrame:
+    """``df`` (pos) listed in every cut (``__cut``) in which a position sees it: from ``before`` below itself to ``after`` above.
+
+    ``__own`` marks the one listing of a row in its own cut.
+    """
+    low, high = (F.floor((F.col("pos") + F.lit(d)) / F.lit(cut)) for d in (-after, before))
+    return df.withColumn("__cut", F.explode(F.sequence(low, high))).withColumn("__own", F.col("__cut") == F.floor(F.col("pos") / F.lit(cut)))
+
+
 def exon_segments(exons: DataFrame, keys: Sequence[str] = SPOT) -> DataFrame:
     """Unique segments that all exon bounds cut the exons into."""
     cuts = exons.select(*keys, F.col("lend").alias("pos")).unionByName(exons.select(*keys, (F.col("rend") + 1).alias("pos")))
@@ -95,14 +161,14 @@ def masked_reads(reads: DataFrame, mask: DataFrame, keys: Sequence[str] = SPOT,
 
 def pair_overlap(exons: DataFrame, id_col: str, keys: Sequence[str] = SPOT) -> DataFrame:
     """Shared bases of each pair of transcripts, from their merged exons; ``id_col`` < ``id_col``_2."""
-    own = merge_intervals(exons, [*keys, id_col]).select(*keys, id_col, "lend", "rend")
+    own = merge_intervals(exons, [*keys, id_col], cut=None).select(*keys, id_col, "lend", "rend")
     other = own.select(*keys, F.col(id_col).alias(f"{id_col}_2"), F.col("lend").alias("lend2"), F.col("rend").alias("rend2"))
     return interval_join(own, other, keys, where=F.col(id_col) < F.col(f"{id_col}_2")).groupBy(id_col, f"{id_col}_2").agg(F.sum("overlap").alias("overlap"))
 
 
 def best_overlap(reads: DataFrame, exons: DataFrame, keys: Sequence[str] = SPOT) -> DataFrame:
     """For each read (read_id) the transcript (tx_id) with the most shared bases; ties go to the least tx_id."""
-    own = merge_intervals(exons, [*keys, "tx_id"]).select(*keys, "tx_id", F.col("lend").alias("lend2"), F.col("rend").alias("rend2"))
+    own = merge_intervals(exons, [*keys, "tx_id"], cut=None).select(*keys, "tx_id", F.col("lend").alias("lend2"), F.col("rend").alias("rend2"))
     sums = interval_join(reads.select("read_id", *keys, "lend", "rend"), own, keys).groupBy("read_id", "tx_id").agg(F.sum("overlap").alias("overlap"))
     return sums.groupBy("read_id").agg(F.min(F.struct((-F.col("overlap")).alias("o"), "tx_id")).alias("m")).select("read_id", "m.tx_id", (-F.col("m.o")).alias("overlap"))
 

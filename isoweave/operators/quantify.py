@@ -24,9 +24,10 @@ def end_weights(hits: DataFrame, *, pseudo: float = 50.0) -> DataFrame:
     w = 1 - (d + pseudo) / sum(d + pseudo) within the path, made to sum to one; a single transcript gets one.
     """
     w = Window.partitionBy("mp_id")
-    raw = F.lit(1.0) - (F.col("distance") + pseudo) / F.sum(F.col("distance") + pseudo).over(w)
-    d = hits.withColumn("__raw", raw).withColumn("__n", F.count(F.lit(1)).over(w))
-    return d.withColumn("weight", F.when(F.col("__n") == 1, 1.0).otherwise(F.col("__raw") / F.sum("__raw").over(w))).drop("__raw", "__n")
+    own = F.col("distance") + pseudo
+    d = hits.withColumns({"__all": F.sum(own).over(w), "__n": F.count(F.lit(1)).over(w)})
+    # the shares 1 - d / all add up to n - 1; one division keeps the result free of the order of sums
+    return d.withColumn("weight", F.when(F.col("__n") == 1, 1.0).otherwise((F.col("__all") - own) / (F.col("__all") * (F.col("__n") - 1)))).drop("__all", "__n")
 
 
 def em_arrays(tx: np.ndarray, path: np.ndarray, weight: np.ndarray, reads: np.ndarray, *, alpha: float, max_iter: int, tolerance: float, start: np.ndarray | None = None, norm: str = "l2", floor: float = 0.0) -> tuple[np.ndarray, np.ndarray, int]:

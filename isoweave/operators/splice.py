@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import cigar_segments, introns_of, percent_identity
-from .intervals import interval_join
+from .intervals import interval_join, island_starts, with_halo
 
 #: Bits of the flag field.
 PAIRED, PROPER, UNMAPPED, REVERSE, SECONDARY, QC_FAIL, DUPLICATE, SUPPLEMENTARY = 0x1, 0x2, 0x4, 0x10, 0x100, 0x200, 0x400, 0x800
@@ -106,8 +106,7 @@ def aggregate_sites(sites: DataFrame, *, window: int = 50, least: int = 5) -> Da
     meet, so each stretch of positions without a larger gap is a group of its own.
     """
     keys = ["contig", "strand"]
-    w = Window.partitionBy(*keys).orderBy("pos")
-    s = sites.withColumn("__new", F.coalesce((F.col("pos") - F.lag("pos").over(w) > window).cast("int"), F.lit(1))).withColumn("__stretch", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = island_starts(sites.withColumns({"lend": F.col("pos"), "rend": F.col("pos")}), keys, gap=window).withColumnRenamed("__island", "__stretch").drop("lend", "rend")
 
     def greedy(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("pos")
@@ -129,8 +128,8 @@ def aggregate_sites(sites: DataFrame, *, window: int = 50, least: int = 5) -> Da
 
 def window_totals(sites: DataFrame, *, window: int = 50) -> DataFrame:
     """F1 (bound): counts within ``window`` of each position."""
-    w = Window.partitionBy("contig", "strand").orderBy("pos").rangeBetween(-window, window)
-    return sites.withColumn("window_total", F.sum("n").over(w))
+    w = Window.partitionBy("contig", "strand", "__cut").orderBy("pos").rangeBetween(-window, window)
+    return with_halo(sites, window, window).withColumn("window_total", F.sum("n").over(w)).where("__own").drop("__cut", "__own")
 
 
 def peak_sites(sites: DataFrame, *, window: int = 50, ratio: float = 5.0) -> DataFrame:
@@ -138,9 +137,9 @@ def peak_sites(sites: DataFrame, *, window: int = 50, ratio: float = 5.0) -> Dat
 
     Neighbours lie from ``window`` before to ``window`` - 1 after the site.
     """
-    w = Window.partitionBy("contig", "strand").orderBy("pos").rangeBetween(-window, window - 1)
+    w = Window.partitionBy("contig", "strand", "__cut").orderBy("pos").rangeBetween(-window, window - 1)
     near = F.array_sort(F.concat(F.filter(F.collect_list(F.struct("pos", "n")).over(w), lambda x: F.lit(True)).getField("n"), F.array(F.lit(0).cast("long"), F.lit(0).cast("long"))))
-    d = sites.withColumn("__near", near)
+    d = with_halo(sites, window, window - 1).withColumn("__near", near).where("__own")
     own = F.array_position("__near", F.col("n")).cast("int")
     rest = F.concat(F.slice("__near", F.lit(1), own - 1), F.slice("__near", own + 1, F.size("__near")))
     d = d.withColumn("__rest", rest).withColumn("__m", (F.get("__rest", F.floor((F.size("__rest") - 1) / 2).cast("int")) + F.get("__rest", F.floor(F.size("__rest") / 2).cast("int"))) / 2)

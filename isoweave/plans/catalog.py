@@ -61,8 +61,8 @@ def equal_split(t: DataFrame) -> DataFrame:
 
 @query(
     """WITH d AS (SELECT read_id AS mp_id, tx_id, CAST(tx_id % 97 AS DOUBLE) + 50 AS d, count(*) OVER (PARTITION BY read_id) AS n FROM tracking),
-    r AS (SELECT mp_id, tx_id, n, 1 - d / sum(d) OVER (PARTITION BY mp_id) AS r FROM d)
-    SELECT mp_id, tx_id, CASE WHEN n = 1 THEN 1.0 ELSE round(r / sum(r) OVER (PARTITION BY mp_id), 6) END AS weight FROM r""",
+    r AS (SELECT mp_id, tx_id, n, d, sum(d) OVER (PARTITION BY mp_id) AS s FROM d)
+    SELECT mp_id, tx_id, CASE WHEN n = 1 THEN 1.0 ELSE round((s - d) / (s * (n - 1)), 6) END AS weight FROM r""",
     "tracking",
 )
 def end_weights(t: DataFrame) -> DataFrame:
@@ -309,8 +309,10 @@ def gaps_of(p: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 @query(
-    f"""WITH {GAPS}, n AS (SELECT 'E:' || concat_ws('-', contig, strand, lend, rend) AS node, 'E' AS k, * FROM e UNION ALL SELECT 'I:' || concat_ws('-', contig, strand, lend, rend), 'I', * FROM i)
-    SELECT a.node AS src, b.node AS dst FROM n a JOIN n b ON a.contig = b.contig AND a.strand = b.strand AND a.rend + 1 = b.lend WHERE a.k = 'E' OR b.k = 'E'""",
+    f"""WITH {GAPS}, en AS MATERIALIZED (SELECT 'E:' || concat_ws('-', contig, strand, lend, rend) AS node, * FROM e), ni AS MATERIALIZED (SELECT 'I:' || concat_ws('-', contig, strand, lend, rend) AS node, * FROM i),
+    pairs AS (SELECT a.node AS src, b.node AS dst FROM en a JOIN en b ON a.contig = b.contig AND a.strand = b.strand AND a.rend + 1 = b.lend
+      UNION ALL SELECT a.node, b.node FROM en a JOIN ni b ON a.contig = b.contig AND a.strand = b.strand AND a.rend + 1 = b.lend
+      UNION ALL SELECT a.node, b.node FROM ni a JOIN en b ON a.contig = b.contig AND a.strand = b.strand AND a.rend + 1 = b.lend) SELECT src, dst FROM pairs""",
     "pieces",
 )
 def adjacency(p: DataFrame) -> DataFrame:

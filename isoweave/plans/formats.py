@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals, ordering, quantify, splice
 from ..runtime import shared_dir
-from ..sources import readers, writers
-from .catalog import OWN, SPLIT
+from ..sources import bam, readers, writers
+from .catalog import OPS, OWN, SPLIT
 from .registry import query, r6
 
 
@@ -61,7 +61,7 @@ def tracking_file(t: DataFrame) -> DataFrame:
 
 def transcripts_of(p: DataFrame) -> DataFrame:
     """Merged pieces of each transcript on a contig and strand, as one transcript."""
-    own = intervals.merge_intervals(p.select("contig", "strand", "tx_id", "lend", "rend").distinct(), ["contig", "strand", "tx_id"])
+    own = intervals.merge_intervals(p.select("contig", "strand", "tx_id", "lend", "rend").distinct(), ["contig", "strand", "tx_id"], cut=None)
     d = own.groupBy("contig", "strand", "tx_id").agg(F.array_sort(F.collect_list(F.struct(F.col("lend").cast("int").alias("lend"), F.col("rend").cast("int").alias("rend")))).alias("exons"))
     key = F.concat_ws("_", F.col("tx_id").cast("string"), "contig", "strand")
     return d.select("contig", "strand", F.concat(F.lit("g"), (F.col("tx_id") % 10).cast("string")).alias("gene_id"), key.alias("tx_id"), "exons")
@@ -157,6 +157,50 @@ def alignment_scan(a: DataFrame) -> DataFrame:
     return d.select(readers.single_cell_name(F.col("read_name"), F.col("tags")).alias("read_name"), "contig", "pos", "flag", "cigar", F.col("tags")["NM"].cast("int").alias("nm"))
 
 
+def bam_rows(a: DataFrame) -> DataFrame:
+    """Alignments as rows of a BAM file, with their mismatches as a tag."""
+    none = F.lit("*")
+    return a.select(F.col("read_id").alias("read_name"), "flag", "contig", "pos", "mapq", "cigar", none.alias("seq"), none.alias("qual"), F.create_map(F.lit("NM"), F.col("nm").cast("string")).alias("tags"))
+
+
+def bam_contigs(rows: DataFrame) -> list[tuple[str, int]]:
+    """Contigs with a length that holds all rows."""
+    return [(r.contig, int(r.n) + 1_000_000) for r in rows.groupBy("contig").agg(F.max("pos").alias("n")).orderBy("contig").collect()]
+
+
+SPAN = "greatest(1, list_sum(list_transform(range(1, len(n) + 1), lambda i: CASE WHEN k[i] IN ('M', 'D', 'N', '=', 'X') THEN n[i] ELSE 0 END)))"
+
+
+@query(f"WITH {OPS} SELECT read_id AS read_name, contig, pos, flag, mapq, cigar, nm FROM o WHERE contig = 'A' AND pos <= 900 AND pos + {SPAN} - 1 >= 400", "alignments")
+def bam_region(a: DataFrame) -> DataFrame:
+    """A1: what overlaps a region, by the index of BAM files to which all alignments were written."""
+    path, rows = folder(a, "bam"), bam_rows(a)
+    bam.write_bam(rows, path, bam_contigs(rows))
+    d = bam.scan_bam(a.sparkSession, path, region="A:400-900")
+    return d.select("read_name", "contig", "pos", "flag", "mapq", "cigar", F.col("tags")["NM"].cast("int").alias("nm"))
+
+
+@query(
+    """WITH t AS (SELECT read_id, string_agg(DISTINCT CAST(gene_id AS VARCHAR), ',' ORDER BY CAST(gene_id AS VARCHAR)) AS genes, count(*) AS n FROM tracking GROUP BY 1)
+    SELECT a.read_id AS read_name, a.contig, a.pos, a.flag, a.cigar, a.nm, t.genes AS "XG", t.n::BIGINT AS n_transcripts FROM alignments a LEFT JOIN t ON t.read_id = CAST(string_split(a.read_id, '-')[1] AS BIGINT)""",
+    "alignments", "tracking",
+)
+def annotated_bam(a: DataFrame, t: DataFrame) -> DataFrame:
+    """Alignments with their reads' genes, transcripts and fractions as tags, written to BAM files and read in splits."""
+    path = folder(a, "bam")
+    lists = writers.annotate_reads(t.select(F.col("read_id").alias("read_name")).distinct(), quantify.equal_split(t).withColumnRenamed("read_id", "read_name"))
+    lists = lists.select(F.col("read_name").cast("string").alias("order"), "XG", "XI", "XF")
+    rows = bam_rows(a).withColumn("order", F.substring_index("read_name", "-", 1)).join(lists, "order", "left").drop("order")
+    more = F.filter(F.array(*[F.struct(F.lit(x).alias("key"), F.col(x).alias("value")) for x in ("XG", "XI", "XF")]), lambda e: e["value"].isNotNull())
+    rows = rows.withColumn("tags", F.map_concat("tags", F.map_from_entries(more))).drop("XG", "XI", "XF")
+    bam.write_bam(rows, path, bam_contigs(rows))
+    d = bam.scan_bam(a.sparkSession, path, split_bytes=1 << 18)
+    tag = lambda x: F.try_element_at("tags", F.lit(x))
+    genes = F.array_join(F.array_sort(F.array_distinct(F.split(tag("XG"), ","))), ",")
+    same = F.size(F.split(tag("XI"), ",")) == F.size(F.split(tag("XF"), ","))
+    return d.select("read_name", "contig", "pos", "flag", "cigar", F.col("tags")["NM"].cast("int").alias("nm"), genes.alias("XG"), F.when(same, F.size(F.split(tag("XI"), ","))).cast("long").alias("n_transcripts"))
+
+
 @query("SELECT contig, count(*) AS n_records FROM alignments GROUP BY ROLLUP (contig)", "alignments")
 def record_count(a: DataFrame) -> DataFrame:
     """All records, secondary and supplementary ones too."""

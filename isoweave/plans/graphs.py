@@ -223,9 +223,10 @@ def assignment_modes(d: DataFrame) -> DataFrame:
 # --- splice graph
 
 CUT = f"""{ISLANDS.format('pieces')}, isl AS (SELECT contig, strand, min(lend) AS a, max(rend) AS b FROM n GROUP BY contig, strand, k), ps AS (SELECT DISTINCT contig, strand, pos FROM (SELECT contig, strand, lend AS pos FROM pieces UNION ALL SELECT contig, strand, rend + 1 FROM pieces)),
-    sg AS (SELECT contig, strand, pos AS lend, lead(pos) OVER (PARTITION BY contig, strand ORDER BY pos) - 1 AS rend FROM ps), seg AS (SELECT sg.contig, sg.strand, lend, rend, a FROM sg JOIN isl ON sg.contig = isl.contig AND sg.strand = isl.strand AND lend >= a AND rend <= b)"""
+    sg AS (SELECT contig, strand, pos AS lend, lead(pos) OVER (PARTITION BY contig, strand ORDER BY pos) - 1 AS rend FROM ps), seg AS MATERIALIZED (SELECT sg.contig, sg.strand, lend, rend, a FROM sg ASOF JOIN isl ON sg.contig = isl.contig AND sg.strand = isl.strand AND sg.lend >= isl.a WHERE rend <= b)"""
 EDGES = f"""{CUT}, {GAPS.replace("x AS", "xx AS").replace("FROM x)", "FROM xx)").replace(" e AS", " ee AS").replace(" i AS", " ii AS")}, nd AS (SELECT 'E:' || concat_ws('-', contig, strand, lend, rend) AS node, 'E' AS kd, contig, strand, lend, rend FROM seg UNION ALL SELECT 'I:' || concat_ws('-', contig, strand, lend, rend), 'I', contig, strand, lend, rend FROM ii),
-    ed AS (SELECT s.node AS src, t.node AS dst, s.kd || t.kd AS kd FROM nd s JOIN nd t ON s.contig = t.contig AND s.strand = t.strand AND s.rend + 1 = t.lend WHERE s.kd = 'E' OR t.kd = 'E'), onx AS (SELECT src AS node, count(*) AS o FROM ed GROUP BY 1), inx AS (SELECT dst AS node, count(*) AS i FROM ed GROUP BY 1)"""
+    ed AS MATERIALIZED (SELECT s.node AS src, t.node AS dst, s.kd || t.kd AS kd FROM nd s JOIN nd t ON s.contig = t.contig AND s.strand = t.strand AND s.rend + 1 = t.lend AND s.kd = 'E'
+      UNION ALL SELECT s.node, t.node, 'IE' FROM nd s JOIN nd t ON s.contig = t.contig AND s.strand = t.strand AND s.rend + 1 = t.lend AND s.kd = 'I' AND t.kd = 'E'), onx AS (SELECT src AS node, count(*) AS o FROM ed GROUP BY 1), inx AS (SELECT dst AS node, count(*) AS i FROM ed GROUP BY 1)"""
 
 
 def graph_of(p: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -358,7 +359,7 @@ def weak_neighbours(p: DataFrame) -> DataFrame:
 def gene_clusters(p: DataFrame) -> DataFrame:
     """Transcripts linked by shares of shared bases."""
     own = p.where("tax > 0.075").select("contig", "strand", "tx_id", "lend", "rend").distinct()
-    merged = intervals.merge_intervals(own, ["contig", "strand", "tx_id"])
+    merged = intervals.merge_intervals(own, ["contig", "strand", "tx_id"], cut=None)
     n = merged.groupBy("tx_id").agg(F.sum(F.col("rend") - F.col("lend") + 1).alias("length"))
     d = intervals.pair_overlap(own, "tx_id").join(n, "tx_id").join(n.select(F.col("tx_id").alias("tx_id_2"), F.col("length").alias("length_2")), "tx_id_2")
     return graph.recluster_genes(d, of_shorter=0.08, of_longer=0.06)
