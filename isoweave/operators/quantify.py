@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import write_through
+from ..runtime import discard, stored, write_through
 from . import paths as path_ops
 from .graph import connected_components
 
@@ -99,6 +99,58 @@ def em_rounds(tracking: DataFrame, rounds: int) -> DataFrame:
     return p.select("gene_id", "tx_id", F.col("p").alias("all_reads"))
 
 
+def em_to_end(classes: DataFrame, *, alpha: float = 0.01, max_iter: int = 250, tolerance: float = 1e-6) -> DataFrame:
+    """K3 for genes of any size: what :func:`em_per_gene` gives, in DataFrame operations only.
+
+    A round joins the proportions to the classes' rows and sums up twice; it is written, and the one before it deleted.
+    Genes leave as soon as they have converged, so later rounds work on what is left.
+    """
+    spark, ambiguous = classes.sparkSession, F.size("txs") > 1
+    weights = F.col("weights") if "weights" in classes.columns else F.transform("txs", lambda _: F.lit(1.0) / F.size("txs"))
+    c = classes.withColumns({"mp_id": F.monotonically_increasing_id(), "h": F.arrays_zip(F.col("txs").alias("tx_id"), weights.alias("weight"))})
+    rows, rows_at = stored(c.select("gene_id", "mp_id", "n_reads", ambiguous.alias("shared"), F.inline("h").alias("tx_id", "weight")), "em-rows")
+    extra = F.lit(float(alpha)) * F.sum(F.when(F.col("shared"), F.col("n_reads")).otherwise(0.0))
+    start = rows.groupBy("gene_id", "tx_id").agg(extra.alias("extra"))
+    n = start.groupBy("gene_id").agg(F.count(F.lit(1)).alias("n"))
+    state, path = stored(start.join(n, "gene_id").select("gene_id", "tx_id", "extra", (1.0 / F.col("n")).alias("p")), "em-state")
+    parts = []
+    for k in range(1, max_iter + 1):
+        e = rows.join(state.select("gene_id", "tx_id", "p"), ["gene_id", "tx_id"]).withColumn("raw", F.col("weight") * F.col("p"))
+        total = e.groupBy("mp_id").agg(F.sum("raw").alias("total"))
+        share = F.when(F.col("total") > 0, F.col("raw") / F.col("total")).otherwise(0.0)
+        counts = e.join(total, "mp_id").groupBy("gene_id", "tx_id").agg(F.sum(share * F.col("n_reads")).alias("all_reads"))
+        new = state.join(counts, ["gene_id", "tx_id"]).withColumn("raw", F.col("all_reads") + F.col("extra"))
+        gene = new.groupBy("gene_id").agg(F.sum("raw").alias("mass"))
+        new = new.join(gene, "gene_id").withColumn("new", F.when(F.col("mass") > 0, F.col("raw") / F.col("mass")).otherwise(0.0))
+        step, step_at = stored(new.select("gene_id", "tx_id", "extra", "p", "new", "all_reads"), "em-step")
+        moved = step.groupBy("gene_id").agg(F.sqrt(F.sum((F.col("new") - F.col("p")) * (F.col("new") - F.col("p")))).alias("moved"))
+        over = moved.where(F.lit(k == max_iter) | (F.lit(tolerance > 0) & (F.col("moved") < tolerance))).select("gene_id")
+        parts.append(write_through(step.join(over, "gene_id", "left_semi").select("gene_id", "tx_id", "all_reads", F.col("new").alias("proportion"), F.lit(k).alias("n_rounds")), "em-done"))
+        after, after_at = stored(step.join(over, "gene_id", "left_anti").select("gene_id", "tx_id", "extra", F.col("new").alias("p")), "em-state")
+        discard(spark, path, step_at)
+        state, path = after, after_at
+        if state.isEmpty():
+            break
+    discard(spark, rows_at, path)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def estimate(classes: DataFrame, *, most_rows: int = 2_000_000, **how: float) -> DataFrame:
+    """K3: genes with at most ``most_rows`` pairs of class and transcript as one group each, larger ones in rounds.
+
+    Both give the same estimate up to rounding; ``classes`` should be written, as it is read for both.
+    """
+    size = classes.groupBy("gene_id").agg(F.sum(F.size("txs")).alias("n"))
+    large = write_through(size.where(F.col("n") > most_rows).select("gene_id"), "large-genes")
+    if large.isEmpty():
+        return em_per_gene(classes, **how)
+    small = em_per_gene(classes.join(large, "gene_id", "left_anti"), **how)
+    return small.unionByName(em_to_end(classes.join(large, "gene_id", "left_semi"), **how))
+
+
 def expression_report(tracking: DataFrame, counts: DataFrame, *, total_records: int | None = None) -> DataFrame:
     """One row for each transcript, from assignments and estimated counts (gene_id, tx_id, all_reads).
 
@@ -154,7 +206,7 @@ def quantify_paths(reads: DataFrame, transcripts: DataFrame, lengths: DataFrame
         pair = F.array_sort(F.collect_list(F.struct("tx_id", F.round("weight", 9).alias("weight"))))
         sets = hits.groupBy("gene_id", "path_id").agg(pair.alias("h"), F.first("n_reads").alias("n_reads"))
         classes = sets.groupBy("gene_id", F.col("h.tx_id").alias("txs"), F.col("h.weight").alias("weights")).agg(F.sum("n_reads").cast("double").alias("n_reads"))
-        fitted = em_per_gene(classes, alpha=alpha, max_iter=max_iter, tolerance=tolerance).select("gene_id", "tx_id", "proportion")
+        fitted = estimate(write_through(classes, "classes"), alpha=alpha, max_iter=max_iter, tolerance=tolerance).select("gene_id", "tx_id", "proportion")
         part = F.col("weight") * F.col("proportion")
         total = F.sum(part).over(own)
         hits = write_through(hits.join(fitted, ["gene_id", "tx_id"]).withColumn("frac", F.when(total > 0, part / total).otherwise(0.0)), "fractions")

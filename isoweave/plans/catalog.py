@@ -50,7 +50,7 @@ def em_dataframe_rounds(t: DataFrame) -> DataFrame:
 @query(None, "tracking")
 def em_to_convergence(t: DataFrame) -> DataFrame:
     """K3 with its production parameters; the number of rounds depends on convergence."""
-    return quantify.em_per_gene(quantify.path_classes(t))
+    return quantify.estimate(write_through(quantify.path_classes(t), "classes"))
 
 
 @query("SELECT gene_id, tx_id, read_id, 1.0 / count(*) OVER (PARTITION BY gene_id, read_id) AS frac FROM tracking", "tracking")

@@ -25,9 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def write_through(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: short lineage that survives lost executors."""
+    return stored(df, label)[0]
+
+
+def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As :func:`write_through`, and the folder, for :func:`discard` once nothing reads it any more."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that :func:`stored` wrote."""
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cached(spark: SparkSession, name: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
