@@ -45,17 +45,22 @@ def good_turing(counts: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, floa
     return (1 - unseen) * star / (star * n).sum(), unseen
 
 
+def ambient_counts(counts: DataFrame, *, lower: float | None = 100) -> DataFrame:
+    """(feature, r): counts of every feature in barcodes of ``lower`` counts or fewer (None: in all)."""
+    d = counts.where("cell IS NOT NULL AND feature IS NOT NULL AND n > 0")
+    small = d.groupBy("cell").agg(F.sum("n").alias("t"))
+    small = small if lower is None else small.where(F.col("t") <= lower)
+    seen = d.join(small.select("cell"), "cell", "left_semi").groupBy("feature").agg(F.sum("n").cast("long").alias("r"))
+    return d.select("feature").distinct().join(seen, "feature", "left").fillna(0, ["r"])
+
+
 def ambient_profile(counts: DataFrame, *, lower: float | None = 100) -> DataFrame:
-    """(feature, p): the expected share of each feature in barcodes of ``lower`` counts or fewer (None: all), by Good-Turing.
+    """(feature, p): the expected share of each feature in barcodes of ``lower`` counts or fewer, by Good-Turing.
 
     ``counts`` has cell, feature, n (whole numbers). Features that only larger barcodes have share the unseen part
     equally. Only how many features have each sum reaches the driver: at most the root of twice all counts.
     """
-    d = counts.where("cell IS NOT NULL AND feature IS NOT NULL AND n > 0")
-    small = d.groupBy("cell").agg(F.sum("n").alias("t"))
-    small = small if lower is None else small.where(F.col("t") <= lower)
-    seen = d.join(small.select("cell"), "cell", "left_semi").groupBy("feature").agg(F.sum("n").cast("long").alias("r"))
-    both = write_through(d.select("feature").distinct().join(seen, "feature", "left").fillna(0, ["r"]), "ambient")
+    both = write_through(ambient_counts(counts, lower=lower), "ambient")
     times = both.groupBy("r").agg(F.count(F.lit(1)).alias("n")).orderBy("r").toPandas()
     known = times[times["r"] > 0]
     if known.empty:
@@ -118,6 +123,21 @@ def simulated_chances(profile: DataFrame, totals: DataFrame, *, rounds: int, see
     return blocks.join(F.broadcast(p.join(t, F.lit(True))), F.lit(True)).mapInPandas(run, "total long, block long, sims array<double>")
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _ranks(values: pd.Series, sims: pd.Series) -> pd.Series:
+    """For each value of a list, how many of ``sims`` are not above it."""
+    return pd.Series([np.searchsorted(np.sort(b), np.asarray(a) + 1e-7, side="right") for a, b in zip(values, sims, strict=True)])
+
+
+def _places(tested: DataFrame, sims: DataFrame, *, at_once: int = 4096) -> DataFrame:
+    """(total, log_chance, n_below) of each distinct pair; a total's chances meet each block in lists of about ``at_once``."""
+    pairs = tested.select("total", "log_chance").distinct()
+    size = pairs.groupBy("total").agg(F.ceil(F.count(F.lit(1)) / at_once).alias("__k"))
+    lists = pairs.join(size, "total").groupBy("total", F.pmod(F.xxhash64("log_chance"), F.col("__k")).alias("__k")).agg(F.collect_list("log_chance").alias("c"))
+    met = lists.join(sims, "total").select("total", F.explode(F.arrays_zip(F.col("c"), _ranks("c", "sims").alias("n"))).alias("x"))
+    return met.groupBy("total", F.col("x.c").alias("log_chance")).agg(F.sum("x.n").alias("n_below"))
+
+
 def empty_droplets(counts: DataFrame, *, lower: float | None = 100, retain: float | None = None, rounds: int = 10_000, seed: int = 100) -> DataFrame:
     """(cell, total, log_chance, n_below, p_value, adj_p_value) of barcodes with more than ``lower`` counts.
 
@@ -136,9 +156,7 @@ def empty_droplets(counts: DataFrame, *, lower: float | None = 100, retain: floa
     tested = cells if retain is None else cells.where(F.col("total") < retain)
     sims = simulated_chances(profile, tested, rounds=rounds, seed=seed)
     sims = write_through(sims, "simulated")
-    # one row for each distinct pair of total and chance meets all blocks; what is hot is the pair, not its cells
-    chances = tested.select("total", "log_chance").distinct()
-    below = chances.join(sims, "total").groupBy("total", "log_chance").agg(F.sum(F.size(F.filter("sims", lambda x: x <= F.col("log_chance") + 1e-7))).alias("n_below"))
+    below = _places(tested, sims)
     out = tested.join(below, ["total", "log_chance"], "left").select("cell", "total", "log_chance", F.coalesce("n_below", F.lit(0)).cast("long").alias("n_below"))
     out = out.withColumn("p_value", (F.col("n_below") + 1) / F.lit(rounds + 1.0))
     if retain is not None:

@@ -231,6 +231,28 @@ def saturation_fit(x: np.ndarray, y: np.ndarray, kind: str = "mm", steps: int =
     return float(p[0]), float(p[1]), float(len(x) * math.log(rss / len(x)) + 4)
 
 
+def saturation_models(points: DataFrame, key: str, *, share: float = 0.95) -> DataFrame:
+    """(key, model, vmax, k, aic, x_at_95) of each key's curve (x, y): the model with the lesser AIC, mm in a tie.
+
+    ``x_at_95`` is where the curve reaches ``share`` of vmax. A curve is a group of few points (:func:`first_seen_curve`
+    has about a hundred); one with fewer than three points, or zeros only, has nulls. Null points are left out.
+    """
+    name = points.schema[key].dataType.simpleString()
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        x, y = df["x"].to_numpy(float), df["y"].to_numpy(float)
+        if len(x) < 3 or not y.any():
+            return pd.DataFrame({key: df[key].iloc[:1], "model": [None], "vmax": [None], "k": [None], "aic": [None], "x_at_95": [None]})
+        fits = {kind: saturation_fit(x, y, kind) for kind in ("mm", "exp")}
+        kind = min(fits, key=lambda f: (fits[f][2], f != "mm"))
+        vmax, k, aic = fits[kind]
+        at = k * share / (1 - share) if kind == "mm" else -math.log(1 - share) / k
+        return pd.DataFrame({key: df[key].iloc[:1], "model": [kind], "vmax": [vmax], "k": [k], "aic": [aic], "x_at_95": [at]})
+
+    d = points.where("x IS NOT NULL AND y IS NOT NULL").select(key, "x", "y")
+    return d.groupBy(key).applyInPandas(run, f"{key} {name}, model string, vmax double, k double, aic double, x_at_95 double")
+
+
 def rank_sum(values: DataFrame) -> DataFrame:
     """Wilcoxon rank-sum z of (feature, grp 0 or 1, value) for each feature, with the correction for ties."""
     tied = values.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("t"), F.sum("grp").alias("k"))

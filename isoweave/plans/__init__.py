@@ -1,6 +1,6 @@
 """Registered queries, by name, and their SQL."""
 
-from . import catalog, formats, graphs, reconstruction, tables
+from . import catalog, formats, graphs, models, reconstruction, tables
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "formats", "graphs", "reconstruction", "tables"]
+__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "formats", "graphs", "models", "reconstruction", "tables"]

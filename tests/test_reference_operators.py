@@ -168,3 +168,14 @@ def test_readers(spark, tmp_path):
     (m / "matrix.mtx").write_text("%%MatrixMarket\n%c\n2 2 2\n1 2 5\n2 1 7\n")
     assert sorted(map(tuple, readers.read_mtx(spark, str(m)).collect())) == [("g1", "b2", 5.0), ("g2", "b1", 7.0)]
     assert readers.parse_region("chr1+:1,000-2,000") == ("chr1", "+", 1000, 2000)
+
+
+def test_saturation_models(spark):
+    from isoweave.operators.statistics import saturation_models
+
+    xs = [1.0, 2.0, 4.0, 8.0, 16.0, 32.0]
+    rows = [("m", x, 100 * x / (5 + x)) for x in xs] + [("e", x, 50 * (1 - 2.718281828459045 ** (-0.2 * x))) for x in xs] + [("few", 1.0, 2.0), ("zero", 1.0, 0.0), ("zero", 2.0, 0.0), ("zero", 3.0, 0.0), ("m", None, 3.0)]
+    got = {r["c"]: r for r in saturation_models(spark.createDataFrame(rows, "c string, x double, y double"), "c").collect()}
+    assert got["m"]["model"] == "mm" and abs(got["m"]["vmax"] - 100) < 1e-4 and abs(got["m"]["x_at_95"] - 95) < 1e-3
+    assert got["e"]["model"] == "exp" and abs(got["e"]["vmax"] - 50) < 1e-4 and abs(got["e"]["x_at_95"] - 14.97866) < 1e-3
+    assert got["few"]["model"] is None and got["zero"]["vmax"] is None
