@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from isoweave.operators import paths, quantify
+from isoweave.operators import communities, paths, quantify
 
 
 def plan(df):
@@ -79,3 +79,13 @@ def test_patterns_meet_at_their_first_intron(spark):
     d = paths.subset_of_patterns(r, t)
     assert sorted(x.read_id for x in d.collect()) == [1, 2, 2]
     assert not any("Join" in x and "tx_id" in x for x in plan(d).splitlines())
+
+
+def test_components_merge_as_in_rounds(spark):
+    r = random.Random(5)
+    edges = [(100 * c + u, 100 * c + v, r.randrange(1, 6)) for c in range(3) for u in range(14) for v in range(u + 1, 14) if r.random() < 0.4]
+    e = spark.createDataFrame(edges, "u long, v long, w long")
+    one, rounds = (sorted(map(tuple, communities.merged_communities(e, resolution=4.0, most_edges=k).collect())) for k in (10**6, 0))
+    assert one == rounds and len({c for _, c in one}) > 3
+    mixed = sorted(map(tuple, communities.merged_communities(e, resolution=4.0, most_edges=sum(u < 100 for u, _, _ in edges) - 1).collect()))
+    assert mixed == one
