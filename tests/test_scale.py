@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from isoweave.operators import communities, paths, quantify
+from isoweave.operators import communities, intervals, paths, quantify
 
 
 def plan(df):
@@ -89,3 +89,15 @@ def test_components_merge_as_in_rounds(spark):
     assert one == rounds and len({c for _, c in one}) > 3
     mixed = sorted(map(tuple, communities.merged_communities(e, resolution=4.0, most_edges=sum(u < 100 for u, _, _ in edges) - 1).collect()))
     assert mixed == one
+
+
+def test_best_overlap_sums_before_its_shuffle(spark):
+    r = random.Random(7)
+    x = [("c", "+", k % 9, *sorted((r.randrange(3000), r.randrange(3000)))) for k in range(60)]
+    e = spark.createDataFrame(x, "contig string, strand string, tx_id int, lend long, rend long")
+    reads = [(k, "c", "+", a, a + n) for k, (a, n) in enumerate((r.randrange(-50, 3000), r.choice([0, 30, 63, 64, 2000])) for _ in range(80))]
+    d = intervals.best_overlap(spark.createDataFrame(reads, "read_id int, contig string, strand string, lend long, rend long"), e)
+    covered = {t: {p for *_, tx, a, b in x if tx == t for p in range(a, b + 1)} for t in range(9)}
+    want = {k: min((-len(covered[t] & set(range(a, b + 1))), t) for t in range(9)) for k, _, _, a, b in reads}
+    assert {y.read_id: (-y.overlap, y.tx_id) for y in d.collect()} == {k: m for k, m in want.items() if m[0] < 0}
+    assert "hashpartitioning(read_id#" in plan(d) and ", tx_id#" not in "".join(y for y in plan(d).splitlines() if "hashpartitioning(read_id" in y)
