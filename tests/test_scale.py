@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from isoweave.operators import communities, intervals, paths, quantify
+from isoweave.operators import communities, graph, intervals, paths, quantify
 
 
 def plan(df):
@@ -101,3 +101,34 @@ def test_best_overlap_sums_before_its_shuffle(spark):
     want = {k: min((-len(covered[t] & set(range(a, b + 1))), t) for t in range(9)) for k, _, _, a, b in reads}
     assert {y.read_id: (-y.overlap, y.tx_id) for y in d.collect()} == {k: m for k, m in want.items() if m[0] < 0}
     assert "hashpartitioning(read_id#" in plan(d) and ", tx_id#" not in "".join(y for y in plan(d).splitlines() if "hashpartitioning(read_id" in y)
+
+
+def test_segment_graph_is_that_of_the_edges(spark):
+    r = random.Random(5)
+    own = [("c", r.choice("+-"), a, a + r.randrange(1, 30)) for a in (r.randrange(1, 400) for _ in range(60))]
+    starts, ends = {(s, a) for _, s, a, _ in own}, {(s, b) for _, s, _, b in own}
+    gaps = [("c", s, b + 1, a - 1) for s, b in ends for t, a in starts if s == t and b + 1 < a <= b + 40]
+    x, i = (spark.createDataFrame(d, "contig string, strand string, lend long, rend long") for d in (own, gaps))
+    name = lambda d, k: d.withColumn("node_id", F.concat_ws("-", F.lit(k), "contig", "strand", "lend", "rend"))
+    segments = name(intervals.exon_segments(x), "E")
+    edges = intervals.adjacency(segments, name(i, "I"))
+    plain = {n.node: (n.n_next, n.n_previous) for n in graph.neighbours(edges).collect()}
+    kept = {n.node_id for n in graph.prune_spurs(segments.withColumn("is_ref", F.lit(False)), edges, shorter_than=9).collect()}
+    chains = sorted(tuple(n) for n in graph.merge_unbranched(segments, edges).collect())
+    for cut in (16, 1 << 16):
+        d = name(graph.segment_graph(x, i, cut=cut), "E")
+        assert {n.node_id: (n.n_next, n.n_previous) for n in d.collect()} == {n.node_id: plain.get(n.node_id, (0, 0)) for n in segments.collect()}
+        assert {n.node_id for n in graph.without_spurs(d, shorter_than=9).collect()} == kept
+        assert sorted(tuple(n) for n in graph.merge_linked(d).collect()) == chains
+    assert len(chains) < segments.count()
+    assert "Join" in plan(edges) and "concat_ws" not in plan(graph.segment_graph(x, i))
+
+
+def test_spurs_and_chains_without_edges(spark):
+    # a dead end of 3 bases (28-30) beside the intron that leaves at 28; touching segments 1-9 and 10-27 are one chain
+    x = spark.createDataFrame([("c", "+", 1, 27), ("c", "+", 10, 30), ("c", "+", 41, 60)], "contig string, strand string, lend long, rend long")
+    i = spark.createDataFrame([("c", "+", 28, 40)], "contig string, strand string, lend long, rend long")
+    d = graph.segment_graph(x, i)
+    assert sorted((r.lend, r.rend) for r in d.collect()) == [(1, 9), (10, 27), (28, 30), (41, 60)]
+    assert sorted((r.lend, r.rend) for r in graph.without_spurs(d, shorter_than=4).collect()) == [(1, 9), (10, 27), (41, 60)]
+    assert sorted((r.lend, r.rend, r.n_merged) for r in graph.merge_linked(d).collect()) == [(1, 27, 2), (28, 30, 1), (41, 60, 1)]
