@@ -5,6 +5,7 @@ import io
 import random
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from isoweave.operators import communities, graph, intervals, paths, quantify
@@ -132,3 +133,21 @@ def test_spurs_and_chains_without_edges(spark):
     assert sorted((r.lend, r.rend) for r in d.collect()) == [(1, 9), (10, 27), (28, 30), (41, 60)]
     assert sorted((r.lend, r.rend) for r in graph.without_spurs(d, shorter_than=4).collect()) == [(1, 9), (10, 27), (41, 60)]
     assert sorted((r.lend, r.rend, r.n_merged) for r in graph.merge_linked(d).collect()) == [(1, 27, 2), (28, 30, 1), (41, 60, 1)]
+
+
+def test_cross_gene_em_in_parts_and_in_rounds(spark):
+    # parts without a common read in one component of genes: one group, parts and rounds must agree
+    r = random.Random(11)
+    rows = [(t % 3, t, k) for part in range(3) for k in range(part * 100, part * 100 + 60) for t in r.sample(range(part * 6, part * 6 + 6), r.randrange(1, 4))]
+    d = spark.createDataFrame(rows + [(9, 99, 999)], "gene_id int, tx_id int, read_id int").withColumn("frac", F.lit(1.0))
+    counts = d.groupBy("gene_id", "tx_id").agg(F.count(F.lit(1)).cast("double").alias("all_reads"))
+    index = {t: i for i, t in enumerate(sorted({t for _, t, _ in rows}))}
+    n = [sum(t == x for _, t, _ in rows) for x in index]
+    for rounds in (7, 250):
+        want, _, done = quantify.em_arrays(np.array([index[t] for _, t, _ in rows]), np.unique([k for _, _, k in rows], return_inverse=True)[1], np.ones(len(rows)), np.ones(len({k for _, _, k in rows})), alpha=0.01, max_iter=rounds, tolerance=1e-4, start=np.array(n, float), norm="l1", floor=1e-8)
+        assert done == 7 if rounds == 7 else 7 < done < 250
+        for most in (2_000_000, 10) if rounds == 7 else (2_000_000,):
+            got = {(x.tx_id, x.read_id): x.frac for x in quantify.cross_gene_em(d, counts, max_iter=rounds, tolerance=1e-4, most_rows=most).collect()}
+            assert len(got) == len(rows) + 1 and got[99, 999] == 1.0
+            assert max(abs(got[t, k] - w) for (_, t, k), w in zip(rows, want, strict=True)) < 1e-9
+    assert "part" in "".join(x for x in plan(quantify.cross_gene_em(d, counts, max_iter=3)).splitlines() if "FlatMapGroupsInPandas" in x)
