@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import compatible_paths, contains_path, path_relation, trim_boundaries
+from ..runtime import write_through
 
 
 def count_paths(reads: DataFrame) -> DataFrame:
@@ -69,12 +70,19 @@ def assign_paths(paths: DataFrame, transcripts: DataFrame, genes: DataFrame | No
 
 
 def subset_pairs(introns: DataFrame) -> DataFrame:
-    """Ordered pairs (tx_id, tx_id_2) where all introns of the second are in the first; by counting shared introns."""
+    """Ordered pairs (tx_id, tx_id_2) where all introns of the second are in the first.
+
+    The second is looked up by its rarest intron only and its set tested where the two meet, so a pair comes once and is
+    neither counted nor shuffled.
+    """
     one = introns.select("tx_id", "intron").distinct()
-    size = one.groupBy("tx_id").agg(F.count(F.lit(1)).alias("n"))
-    other = one.select(F.col("tx_id").alias("tx_id_2"), "intron")
-    both = one.join(other, "intron").where("tx_id <> tx_id_2").groupBy("tx_id", "tx_id_2").agg(F.count(F.lit(1)).alias("k"))
-    return both.join(size.select(F.col("tx_id").alias("tx_id_2"), "n"), "tx_id_2").where("k = n").select("tx_id", "tx_id_2")
+    often = one.where("intron IS NOT NULL").groupBy("intron").agg(F.count(F.lit(1)).alias("n"))
+    d = one.join(often, "intron", "left").groupBy("tx_id").agg(F.collect_list("intron").alias("set"), F.min(F.when(F.col("intron").isNotNull(), F.struct("n", "intron"))).alias("rarest"), F.count(F.lit(1)).alias("size"))
+    d = write_through(d, "intron-sets")
+    # a null is in no other set
+    inner = d.where(F.col("size") == F.size("set")).select(F.col("tx_id").alias("tx_id_2"), F.col("set").alias("inner"), F.col("rarest.intron").alias("intron"))
+    outer = d.select("tx_id", "set", F.explode("set").alias("intron"))
+    return outer.join(inner, "intron").where((F.col("tx_id") != F.col("tx_id_2")) & (F.size("set") >= F.size("inner")) & (F.size(F.array_except("inner", "set")) == 0)).select("tx_id", "tx_id_2")
 
 
 def subset_of_patterns(reads: DataFrame, transcripts: DataFrame) -> DataFrame:

@@ -151,3 +151,11 @@ def test_cross_gene_em_in_parts_and_in_rounds(spark):
             assert len(got) == len(rows) + 1 and got[99, 999] == 1.0
             assert max(abs(got[t, k] - w) for (_, t, k), w in zip(rows, want, strict=True)) < 1e-9
     assert "part" in "".join(x for x in plan(quantify.cross_gene_em(d, counts, max_iter=3)).splitlines() if "FlatMapGroupsInPandas" in x)
+
+
+def test_subsets_meet_at_their_rarest_intron(spark):
+    sets = {1: "abc", 2: "bc", 3: "c", 4: "cd", 5: "bc", 6: "x", 7: "c"}
+    d = spark.createDataFrame([(k, i) for k, s in sets.items() for i in s] + [(7, None), (8, None)], "tx_id int, intron string")
+    got = sorted((r.tx_id, r.tx_id_2) for r in paths.subset_pairs(d).collect())
+    assert got == sorted((a, b) for a, s in sets.items() for b, t in sets.items() if a != b and b != 7 and set(t) <= set(s))
+    assert "Aggregate" not in plan(paths.subset_pairs(d)) and plan(paths.subset_pairs(d)).count("Join") == 1
