@@ -61,7 +61,7 @@ def tracking_file(t: DataFrame) -> DataFrame:
 
 def transcripts_of(p: DataFrame) -> DataFrame:
     """Merged pieces of each transcript on a contig and strand, as one transcript."""
-    own = intervals.merge_intervals(p.select("contig", "strand", "tx_id", "lend", "rend").distinct(), ["contig", "strand", "tx_id"], cut=None)
+    own = intervals.merge_intervals(p, ["contig", "strand", "tx_id"], cut=None)
     d = own.groupBy("contig", "strand", "tx_id").agg(F.array_sort(F.collect_list(F.struct(F.col("lend").cast("int").alias("lend"), F.col("rend").cast("int").alias("rend")))).alias("exons"))
     key = F.concat_ws("_", F.col("tx_id").cast("string"), "contig", "strand")
     return d.select("contig", "strand", F.concat(F.lit("g"), (F.col("tx_id") % 10).cast("string")).alias("gene_id"), key.alias("tx_id"), "exons")
