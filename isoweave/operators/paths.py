@@ -98,9 +98,9 @@ def assign_paths(paths: DataFrame, transcripts: DataFrame, genes: DataFrame | No
         their_first, their_whole = their_ids.select("tx_id", "gene_id_2", F.explode(lead).alias("node")), keys(their_ids, "tx_id", "gene_id_2")
         same = lambda x, y: x["node"].eqNullSafe(y["node"]) & (x["gene_id"] == y["gene_id_2"])
         near = first.join(their_whole, same(first, their_whole)).select("gene_id", "path_id", "tx_id").unionByName(whole.join(their_first, same(whole, their_first)).select("gene_id", "path_id", "tx_id"))
-        near = near.groupBy("path_id", "gene_id").agg(F.collect_set("tx_id").alias("__near"))
+        near = near.distinct()
         theirs = theirs if behind is None else theirs.join(behind, "tx_id")
-        d = own.join(near, "path_id").join(theirs, "gene_id").where(F.array_contains("__near", F.col("tx_id")))
+        d = near.join(own, "path_id").join(theirs, ["gene_id", "tx_id"])
         shared = F.get(F.array_intersect("nodes", "__path"), F.lit(0))
         distance = [] if behind is None else [F.coalesce(F.get("rest", F.array_position("nodes", shared).cast("int") - 1), F.lit(0)).alias("distance")]
 
